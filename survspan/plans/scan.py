@@ -171,7 +171,9 @@ def ordered_scan(
     if count:
         out[count] = F.col("_cnt").cast("long")
     for n in cumsum:
-        out[n] = F.col(f"_cs_{n}") + F.coalesce(F.col(f"_co_{n}"), F.lit(0))
+        loc_s, off_s = F.col(f"_cs_{n}"), F.col(f"_co_{n}")
+        out[n] = F.when(loc_s.isNull() & off_s.isNull(), F.lit(None)) \
+            .otherwise(F.coalesce(loc_s, F.lit(0)) + F.coalesce(off_s, F.lit(0)))
     last_in_block = F.col("_rl") == F.col("_bn")
     for n in lead:
         out[n] = F.when(last_in_block, F.col("_nf").getField(f"l_{n}")).otherwise(F.col(f"_ld_{n}"))
