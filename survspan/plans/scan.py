@@ -200,6 +200,7 @@ def ordered_scan(
 
 
 HOT_KEY = "survspan.hot"
+SPLITS_KEY = "survspan.splits"
 
 
 def is_hot(df: DataFrame, block: str) -> bool:
@@ -286,7 +287,29 @@ def blocks_from_quantiles(df: DataFrame, col: str, n_blocks: int, block: str = B
     b = Bucketizer(splits=splits, inputCol=tmp, outputCol=block, handleInvalid="keep")
     out = b.transform(df.withColumn(tmp, F.col(col).cast("double")))
     out = out.withColumn(block, F.coalesce(F.col(block), F.lit(float(len(splits)))).cast("long")).drop(tmp)
-    return mark_blocks(out, True, block)
+    out = mark_blocks(out, True, block)
+    meta = dict(out.schema[block].metadata)
+    meta[SPLITS_KEY] = splits[1:-1]
+    return out.withMetadata(block, meta)
+
+
+def blocks_like(df: DataFrame, col: str, ref: DataFrame, block: str = BLOCK) -> DataFrame:
+    """Assign blocks to ``df`` with the cut list already used by ``ref`` (no new
+    quantile pass), so rows of both frames can be scanned together."""
+    from pyspark.ml.feature import Bucketizer
+
+    meta = ref.schema[block].metadata
+    cuts = meta.get(SPLITS_KEY)
+    if not cuts:
+        return mark_blocks(df.withColumn(block, F.lit(0).cast("long")), bool(meta.get(HOT_KEY, False)), block)
+    splits = [float("-inf")] + list(cuts) + [float("inf")]
+    b = Bucketizer(splits=splits, inputCol="_bq_in", outputCol=block, handleInvalid="keep")
+    out = b.transform(df.withColumn("_bq_in", F.col(col).cast("double")))
+    out = out.withColumn(block, F.coalesce(F.col(block), F.lit(float(len(splits)))).cast("long")).drop("_bq_in")
+    out = mark_blocks(out, True, block)
+    m2 = dict(out.schema[block].metadata)
+    m2[SPLITS_KEY] = list(cuts)
+    return out.withMetadata(block, m2)
 
 
 def blocks_for_hot_groups(df: DataFrame, keys: Sequence[str], order_col: str, block_rows: int,
