@@ -5,7 +5,7 @@ from __future__ import annotations
 from . import prep  # noqa: F401  (registers)
 from .registry import REGISTRY
 
-_MODULES = ["describe", "survival", "models", "inference"]
+_MODULES = ["describe", "survival", "models", "resampling"]
 for _m in _MODULES:
     try:
         __import__(f"{__name__}.{_m}")
