@@ -65,9 +65,20 @@ def row_loglik(kind: str):
     return ll
 
 
+def _analytic(kind: str):
+    from ..functions.gengamma import gg_row_derivs
+
+    def derivs(eta: np.ndarray, data: dict):
+        n = eta.shape[0]
+        kappa = eta[:, 2] if kind == "ggamma" else np.ones(n)
+        return gg_row_derivs(eta[:, 0], eta[:, 1], kappa, data["t0"], data["t"], data["d"], kind == "ggamma")
+    return derivs
+
+
 def family_model(kind: str) -> RowModel:
     m = {"exponential": 1, "weibull": 2, "lognormal": 2, "ggamma": 3, "ammag": 2, "gamma": 2}[kind]
-    return RowModel(kind, m, ("t0", "t", "d"), row_loglik(kind))
+    derivs = _analytic(kind) if kind in ("weibull", "ggamma") else None
+    return RowModel(kind, m, ("t0", "t", "d"), row_loglik(kind), derivs=derivs)
 
 
 def model_frame(df: DataFrame, spec: SurvSpec, columns: Sequence[str], weight: str | None = None) -> DataFrame:

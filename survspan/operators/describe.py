@@ -19,10 +19,10 @@ from ..session import shuffle_partitions
 def _ranked(df: DataFrame, col: str, by: Sequence[str] = (), n_blocks: int | None = None) -> DataFrame:
     """Rows of (by..., x, rn, n): rank 1..n of non-null ``col`` within ``by``."""
     by = list(by)
-    d = df.select(*by, F.col(col).cast("double").alias("x")).filter(F.col("x").isNotNull() & ~F.isnan("x"))
+    d = df.select(*by, F.col(col).cast("double").alias("_qx")).filter(F.col("_qx").isNotNull() & ~F.isnan("_qx"))
     n_blocks = n_blocks or shuffle_partitions(df.sparkSession)
-    d = blocks_from_quantiles(d, "x", n_blocks)
-    return ordered_scan(d, by, ["x"], row_number="rn", count="n")
+    d = blocks_from_quantiles(d, "_qx", n_blocks)
+    return ordered_scan(d, by, ["_qx"], row_number="_rn", count="_n")
 
 
 def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), rule: str = "linear",
@@ -36,27 +36,27 @@ def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str]
         out = df.groupBy(*by).agg(arr.alias("_qa"))
         return out.select(*by, *[F.col("_qa")[i].alias(nm) for i, nm in enumerate(names)])
     r = _ranked(df, col, by)
-    aggs = [F.max("n").alias("n")]
+    aggs = [F.max("_n").alias("_n")]
     exprs = {}
     for p, nm in zip(probs, names):
         if rule == "linear":
-            h = (F.col("n") - 1) * F.lit(float(p)) + 1
+            h = (F.col("_n") - 1) * F.lit(float(p)) + 1
             lo = F.floor(h)
-            hi = F.least(lo + 1, F.col("n"))
-            aggs += [F.max(F.when(F.col("rn") == lo, F.col("x"))).alias(f"_lo_{nm}"),
-                     F.max(F.when(F.col("rn") == hi, F.col("x"))).alias(f"_hi_{nm}"),
+            hi = F.least(lo + 1, F.col("_n"))
+            aggs += [F.max(F.when(F.col("_rn") == lo, F.col("_qx"))).alias(f"_lo_{nm}"),
+                     F.max(F.when(F.col("_rn") == hi, F.col("_qx"))).alias(f"_hi_{nm}"),
                      F.max(h - lo).alias(f"_fr_{nm}")]
             exprs[nm] = F.col(f"_lo_{nm}") + F.col(f"_fr_{nm}") * (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}"))
         elif rule == "stata":
             pp = int(round(p * 100))  # whole percent
-            np_ = F.col("n") * F.lit(pp)
+            np_ = F.col("_n") * F.lit(pp)
             whole = (np_ % 100) == 0
             i = F.floor(np_ / 100)
             ceil_i = F.floor((np_ + 99) / 100)
             a = F.when(whole, i).otherwise(ceil_i)
-            b = F.when(whole, F.least(i + 1, F.col("n"))).otherwise(ceil_i)
-            aggs += [F.max(F.when(F.col("rn") == a, F.col("x"))).alias(f"_lo_{nm}"),
-                     F.max(F.when(F.col("rn") == b, F.col("x"))).alias(f"_hi_{nm}")]
+            b = F.when(whole, F.least(i + 1, F.col("_n"))).otherwise(ceil_i)
+            aggs += [F.max(F.when(F.col("_rn") == a, F.col("_qx"))).alias(f"_lo_{nm}"),
+                     F.max(F.when(F.col("_rn") == b, F.col("_qx"))).alias(f"_hi_{nm}")]
             exprs[nm] = (F.col(f"_lo_{nm}") + F.col(f"_hi_{nm}")) / 2
         else:
             raise ValueError(rule)
@@ -83,8 +83,8 @@ def summarize_detail(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFra
     q = quantiles(df, col, [p / 100 for p in pcts], by, rule="stata", names=[f"p{p}" for p in pcts])
     r = _ranked(df, col, by)
     ext = r.groupBy(*by).agg(
-        *[F.max(F.when(F.col("rn") == k, F.col("x"))).alias(f"smallest_{k}") for k in (1, 2, 3, 4)],
-        *[F.max(F.when(F.col("rn") == F.col("n") - (k - 1), F.col("x"))).alias(f"largest_{k}") for k in (1, 2, 3, 4)])
+        *[F.max(F.when(F.col("_rn") == k, F.col("_qx"))).alias(f"smallest_{k}") for k in (1, 2, 3, 4)],
+        *[F.max(F.when(F.col("_rn") == F.col("_n") - (k - 1), F.col("_qx"))).alias(f"largest_{k}") for k in (1, 2, 3, 4)])
     keys = by or ["_one"]
     parts = [t if by else t.withColumn("_one", F.lit(1)) for t in (mom, q, ext)]
     out = parts[0].join(parts[1], on=keys).join(parts[2], on=keys)

@@ -34,6 +34,7 @@ class RowModel:
     data_cols: tuple          # e.g. ("t0", "t", "d")
     loglik: Callable          # (eta: (n, m) array, data: dict[str, array]) -> (n,) array
     eq_names: tuple = ("mu", "lnsigma", "kappa")
+    derivs: Callable | None = None   # optional analytic (eta, data) -> (l, dl/deta, d2l/deta2)
 
 
 @dataclass
@@ -77,7 +78,10 @@ def _design_arrays(pdf: pd.DataFrame, equations) -> list[np.ndarray]:
 
 
 def _eta_derivs(model: RowModel, eta: np.ndarray, data: dict, h: float = FD_STEP):
-    """l, dl/deta (n, m), d2l/deta2 (n, m, m) by central differences."""
+    """l, dl/deta (n, m), d2l/deta2 (n, m, m): the model's own derivatives when
+    it has them, else central differences."""
+    if model.derivs is not None:
+        return model.derivs(eta, data)
     n, m = eta.shape
     f0 = model.loglik(eta, data)
     g = np.zeros((n, m))
@@ -207,3 +211,134 @@ def fit_distributed(design: DataFrame, model: RowModel, equations, theta0, weigh
 def fit_local(pdf: pd.DataFrame, model: RowModel, equations, theta0, weight: str | None = None, max_iter: int = 50):
     """Same Newton on one in-memory batch (used inside applyInPandas / bootstrap tasks)."""
     return newton(lambda th: batch_stats(model, equations, th, pdf, weight), theta0, max_iter=max_iter)
+
+
+# ---------------------------------------------------------------- bootstrap
+_POIS_CDF = None
+
+
+def _poisson1_cdf():
+    global _POIS_CDF
+    if _POIS_CDF is None:
+        import math
+        c, acc = [], 0.0
+        for k in range(30):
+            acc += math.exp(-1.0) / math.factorial(k)
+            c.append(acc)
+        _POIS_CDF = np.array(c)
+    return _POIS_CDF
+
+
+def _splitmix64(x: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        x = x + np.uint64(0x9E3779B97F4A7C15)
+        z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return z ^ (z >> np.uint64(31))
+
+
+def poisson_weights(row_keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
+    """(n, R) Poisson(1) bootstrap weights from a hash of (row key, replicate, seed):
+    the same row gets the same weight in a replicate whatever the partitioning."""
+    rk = np.asarray(row_keys).astype(np.int64).view(np.uint64)[:, None]
+    rp = np.asarray(reps, dtype=np.uint64)[None, :]
+    with np.errstate(over="ignore"):
+        mixed = _splitmix64(rk ^ _splitmix64(rp * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed & 0xFFFFFFFFFFFFFFFF)))
+    u = (mixed >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
+    return np.searchsorted(_poisson1_cdf(), u, side="right").astype(np.float64)
+
+
+def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, seed: int, key_col: str = "_rk"):
+    """One Spark job: (loglik, grad, hess) for every replicate in ``thetas`` (rep -> theta)."""
+    reps = np.array(sorted(thetas), dtype=np.int64)
+    th = np.array([thetas[r] for r in reps], dtype=float)
+    p = th.shape[1]
+
+    def part(it):
+        acc = np.zeros((len(reps), 1 + p + p * p))
+        seen = False
+        for pdf in it:
+            if len(pdf) == 0:
+                continue
+            W = poisson_weights(pdf[key_col].to_numpy(), reps, seed)
+            for i in range(len(reps)):
+                w = W[:, i]
+                sel = w > 0
+                if not sel.any():
+                    continue
+                sub = pdf[sel].assign(_bw=w[sel])
+                a, b, c = batch_stats(model, equations, th[i], sub, "_bw")
+                acc[i, 0] += a
+                acc[i, 1:1 + p] += b
+                acc[i, 1 + p:] += c.ravel()
+                seen = True
+        if seen:
+            rr = np.repeat(reps, acc.shape[1])
+            kk = np.tile(np.arange(acc.shape[1]), len(reps))
+            yield pd.DataFrame({"rep": rr.astype(np.int64), "k": kk.astype(np.int32), "v": acc.ravel()})
+
+    from ..session import ship_code
+    ship_code(design.sparkSession)
+    rows = design.mapInPandas(part, schema="rep long, k int, v double") \
+        .groupBy("rep", "k").agg(F.sum("v").alias("v")).collect()
+    out = {int(r): [0.0, np.zeros(p), np.zeros((p, p))] for r in reps}
+    for r in rows:
+        rep, k, v = int(r["rep"]), int(r["k"]), float(r["v"])
+        if k == 0:
+            out[rep][0] = v
+        elif k <= p:
+            out[rep][1][k - 1] = v
+        else:
+            out[rep][2].flat[k - 1 - p] = v
+    return out
+
+
+def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarray, reps: list, seed: int,
+                max_iter: int = 50, tol: float = 1e-10, key_col: str = "_rk"):
+    """All replicates' Newton iterations in lockstep: one Spark pass per round."""
+    st = {r: {"theta": np.array(theta0, float), "cand": np.array(theta0, float), "ll": None, "g": None, "H": None,
+              "step": None, "t": 1.0, "it": 0, "done": False, "conv": False} for r in reps}
+    rounds = 0
+    while True:
+        active = {r: s["cand"] for r, s in st.items() if not s["done"]}
+        if not active or rounds > 4 * max_iter:
+            break
+        rounds += 1
+        res = evaluate_reps(design, model, equations, active, seed, key_col)
+        for r in active:
+            s = st[r]
+            ll, g, H = res[r]
+            if s["ll"] is None or (np.isfinite(ll) and ll >= s["ll"] - 1e-12):
+                s["theta"], s["ll"], s["g"], s["H"] = s["cand"], ll, g, H
+                if not np.isfinite(ll):
+                    s["done"] = True
+                    continue
+                s["it"] += 1
+                try:
+                    L = np.linalg.cholesky(-H)
+                    step = np.linalg.solve(L.T, np.linalg.solve(L, g))
+                except np.linalg.LinAlgError:
+                    s["done"] = True  # not concave: recorded as a failed replicate
+                    continue
+                if float(g @ step) < tol:
+                    s["done"], s["conv"] = True, True
+                    continue
+                if s["it"] >= max_iter:
+                    s["done"] = True
+                    continue
+                s["step"], s["t"] = step, 1.0
+                s["cand"] = s["theta"] + step
+            else:
+                s["t"] /= 2
+                if s["t"] < 2 ** -25:
+                    s["done"] = True
+                    continue
+                s["cand"] = s["theta"] + s["t"] * s["step"]
+    out = {}
+    for r, s in st.items():
+        try:
+            vcov = np.linalg.inv(-s["H"]) if s["H"] is not None else None
+        except np.linalg.LinAlgError:
+            vcov = None
+        out[r] = (s["theta"], s["ll"], vcov, s["conv"], s["it"])
+    return out
