@@ -293,6 +293,20 @@ def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, s
     return out
 
 
+def _damped_step(g: np.ndarray, H: np.ndarray):
+    """Newton direction; when -H is not positive definite, add lambda * I (Levenberg)."""
+    A = -H
+    lam = 0.0
+    scale = max(1.0, float(np.abs(np.diag(A)).max())) if A.size else 1.0
+    for _ in range(30):
+        try:
+            L = np.linalg.cholesky(A + lam * np.eye(len(g)))
+            return np.linalg.solve(L.T, np.linalg.solve(L, g)), lam
+        except np.linalg.LinAlgError:
+            lam = 1e-6 * scale if lam == 0.0 else lam * 10
+    return None, lam
+
+
 def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarray, reps: list, seed: int,
                 max_iter: int = 50, tol: float = 1e-10, key_col: str = "_rk"):
     """All replicates' Newton iterations in lockstep: one Spark pass per round."""
@@ -314,13 +328,11 @@ def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarra
                     s["done"] = True
                     continue
                 s["it"] += 1
-                try:
-                    L = np.linalg.cholesky(-H)
-                    step = np.linalg.solve(L.T, np.linalg.solve(L, g))
-                except np.linalg.LinAlgError:
-                    s["done"] = True  # not concave: recorded as a failed replicate
+                step, lam = _damped_step(g, H)
+                if step is None:
+                    s["done"] = True  # no usable direction: recorded as a failed replicate
                     continue
-                if float(g @ step) < tol:
+                if float(g @ step) < tol and lam == 0.0:
                     s["done"], s["conv"] = True, True
                     continue
                 if s["it"] >= max_iter:
