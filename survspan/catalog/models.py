@@ -59,6 +59,10 @@ def fit_named(spark, sf, key: str):
             return aft.aft(d, SPEC, GROUPS, "ammag", name=key)
         if key == "gamma_crude":
             return aft.aft(d, SPEC, GROUPS, "gamma", name=key)
+        if key == "ammag_adjusted":
+            return aft.aft(d, SPEC, ADJUST, "ammag", name=key)
+        if key == "gamma_adjusted":
+            return aft.aft(d, SPEC, ADJUST, "gamma", name=key)
         if key == "cox_crude":
             return cox.cox(d, SPEC, GROUPS, name=key)
         if key == "cox_adjusted":
@@ -162,6 +166,12 @@ def q_aft_gamma(spark, sf):
     return _coef_table(spark, sf, ["gamma_crude"])
 
 
+@register("aft_constrained_adjusted")
+def q_aft_constrained_adjusted(spark, sf):
+    """M6: adjusted ammag (kappa = 1/sigma) and standard gamma (kappa = sigma), covariates in beta."""
+    return _coef_table(spark, sf, ["ammag_adjusted", "gamma_adjusted"])
+
+
 @register("aft_by")
 def q_aft_by(spark, sf):
     """M7: one GG per blood-pressure group, all groups fitted in the same passes."""

@@ -237,3 +237,65 @@ def q_survival_design(spark, sf):
     d = cohort.survival_design(cohort.locf(_pp(spark, sf), S))
     return d.select("id", "visit", "sbp_group", "sbp_group1", "sbp_group2", "sbp_group3", "sbp_group4",
                     "income", "income_recode", "race", "race_recode")
+
+
+@register("select_cols", with_ctes("SELECT id, visit, t_start, t_stop, b_stop, measure, sbp, dbp FROM pp", "pp"))
+def q_select_cols(spark, sf):
+    """Projection by names, 'contains', positional range and minus."""
+    return clean.cols(_pp(spark, sf).select(*PP_COLUMNS), "id", "visit", "contains:_ST", "measure:dbp", "-b_start")
+
+
+@register("assign_if", with_ctes(
+    "SELECT id, visit, race, CASE WHEN race = 4 THEN 0 ELSE income END AS income FROM pp", "pp"))
+def q_assign_if(spark, sf):
+    """Conditional replace (null condition keeps the old value)."""
+    d = clean.assign_if(_pp(spark, sf), "income", 0, F.col("race") == 4)
+    return d.select("id", "visit", "race", "income")
+
+
+@register("interact", with_ctes(
+    f"SELECT id, visit, lbw, g2, lbw * g2 AS lbw_x_g2 FROM (SELECT *, CAST(CASE WHEN {_CUT_SQL.format(c='sbp')} = 2 "
+    "THEN 1 ELSE 0 END AS INT) AS g2 FROM pp)", "pp"))
+def q_interact(spark, sf):
+    """Interaction product of two columns."""
+    d = clean.cut(_pp(spark, sf), "sbp", clean.BP_BREAKS, out="g")
+    d = clean.dummies(d, "g", [2])
+    return clean.interact(d, "lbw", "g2", "lbw_x_g2").select("id", "visit", "lbw", "g2", "lbw_x_g2")
+
+
+_LABELS = {1: "[0, 50)", 2: "[50, 90)", 3: "[90, 95)", 4: "[95, 100]"}  # fixed display labels of the reference
+
+
+@register("relabel", with_ctes(
+    "SELECT id, visit, g AS sbp_group, CASE g " + " ".join(f"WHEN {k} THEN '{v}'" for k, v in _LABELS.items())
+    + " END AS sbp_label, CASE g " + " ".join(f"WHEN {k} THEN {i + 1}" for i, k in enumerate(_LABELS))
+    + f" END AS display_order FROM (SELECT *, {_CUT_SQL.format(c='sbp')} AS g FROM pp)", "pp"))
+def q_relabel(spark, sf):
+    """C14: display labels and display order for category codes."""
+    d = clean.cut(_pp(spark, sf), "sbp", clean.BP_BREAKS, out="sbp_group")
+    d = clean.relabel(d, "sbp_group", _LABELS, out="sbp_label", order_col="display_order")
+    return d.select("id", "visit", "sbp_group", "sbp_label", F.col("display_order").cast("int"))
+
+
+@register("apply_corrections", with_ctes(
+    "SELECT id, visit, COALESCE(sbp, 50.0) AS sbp, COALESCE(dbp, 50) AS dbp FROM pp", "pp"))
+def q_apply_corrections(spark, sf):
+    """Keyed corrections table (id, visit, column, value) joined and applied;
+    the table is derived by Spark from the rows with missing blood pressure."""
+    pp = _pp(spark, sf)
+    corr = (pp.filter(F.col("sbp").isNull()).select("id", "visit", F.lit("sbp").alias("column"), F.lit(50.0).alias("value"))
+            .unionByName(pp.filter(F.col("dbp").isNull())
+                         .select("id", "visit", F.lit("dbp").alias("column"), F.lit(50.0).alias("value"))))
+    d = periods.apply_corrections(pp, corr, ["id", "visit"], ["sbp", "dbp"])
+    return d.select("id", "visit", "sbp", "dbp")
+
+
+@register("factor_levels", with_ctes(
+    "SELECT name, CAST(row_number() OVER (PARTITION BY name ORDER BY level) AS INT) AS position, CAST(level AS VARCHAR) AS level "
+    "FROM (SELECT DISTINCT 'income' AS name, income AS level FROM pp WHERE income IS NOT NULL UNION ALL "
+    "SELECT DISTINCT 'race', race FROM pp UNION ALL SELECT DISTINCT 'lbw', lbw FROM pp)", "pp"))
+def q_factor_levels(spark, sf):
+    """Categorical declaration: sorted levels stored in column metadata, read back as rows."""
+    d = clean.label(clean.as_factor(_pp(spark, sf), ["income", "race", "lbw"]), {"income": "income class"})
+    rows = [(c, i + 1, lv) for c in ("income", "race", "lbw") for i, lv in enumerate(d.schema[c].metadata["levels"])]
+    return spark.createDataFrame(rows, "name string, position int, level string")
