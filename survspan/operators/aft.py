@@ -108,13 +108,17 @@ def _equations(kind, terms, lnsigma, kappa):
 def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "weibull",
         lnsigma: Sequence[str] = (), kappa: Sequence[str] = (), weight: str | None = None,
         max_iter: int = 50, start: FitResult | None = None, name: str | None = None) -> FitResult:
-    """Fit an AFT model; returns a FitResult (driver handle of one fits-table row)."""
+    """Fit an AFT model; returns a FitResult (driver handle of one fits-table row).
+
+    With ``start`` from a fit of the same data, its checkpointed design is reused."""
     if dist not in FAMILIES:
         raise ValueError(dist)
     if dist != "ggamma" and kappa:
         raise ValueError("kappa terms need dist='ggamma'")
     cols = list(dict.fromkeys(list(terms) + list(lnsigma) + list(kappa)))
-    design = model_frame(df, spec, cols, weight)
+    reuse = start is not None and start.extra.get("design") is not None and \
+        set(cols) <= set(start.extra.get("design_cols", ())) and start.extra.get("weight") == weight
+    design = start.extra["design"] if reuse else materialize_cols(df, spec, cols, weight)
     eqs = _equations(dist, terms, lnsigma, kappa)
     wcol = F.col(weight) if weight else F.lit(1.0)
     stats = design.agg(F.sum(wcol * (F.col("t") - F.col("t0"))).alias("T"), F.sum(wcol * F.col("d")).alias("D"),
@@ -129,19 +133,28 @@ def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "w
         for i, nm in enumerate(names):
             if nm in start.names:
                 theta0[i] = start.params[start.names.index(nm)]
-    (theta, ll, g, H, vcov, conv, it), _ = fit_distributed(design, family_model(dist), eqs, theta0, weight,
-                                                           max_iter=max_iter)
+    (theta, ll, g, H, vcov, conv, it), used = fit_distributed(design, family_model(dist), eqs, theta0, weight,
+                                                              max_iter=max_iter, checkpoint=False)
     return FitResult(name or dist, eqs, theta, vcov, float(ll), int(N), D, conv, it,
-                     extra={"dist": dist, "loglik_logtime": float(ll) + SLT, "scale": "density"})
+                     extra={"dist": dist, "loglik_logtime": float(ll) + SLT, "scale": "density",
+                            "design": used, "design_cols": cols, "weight": weight})
 
 
 def aft_ggamma(df, spec, terms=(), lnsigma=(), kappa=(), weight=None, max_iter=50, name=None) -> FitResult:
     """GG fit started from the Weibull fit of the same mean terms (kappa = 1)."""
+    cols = list(dict.fromkeys(list(terms) + list(lnsigma) + list(kappa)))
     w = aft(df, spec, terms, "weibull", lnsigma=lnsigma, weight=weight, max_iter=max_iter)
+    w.extra["design"] = materialize_cols(df, spec, cols, weight) if set(cols) - set(w.extra["design_cols"]) else w.extra["design"]
+    w.extra["design_cols"] = cols
     return aft(df, spec, terms, "ggamma", lnsigma=lnsigma, kappa=kappa, weight=weight, max_iter=max_iter,
                start=w, name=name or "ggamma")
 
 
+def materialize_cols(df, spec, cols, weight):
+    from ..plans.scan import materialize
+    return materialize(model_frame(df, spec, cols, weight))
+
+
 def aft_by(df: DataFrame, spec: SurvSpec, by: str, dist: str = "ggamma", levels: Sequence | None = None,
            max_iter: int = 50) -> tuple[FitResult, list]:
     """M7: one model per stratum, all strata in one job per iteration: parameters

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..plans.scan import blocks_from_quantiles, ordered_scan
+from ..plans.scan import blocks_from_quantiles, materialize, ordered_scan
 from ..session import shuffle_partitions
 
 
@@ -20,46 +20,53 @@ def _ranked(df: DataFrame, col: str, by: Sequence[str] = (), n_blocks: int | Non
     """Rows of (by..., x, rn, n): rank 1..n of non-null ``col`` within ``by``."""
     by = list(by)
     d = df.select(*by, F.col(col).cast("double").alias("_qx")).filter(F.col("_qx").isNotNull() & ~F.isnan("_qx"))
+    # the projected column is checkpointed once: the quantile cuts and both
+    # sides of the blocked rank scan read it instead of the input's lineage
+    d = materialize(d)
     n_blocks = n_blocks or shuffle_partitions(df.sparkSession)
     d = blocks_from_quantiles(d, "_qx", n_blocks)
     return ordered_scan(d, by, ["_qx"], row_number="_rn", count="_n")
 
 
-def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), rule: str = "linear",
-              names: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Quantiles per group; rule 'linear' = R type 7 / DuckDB quantile_cont,
-    'stata' = mean of x(i), x(i+1) when i = n p is whole, else x(ceil i)."""
-    by = list(by)
-    names = list(names) if names else [f"q{int(round(p * 1000)):03d}" for p in probs]
-    if approx:
-        arr = F.percentile_approx(F.col(col), list(probs), 10000)
-        out = df.groupBy(*by).agg(arr.alias("_qa"))
-        return out.select(*by, *[F.col("_qa")[i].alias(nm) for i, nm in enumerate(names)])
-    r = _ranked(df, col, by)
-    aggs = [F.max("_n").alias("_n")]
-    exprs = {}
+def _rank_aggs(probs: Sequence[float], names: Sequence[str], rule: str):
+    """Aggregates over a ranked frame (_qx, _rn, _n) picking the order statistics."""
+    aggs, exprs = [], {}
+    n, rn, x = F.col("_n"), F.col("_rn"), F.col("_qx")
     for p, nm in zip(probs, names):
         if rule == "linear":
-            h = (F.col("_n") - 1) * F.lit(float(p)) + 1
+            h = (n - 1) * F.lit(float(p)) + 1
             lo = F.floor(h)
-            hi = F.least(lo + 1, F.col("_n"))
-            aggs += [F.max(F.when(F.col("_rn") == lo, F.col("_qx"))).alias(f"_lo_{nm}"),
-                     F.max(F.when(F.col("_rn") == hi, F.col("_qx"))).alias(f"_hi_{nm}"),
+            hi = F.least(lo + 1, n)
+            aggs += [F.max(F.when(rn == lo, x)).alias(f"_lo_{nm}"), F.max(F.when(rn == hi, x)).alias(f"_hi_{nm}"),
                      F.max(h - lo).alias(f"_fr_{nm}")]
             exprs[nm] = F.col(f"_lo_{nm}") + F.col(f"_fr_{nm}") * (F.col(f"_hi_{nm}") - F.col(f"_lo_{nm}"))
         elif rule == "stata":
             pp = int(round(p * 100))  # whole percent
-            np_ = F.col("_n") * F.lit(pp)
+            np_ = n * F.lit(pp)
             whole = (np_ % 100) == 0
             i = F.floor(np_ / 100)
             ceil_i = F.floor((np_ + 99) / 100)
             a = F.when(whole, i).otherwise(ceil_i)
-            b = F.when(whole, F.least(i + 1, F.col("_n"))).otherwise(ceil_i)
-            aggs += [F.max(F.when(F.col("_rn") == a, F.col("_qx"))).alias(f"_lo_{nm}"),
-                     F.max(F.when(F.col("_rn") == b, F.col("_qx"))).alias(f"_hi_{nm}")]
+            b = F.when(whole, F.least(i + 1, n)).otherwise(ceil_i)
+            aggs += [F.max(F.when(rn == a, x)).alias(f"_lo_{nm}"), F.max(F.when(rn == b, x)).alias(f"_hi_{nm}")]
             exprs[nm] = (F.col(f"_lo_{nm}") + F.col(f"_hi_{nm}")) / 2
         else:
             raise ValueError(rule)
+    return aggs, exprs
+
+
+def quantiles(df: DataFrame, col: str, probs: Sequence[float], by: Sequence[str] = (), rule: str = "linear",
+              names: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
+    """Quantiles per group; rule 'linear' = R type 7 / DuckDB quantile_cont,
+    'stata' = mean of x(i), x(i+1) when i = n p is whole, else x(ceil i)."""
+    by = list(by)
+    names = list(names) if names else [f"q{int(round(p * 1000)):03d}" for p in probs]
+    if approx:
+        arr = F.percentile_approx(F.col(col), list(probs), 10000)
+        out = df.groupBy(*by).agg(arr.alias("_qa"))
+        return out.select(*by, *[F.col("_qa")[i].alias(nm) for i, nm in enumerate(names)])
+    r = _ranked(df, col, by)
+    aggs, exprs = _rank_aggs(probs, names, rule)
     g = r.groupBy(*by).agg(*aggs)
     return g.select(*by, *[e.alias(nm) for nm, e in exprs.items()])
 
@@ -72,23 +79,22 @@ def describe_quantiles(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataF
 
 def summarize_detail(df: DataFrame, col: str, by: Sequence[str] = ()) -> DataFrame:
     """N, mean, sd, variance, skewness, kurtosis (not excess), percentiles
-    1..99 by the Stata rule, 4 smallest and 4 largest values."""
+    1..99 by the Stata rule, 4 smallest and 4 largest values: one ranked pass,
+    one aggregate."""
     by = list(by)
-    x = F.col(col).cast("double")
-    mom = df.filter(x.isNotNull()).groupBy(*by).agg(
-        F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
-        F.var_samp(x).alias("variance"), F.skewness(x).alias("skewness"),
-        (F.kurtosis(x) + F.lit(3.0)).alias("kurtosis"))
     pcts = [1, 5, 10, 25, 50, 75, 90, 95, 99]
-    q = quantiles(df, col, [p / 100 for p in pcts], by, rule="stata", names=[f"p{p}" for p in pcts])
     r = _ranked(df, col, by)
-    ext = r.groupBy(*by).agg(
-        *[F.max(F.when(F.col("_rn") == k, F.col("_qx"))).alias(f"smallest_{k}") for k in (1, 2, 3, 4)],
-        *[F.max(F.when(F.col("_rn") == F.col("_n") - (k - 1), F.col("_qx"))).alias(f"largest_{k}") for k in (1, 2, 3, 4)])
-    keys = by or ["_one"]
-    parts = [t if by else t.withColumn("_one", F.lit(1)) for t in (mom, q, ext)]
-    out = parts[0].join(parts[1], on=keys).join(parts[2], on=keys)
-    return out if by else out.drop("_one")
+    aggs, exprs = _rank_aggs([p / 100 for p in pcts], [f"p{p}" for p in pcts], "stata")
+    x, rn, n = F.col("_qx"), F.col("_rn"), F.col("_n")
+    aggs += [F.count(x).alias("n"), F.avg(x).alias("mean"), F.stddev_samp(x).alias("sd"),
+             F.var_samp(x).alias("variance"), F.skewness(x).alias("skewness"),
+             (F.kurtosis(x) + F.lit(3.0)).alias("kurtosis")]
+    aggs += [F.max(F.when(rn == k, x)).alias(f"smallest_{k}") for k in (1, 2, 3, 4)]
+    aggs += [F.max(F.when(rn == n - (k - 1), x)).alias(f"largest_{k}") for k in (1, 2, 3, 4)]
+    g = r.groupBy(*by).agg(*aggs)
+    return g.select(*by, "n", "mean", "sd", "variance", "skewness", "kurtosis",
+                    *[e.alias(nm) for nm, e in exprs.items()],
+                    *[f"smallest_{k}" for k in (1, 2, 3, 4)], *[f"largest_{k}" for k in (1, 2, 3, 4)])
 
 
 def person_years(df: DataFrame, start: str, stop: str, event: str, by: Sequence[str] = (), scale: float = 1.0) -> DataFrame:

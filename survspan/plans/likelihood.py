@@ -150,6 +150,16 @@ def evaluate(design: DataFrame, model: RowModel, equations, theta: np.ndarray, w
     return vec[0], vec[1:1 + p], vec[1 + p:].reshape(p, p)
 
 
+def _decrement(g: np.ndarray, H: np.ndarray) -> float:
+    """Scaled gradient g' (-H)^-1 g (inf when -H is not positive definite)."""
+    try:
+        L = np.linalg.cholesky(-H)
+    except np.linalg.LinAlgError:
+        return float("inf")
+    v = np.linalg.solve(L, g)
+    return float(v @ v)
+
+
 def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float = 1e-10):
     """Driver-side Newton-Raphson with step halving; evalf(theta) -> (ll, g, H)."""
     theta = np.array(theta0, dtype=float)
@@ -191,8 +201,12 @@ def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float =
         if abs(change) < 1e-12 and np.max(np.abs(t * step)) < 1e-9:
             converged = True
             break
-        flat = flat + 1 if abs(change) < 1e-9 else 0
-        if flat >= 3:  # likelihood flat (e.g. a group without events): stop, not converged
+        # relative log-likelihood tolerance (1e-7, the common default of ML
+        # packages): a coefficient running off to infinity (a group without
+        # events) stops here and is reported as not converged
+        flat = flat + 1 if abs(change) <= 1e-7 * (1.0 + abs(ll)) else 0
+        if flat >= 2:
+            converged = _decrement(g, H) < 1e-5 and np.all(np.isfinite(theta))
             break
     try:
         vcov = np.linalg.inv(-H)
@@ -203,6 +217,7 @@ def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float =
 
 def fit_distributed(design: DataFrame, model: RowModel, equations, theta0, weight: str | None = None,
                     max_iter: int = 50, checkpoint: bool = True):
+    """Newton fit over ``design``; returns ((theta, ll, g, H, vcov, converged, iterations), design_used)."""
     if checkpoint:
         design = materialize(design)
     return newton(lambda th: evaluate(design, model, equations, th, weight), theta0, max_iter=max_iter), design
