@@ -1,0 +1,8 @@
+"""Streaming.
+
+The analysed reference has no stream, watermark, late-data or stateful operator:
+all of its work is batch analysis of a finished cohort.  There is therefore no
+streaming parity item, and this package holds no operator (adding one would be
+a feature the reference does not have).  Person-period building, risk sets and
+fits are batch jobs in ``sources``, ``operators`` and ``plans``.
+"""
