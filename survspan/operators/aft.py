@@ -152,7 +152,7 @@ def aft_ggamma(df, spec, terms=(), lnsigma=(), kappa=(), weight=None, max_iter=5
 
 def materialize_cols(df, spec, cols, weight):
     from ..plans.scan import materialize
-    return materialize(model_frame(df, spec, cols, weight))
+    return materialize(model_frame(df, spec, cols, weight), spread=True)
 
 
 def aft_by(df: DataFrame, spec: SurvSpec, by: str, dist: str = "ggamma", levels: Sequence | None = None,
@@ -165,7 +165,8 @@ def aft_by(df: DataFrame, spec: SurvSpec, by: str, dist: str = "ggamma", levels:
     cells = [f"_{by}_{v}" for v in levels]
     d = df.withColumns({c: (F.col(by) == F.lit(v)).cast("double") for c, v in zip(cells, levels)})
     d = d.filter(F.col(by).isin(levels))
-    design = model_frame(d, spec, cells)
+    from ..plans.scan import materialize
+    design = materialize(model_frame(d, spec, cells), spread=True)
     eqs = [("mu", cells)]
     if dist != "exponential":
         eqs.append(("lnsigma", cells))
@@ -182,7 +183,7 @@ def aft_by(df: DataFrame, spec: SurvSpec, by: str, dist: str = "ggamma", levels:
     if dist == "ggamma":
         w_eqs = [e for e in eqs if e[0] != "kappa"]
         (tw, *_), design_ck = fit_distributed(design, family_model("weibull"), w_eqs, theta0[:2 * len(cells)],
-                                              max_iter=max_iter)
+                                              max_iter=max_iter, checkpoint=False)
         theta0[:2 * len(cells)] = tw
         for c in cells:
             theta0[names.index(("kappa", c))] = 1.0
@@ -190,7 +191,7 @@ def aft_by(df: DataFrame, spec: SurvSpec, by: str, dist: str = "ggamma", levels:
                                                                max_iter=max_iter, checkpoint=False)
     else:
         (theta, ll, g, H, vcov, conv, it), _ = fit_distributed(design, family_model(dist), eqs, theta0,
-                                                               max_iter=max_iter)
+                                                               max_iter=max_iter, checkpoint=False)
     fit = FitResult(f"{dist}_by_{by}", eqs, theta, vcov, float(ll), int(stats["N"]), float(stats["D"]), conv, it,
                     extra={"dist": dist, "loglik_logtime": float(ll) + float(stats["SLT"] or 0.0), "levels": levels})
     return fit, levels

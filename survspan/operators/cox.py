@@ -112,7 +112,7 @@ def cox(df: DataFrame, spec: SurvSpec, terms: Sequence[str], strata: str | None
     if ties not in ("breslow",):
         raise ValueError("ties: only 'breslow' (equal to Efron when event times do not tie)")
     terms = list(terms)
-    design = materialize(cox_design(df, spec, terms, strata, weight))
+    design = materialize(cox_design(df, spec, terms, strata, weight), spread=True)
     ref = blocks_from_quantiles(design.select(F.col("t").alias("time")), "time",
                                 shuffle_partitions(design.sparkSession))
     cnt = design.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("d")).alias("D")).collect()[0]

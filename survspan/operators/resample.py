@@ -36,7 +36,7 @@ def bootstrap_aft(df: DataFrame, spec: SurvSpec, key_cols: Sequence[str], start:
     cols = list(dict.fromkeys(t for _e, ts in eqs for t in ts if t != CONS))
     design = aft.model_frame(df.withColumn("_rk", F.xxhash64(*key_cols)), spec, cols + ["_rk"])
     design = design.withColumn("_rk", F.col("_rk").cast("long"))
-    design = materialize(design)
+    design = materialize(design, spread=True)
     res = newton_reps(design, aft.family_model(dist), eqs, start.params, list(range(1, reps + 1)), seed,
                       max_iter=max_iter)
     terms = [f"{e}:{t}" for e, t in start.names]

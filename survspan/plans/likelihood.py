@@ -146,7 +146,7 @@ def evaluate(design: DataFrame, model: RowModel, equations, theta: np.ndarray, w
     rows = parts.groupBy("k").agg(F.sum("v").alias("v")).collect()
     vec = np.zeros(1 + p + p * p)
     for r in rows:
-        vec[r["k"]] = r["v"]
+        vec[r["k"]] = np.nan if r["v"] is None else r["v"]  # Arrow turns NaN into null
     return vec[0], vec[1:1 + p], vec[1 + p:].reshape(p, p)
 
 
@@ -219,7 +219,7 @@ def fit_distributed(design: DataFrame, model: RowModel, equations, theta0, weigh
                     max_iter: int = 50, checkpoint: bool = True):
     """Newton fit over ``design``; returns ((theta, ll, g, H, vcov, converged, iterations), design_used)."""
     if checkpoint:
-        design = materialize(design)
+        design = materialize(design, spread=True)
     return newton(lambda th: evaluate(design, model, equations, th, weight), theta0, max_iter=max_iter), design
 
 
@@ -263,6 +263,38 @@ def poisson_weights(row_keys: np.ndarray, reps: np.ndarray, seed: int) -> np.nda
     return np.searchsorted(_poisson1_cdf(), u, side="right").astype(np.float64)
 
 
+REP_CHUNK = 64  # replicates evaluated together in one kernel call
+
+
+def batch_stats_reps(model: RowModel, equations, thetas: np.ndarray, pdf: pd.DataFrame, W: np.ndarray):
+    """Per-replicate (loglik, grad, hess) of one batch: all replicates of a chunk in
+    one vectorised kernel call.  thetas (R, p), W (n, R) weights."""
+    Xs = _design_arrays(pdf, equations)
+    sizes = [x.shape[1] for x in Xs]
+    offs = np.cumsum([0] + sizes)
+    n, R = W.shape
+    m = len(Xs)
+    eta = np.stack([Xs[j] @ thetas[:, offs[j]:offs[j + 1]].T for j in range(m)], axis=-1)  # (n, R, m)
+    data = {c: np.repeat(pdf[c].to_numpy(dtype=float), R) for c in model.data_cols}
+    f0, g, H = _eta_derivs(model, eta.reshape(n * R, m), data)
+    f0 = f0.reshape(n, R)
+    g = g.reshape(n, R, m)
+    H = H.reshape(n, R, m, m)
+    with np.errstate(invalid="ignore"):
+        wf = np.where(W > 0, W * f0, 0.0)
+        wg = np.where(W[..., None] > 0, W[..., None] * g, 0.0)
+        wH = np.where(W[..., None, None] > 0, W[..., None, None] * H, 0.0)
+    p = offs[-1]
+    ll = wf.sum(axis=0)
+    grad = np.zeros((R, p))
+    hess = np.zeros((R, p, p))
+    for a in range(m):
+        grad[:, offs[a]:offs[a + 1]] = np.einsum("ni,nr->ri", Xs[a], wg[:, :, a])
+        for b in range(m):
+            hess[:, offs[a]:offs[a + 1], offs[b]:offs[b + 1]] = np.einsum("ni,nr,nk->rik", Xs[a], wH[:, :, a, b], Xs[b])
+    return ll, grad, hess
+
+
 def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, seed: int, key_col: str = "_rk"):
     """One Spark job: (loglik, grad, hess) for every replicate in ``thetas`` (rep -> theta)."""
     reps = np.array(sorted(thetas), dtype=np.int64)
@@ -275,18 +307,15 @@ def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, s
         for pdf in it:
             if len(pdf) == 0:
                 continue
-            W = poisson_weights(pdf[key_col].to_numpy(), reps, seed)
-            for i in range(len(reps)):
-                w = W[:, i]
-                sel = w > 0
-                if not sel.any():
-                    continue
-                sub = pdf[sel].assign(_bw=w[sel])
-                a, b, c = batch_stats(model, equations, th[i], sub, "_bw")
-                acc[i, 0] += a
-                acc[i, 1:1 + p] += b
-                acc[i, 1 + p:] += c.ravel()
-                seen = True
+            keys = pdf[key_col].to_numpy()
+            for c0 in range(0, len(reps), REP_CHUNK):
+                sl = slice(c0, c0 + REP_CHUNK)
+                W = poisson_weights(keys, reps[sl], seed)
+                ll, g, H = batch_stats_reps(model, equations, th[sl], pdf, W)
+                acc[sl, 0] += ll
+                acc[sl, 1:1 + p] += g
+                acc[sl, 1 + p:] += H.reshape(H.shape[0], -1)
+            seen = True
         if seen:
             rr = np.repeat(reps, acc.shape[1])
             kk = np.tile(np.arange(acc.shape[1]), len(reps))
@@ -298,7 +327,8 @@ def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, s
         .groupBy("rep", "k").agg(F.sum("v").alias("v")).collect()
     out = {int(r): [0.0, np.zeros(p), np.zeros((p, p))] for r in reps}
     for r in rows:
-        rep, k, v = int(r["rep"]), int(r["k"]), float(r["v"])
+        rep, k = int(r["rep"]), int(r["k"])
+        v = np.nan if r["v"] is None else float(r["v"])  # Arrow turns NaN into null
         if k == 0:
             out[rep][0] = v
         elif k <= p:
@@ -330,7 +360,7 @@ def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarra
     rounds = 0
     while True:
         active = {r: s["cand"] for r, s in st.items() if not s["done"]}
-        if not active or rounds > 4 * max_iter:
+        if not active or rounds >= 2 * max_iter:
             break
         rounds += 1
         res = evaluate_reps(design, model, equations, active, seed, key_col)
@@ -338,7 +368,12 @@ def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarra
             s = st[r]
             ll, g, H = res[r]
             if s["ll"] is None or (np.isfinite(ll) and ll >= s["ll"] - 1e-12):
+                change = np.inf if s["ll"] is None else ll - s["ll"]
                 s["theta"], s["ll"], s["g"], s["H"] = s["cand"], ll, g, H
+                s["flat"] = s.get("flat", 0) + 1 if abs(change) <= 1e-7 * (1.0 + abs(ll)) else 0
+                if s["flat"] >= 2:  # relative log-likelihood tolerance
+                    s["done"], s["conv"] = True, _decrement(g, H) < 1e-5
+                    continue
                 if not np.isfinite(ll):
                     s["done"] = True
                     continue
@@ -357,7 +392,7 @@ def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarra
                 s["cand"] = s["theta"] + step
             else:
                 s["t"] /= 2
-                if s["t"] < 2 ** -25:
+                if s["t"] < 2 ** -10:
                     s["done"] = True
                     continue
                 s["cand"] = s["theta"] + s["t"] * s["step"]

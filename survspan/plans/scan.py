@@ -215,10 +215,18 @@ def mark_blocks(df: DataFrame, hot: bool, block: str = BLOCK) -> DataFrame:
     return df.withMetadata(block, meta)
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint in spark.checkpoint.dir (survives executor loss, cuts lineage)."""
+def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
+    """Reliable checkpoint in spark.checkpoint.dir (survives executor loss, cuts lineage).
+
+    ``spread=True`` (designs of iterative fits) first deals the rows round-robin
+    over max(default parallelism, shuffle partitions) partitions, so every pass of
+    a fit uses all cores even when the input was coalesced to a few partitions."""
     from ..session import ensure_checkpoint_dir
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    if spread:
+        k = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+        df = df.repartition(k)
     return df.checkpoint(eager=True)
 
 
