@@ -46,14 +46,16 @@ def events_person_periods(events: DataFrame, block_rows: int = SUBJECT_BLOCK_ROW
     (fixed masks on event_id give missing values, as the fixture defines).
     """
     ts_type = dict(events.dtypes)["ts"]
+    # partition on the string subject id from the start, so every later
+    # per-subject step (keyed on `id`) reuses this one shuffle
     e = events.select(
-        "user_id", "event_id", "event_type", "value",
+        F.col("user_id").cast("string").alias("id"), "user_id", "event_id", "event_type", "value",
         epoch_micros("ts", ts_type).alias("us"),
         F.get_json_object("props", "$.k").try_cast("int").alias("k"),
     )
-    e = blocks_for_hot_groups(e, ["user_id"], "us", block_rows)
+    e = blocks_for_hot_groups(e, ["id"], "us", block_rows)
     w = ordered_scan(
-        e, ["user_id"], ["us", "event_id"],
+        e, ["id"], ["us", "event_id"],
         row_number="visit",
         lead={"next_us": "us", "next_type": "event_type", "next_value": "value"},
         minimum={"us0": "us"},
@@ -64,7 +66,7 @@ def events_person_periods(events: DataFrame, block_rows: int = SUBJECT_BLOCK_ROW
               .otherwise(0))
     eid = F.col("event_id")
     cols = [
-        F.col("user_id").cast("string").alias("id"),
+        F.col("id"),
         F.col("visit").cast("int").alias("visit"),
         ((F.col("us") - F.lit(EPOCH_2024_US)) / F.lit(DAY_US)).alias("t_start"),
         ((F.col("next_us") - F.lit(EPOCH_2024_US)) / F.lit(DAY_US)).alias("t_stop"),
