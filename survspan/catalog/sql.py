@@ -6,7 +6,7 @@ The oracle is written independently of the Spark plan: ordinary
 
 from __future__ import annotations
 
-from ..sources.person_period import pp_oracle_cte
+from ..sources.person_period import orders_pp_oracle_cte, pp_oracle_cte
 
 W_ID = "PARTITION BY id ORDER BY visit"
 
@@ -23,6 +23,7 @@ def _cut(c: str, out: str) -> str:
 
 CTE = {
     "pp": pp_oracle_cte(),
+    "ppo": orders_pp_oracle_cte(),
     "o1": f"""o1 AS (SELECT *, CAST(CASE WHEN status IN (1, 2) THEN 1 WHEN measure < 0.5 THEN 1
         WHEN measure < 0.005 * first_value(measure) OVER ({W_ID} ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) THEN 1
         WHEN status = 0 AND measure IS NULL THEN NULL ELSE 0 END AS INT) AS outcome FROM pp)""",
@@ -61,7 +62,7 @@ CTE = {
 }
 
 DEPS = {
-    "pp": [], "o1": ["pp"], "o2": ["o1"], "o3": ["o2"], "o4": ["o3"],
+    "pp": [], "ppo": [], "o1": ["pp"], "o2": ["o1"], "o3": ["o2"], "o4": ["o3"],
     "l1": ["o4"], "l2": ["l1"], "l3": ["l2"], "l4": ["l3"], "l5": ["l4"], "locf": ["l5"],
     "c1": ["o4"], "c2": ["c1"], "c3": ["c2"], "cc": ["c3"], "sd": ["locf"],
 }

@@ -191,3 +191,21 @@ def q_trend(spark, sf):
     """Cubic regression spline of the measure against time (fixed knots)."""
     t = survival.trend(person_periods(spark, sf), "t_stop", "sbp")
     return t.select("t", r6("fit"))
+
+
+@register("pp_orders", with_ctes("SELECT * FROM ppo", "ppo"))
+def q_pp_orders(spark, sf):
+    """Second source: person-periods of consecutive orders per customer (ties on the
+    order date broken by order key)."""
+    from ..sources.person_period import orders_person_periods, read_table
+    d = orders_person_periods(read_table(spark, sf, "orders"))
+    return d.select("id", "visit", "t_start", "t_stop", "b_start", "b_stop", "status", "measure")
+
+
+@register("km_orders", with_ctes(f"SELECT {_KM_SEL} FROM km WHERE n_exit > 0", "ppo",
+                                 extra=_tt_sql("ppo", "1", "b_start", "b_stop", "status")))
+def q_km_orders(spark, sf):
+    """S3 on the orders source: time from a customer's first order to the next fulfilled order."""
+    from ..sources.person_period import orders_person_periods, read_table
+    d = orders_person_periods(read_table(spark, sf, "orders"))
+    return _km_cols(survival.kaplan_meier(d, survival.SurvSpec("b_start", "b_stop", "status")), [])

@@ -95,16 +95,16 @@ def orders_person_periods(orders: DataFrame, block_rows: int = SUBJECT_BLOCK_ROW
     the customer's first order.
     """
     ts_type = dict(orders.dtypes)["o_orderdate"]
-    o = orders.select("o_custkey", "o_orderkey", "o_orderstatus", "o_totalprice",
+    o = orders.select(F.col("o_custkey").cast("string").alias("id"), "o_orderkey", "o_orderstatus", "o_totalprice",
                       epoch_micros("o_orderdate", ts_type).alias("us"))
-    o = blocks_for_hot_groups(o, ["o_custkey"], "us", block_rows)
-    w = ordered_scan(o, ["o_custkey"], ["us", "o_orderkey"], row_number="visit",
+    o = blocks_for_hot_groups(o, ["id"], "us", block_rows)
+    w = ordered_scan(o, ["id"], ["us", "o_orderkey"], row_number="visit",
                      lead={"next_us": "us", "next_status": "o_orderstatus"},
                      minimum={"us0": "us"})
     w = w.filter(F.col("next_us").isNotNull())
     base = 694224000000000  # 1992-01-01
     out = w.select(
-        F.col("o_custkey").cast("string").alias("id"),
+        F.col("id"),
         F.col("visit").cast("int").alias("visit"),
         ((F.col("us") - F.lit(base)) / F.lit(DAY_US)).alias("t_start"),
         ((F.col("next_us") - F.lit(base)) / F.lit(DAY_US)).alias("t_stop"),
@@ -146,3 +146,18 @@ def pp_oracle_cte() -> str:
          CASE WHEN event_id % 11 = 0 THEN NULL ELSE CAST(event_id % 8 AS INT) + 1 END AS income,
          CAST(user_id % 4 AS INT) + 1 AS race, CAST(user_id % 2 AS INT) AS lbw
   FROM w WHERE next_us IS NOT NULL)"""
+
+
+def orders_pp_oracle_cte() -> str:
+    """The orders person-periods in DuckDB SQL."""
+    return """ppo AS (
+  WITH o AS (SELECT o_custkey, o_orderkey, o_orderstatus, o_totalprice, epoch_us(o_orderdate) AS us FROM orders),
+  w AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY us, o_orderkey) AS visit,
+        lead(us) OVER (PARTITION BY o_custkey ORDER BY us, o_orderkey) AS next_us,
+        lead(o_orderstatus) OVER (PARTITION BY o_custkey ORDER BY us, o_orderkey) AS next_status,
+        min(us) OVER (PARTITION BY o_custkey) AS us0 FROM o)
+  SELECT CAST(o_custkey AS VARCHAR) AS id, CAST(visit AS INT) AS visit,
+         (us - 694224000000000) / 86400000000e0 AS t_start, (next_us - 694224000000000) / 86400000000e0 AS t_stop,
+         (us - us0) / 86400000000e0 AS b_start, (next_us - us0) / 86400000000e0 AS b_stop,
+         CAST(CASE WHEN next_status = 'F' THEN 1 ELSE 0 END AS INT) AS status, o_totalprice AS measure
+  FROM w WHERE next_us IS NOT NULL)"""
