@@ -65,6 +65,8 @@ def fit_named(spark, sf, key: str):
             return aft.aft(d, SPEC, ADJUST, "gamma", name=key)
         if key == "cox_crude":
             return cox.cox(d, SPEC, GROUPS, name=key)
+        if key == "cox_efron":
+            return cox.cox(d, SPEC, GROUPS, ties="efron", name=key)
         if key == "cox_adjusted":
             return cox.cox(d, SPEC, ADJUST, name=key)
         if key == "cox_trend":
@@ -295,6 +297,12 @@ def q_cox_fit(spark, sf):
     return _coef_table(spark, sf, ["cox_crude"], exponentiate=True)
 
 
+@register("cox_efron")
+def q_cox_efron(spark, sf):
+    """X1 with Efron ties (R's default); equals Breslow when no event times tie."""
+    return _coef_table(spark, sf, ["cox_efron"], exponentiate=True)
+
+
 @register("cox_adjusted")
 def q_cox_adjusted(spark, sf):
     """Adjusted Cox."""

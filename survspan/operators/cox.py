@@ -1,4 +1,4 @@
-"""Cox proportional hazards with delayed entry (X1-X9), Breslow ties.
+"""Cox proportional hazards with delayed entry (X1-X9), Breslow or Efron ties.
 
 One Newton iteration is one Spark job over the (checkpointed) design:
 
@@ -11,8 +11,9 @@ One Newton iteration is one Spark job over the (checkpointed) design:
    reaches the driver (p + p^2 + 1 numbers).
 
 No range join and no per-time broadcast: cost is linear in rows.  The time
-cut list for the blocked scan is computed once per fit.  Without tied event
-times Breslow and Efron coincide; with continuous clocks ties are rare.
+cut list for the blocked scan is computed once per fit.  Efron's correction
+uses the tied events' own moments (extra columns of the same time table) and a
+higher-order aggregate over l = 0..d-1 at each event time.
 """
 
 from __future__ import annotations
@@ -55,7 +56,8 @@ def _pairs(p):
     return [(j, k) for j in range(p) for k in range(j, p)]
 
 
-def risk_moments(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_ref: DataFrame | None = None):
+def risk_moments(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_ref: DataFrame | None = None,
+                 efron: bool = False):
     """Per (stratum, time) table with risk-set moments S0, S1_j, S2_jk and event sums."""
     p = len(terms)
     r = F.col("w") * F.exp(_xb(terms, beta))
@@ -68,6 +70,9 @@ def risk_moments(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts
     ev = {"D": F.col("w") * F.col("d"), "Dxb": F.col("w") * F.col("d") * _xb(terms, beta)}
     for j, t in enumerate(terms):
         ev[f"Dx_{j}"] = F.col("w") * F.col("d") * F.col(t)
+    if efron:  # moments of the tied events themselves
+        for n, e in vals.items():
+            ev[f"A_{n}"] = F.col("d") * e
     zero_ev = {k: F.lit(0.0) for k in ev}
     ent = design.select("_stratum", F.col("t0").alias("time"), *[e.alias(n) for n, e in vals.items()],
                         *[e.alias(n) for n, e in zero_ev.items()])
@@ -85,18 +90,41 @@ def risk_moments(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts
     return tt.withColumns(risk), vnames
 
 
-def cox_stats(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_ref: DataFrame | None = None):
+def _efron_sum(fn):
+    """sum over l = 0..d-1 of fn(phi_l), phi_l = l / d, at one event time (d tied events)."""
+    d = F.col("D")
+    return F.aggregate(F.sequence(F.lit(0), d.cast("int") - 1), F.lit(0.0),
+                       lambda acc, l: acc + fn(l.cast("double") / d))
+
+
+def cox_stats(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_ref: DataFrame | None = None,
+              ties: str = "breslow"):
     """(loglik, score, information) at beta: one distributed pass."""
     p = len(terms)
-    tt, _ = risk_moments(design, terms, beta, cuts_ref)
+    efron = ties == "efron"
+    tt, _ = risk_moments(design, terms, beta, cuts_ref, efron=efron)
     e = tt.filter(F.col("D") > 0)
     s0 = F.col("S_v0")
-    aggs = [F.sum(F.col("Dxb") - F.col("D") * F.log(s0)).alias("ll")]
-    for j in range(p):
-        aggs.append(F.sum(F.col(f"Dx_{j}") - F.col("D") * F.col(f"S_v1_{j}") / s0).alias(f"u_{j}"))
-    for j, k in _pairs(p):
-        aggs.append(F.sum(F.col("D") * (F.col(f"S_v2_{j}_{k}") / s0
-                                        - F.col(f"S_v1_{j}") * F.col(f"S_v1_{k}") / (s0 * s0))).alias(f"i_{j}_{k}"))
+    if efron:
+        def den(ph):
+            return s0 - ph * F.col("A_v0")
+
+        def s1(j, ph):
+            return F.col(f"S_v1_{j}") - ph * F.col(f"A_v1_{j}")
+
+        aggs = [F.sum(F.col("Dxb") - _efron_sum(lambda ph: F.log(den(ph)))).alias("ll")]
+        for j in range(p):
+            aggs.append(F.sum(F.col(f"Dx_{j}") - _efron_sum(lambda ph, j=j: s1(j, ph) / den(ph))).alias(f"u_{j}"))
+        for j, k in _pairs(p):
+            aggs.append(F.sum(_efron_sum(lambda ph, j=j, k=k: (F.col(f"S_v2_{j}_{k}") - ph * F.col(f"A_v2_{j}_{k}")) / den(ph)
+                                         - s1(j, ph) * s1(k, ph) / (den(ph) * den(ph)))).alias(f"i_{j}_{k}"))
+    else:
+        aggs = [F.sum(F.col("Dxb") - F.col("D") * F.log(s0)).alias("ll")]
+        for j in range(p):
+            aggs.append(F.sum(F.col(f"Dx_{j}") - F.col("D") * F.col(f"S_v1_{j}") / s0).alias(f"u_{j}"))
+        for j, k in _pairs(p):
+            aggs.append(F.sum(F.col("D") * (F.col(f"S_v2_{j}_{k}") / s0
+                                            - F.col(f"S_v1_{j}") * F.col(f"S_v1_{k}") / (s0 * s0))).alias(f"i_{j}_{k}"))
     row = e.agg(*aggs).collect()[0]
     ll = float(row["ll"] or 0.0)
     u = np.array([float(row[f"u_{j}"] or 0.0) for j in range(p)])
@@ -108,20 +136,23 @@ def cox_stats(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_re
 
 def cox(df: DataFrame, spec: SurvSpec, terms: Sequence[str], strata: str | None = None, weight: str | None = None,
         ties: str = "breslow", max_iter: int = 50, name: str = "cox") -> FitResult:
-    """Cox PH with delayed entry; Newton on the driver, every pass on Spark."""
-    if ties not in ("breslow",):
-        raise ValueError("ties: only 'breslow' (equal to Efron when event times do not tie)")
+    """Cox PH with delayed entry, ties 'breslow' (Stata's default) or 'efron'
+    (R's default; unit weights); Newton on the driver, every pass on Spark."""
+    if ties not in ("breslow", "efron"):
+        raise ValueError("ties: 'breslow' or 'efron'")
+    if ties == "efron" and weight:
+        raise ValueError("efron ties are implemented for unit weights")
     terms = list(terms)
     design = materialize(cox_design(df, spec, terms, strata, weight), spread=True)
     ref = blocks_from_quantiles(design.select(F.col("t").alias("time")), "time",
                                 shuffle_partitions(design.sparkSession))
     cnt = design.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("d")).alias("D")).collect()[0]
     theta, ll, g, H, vcov, conv, it = newton(
-        lambda b: (lambda r: (r[0], r[1], -r[2]))(cox_stats(design, terms, b, ref)),
+        lambda b: (lambda r: (r[0], r[1], -r[2]))(cox_stats(design, terms, b, ref, ties)),
         np.zeros(len(terms)), max_iter=max_iter)
-    ll0 = cox_stats(design, terms, np.zeros(len(terms)), ref)[0]
+    ll0 = cox_stats(design, terms, np.zeros(len(terms)), ref, ties)[0]
     fit = FitResult(name, [("xb", terms)], theta, vcov, ll, int(cnt["n"]), float(cnt["D"] or 0), conv, it,
-                    extra={"dist": "cox", "ll0": ll0, "design": design, "cuts": ref, "strata": strata})
+                    extra={"dist": "cox", "ll0": ll0, "design": design, "cuts": ref, "strata": strata, "ties": ties})
     return fit
 
 
