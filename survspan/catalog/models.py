@@ -335,11 +335,11 @@ _EP_SQL = with_ctes(
 def q_episodes(spark, sf):
     """Intervals split at every distinct event time strictly inside them."""
     d = cohort.locf(person_periods(spark, sf), S)
-    ev = d.filter(F.col("outcome") == 1).select(F.col("t_stop").alias("c")).distinct() \
-        .limit(cox.MAX_CUTS + 1).collect()
-    if len(ev) > cox.MAX_CUTS:
-        raise ValueError("too many event times for the split list")
-    return cox.split_episodes(d, SPEC, [r["c"] for r in ev], keep=["id", "visit"])
+    cut_df = d.filter(F.col("outcome") == 1).select(F.col("t_stop").alias("c")).distinct()
+    ev = cut_df.limit(cox.MAX_CUTS + 1).collect()
+    if len(ev) <= cox.MAX_CUTS:
+        return cox.split_episodes(d, SPEC, [r["c"] for r in ev], keep=["id", "visit"])
+    return cox.split_episodes_join(d, SPEC, cut_df, keep=["id", "visit"])
 
 
 @register("schoenfeld")

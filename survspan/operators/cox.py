@@ -21,7 +21,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.likelihood import FitResult, newton
@@ -191,7 +191,39 @@ def split_episodes(df: DataFrame, spec: SurvSpec, cuts: Sequence[float], keep: S
                     F.when(last, F.col("_ev")).otherwise(F.lit(0)).cast("int").alias("e_event"))
 
 
-MAX_CUTS = 200_000
+MAX_CUTS = 10_000  # above this, cuts stay a DataFrame and are matched by a binned equi-join
+
+
+def split_episodes_join(df: DataFrame, spec: SurvSpec, cuts: DataFrame, keep: Sequence[str] = (),
+                        n_bins: int | None = None) -> DataFrame:
+    """X6 for any number of cut times: cuts (column ``c``) and intervals meet in
+    time bins (equi-join on the bin, filter start < c < stop inside it), then
+    each interval's boundaries are ordered by a window over the interval.
+    Exact; no broadcast, no range join, no cap."""
+    from pyspark.ml.feature import Bucketizer
+
+    spark = df.sparkSession
+    n_bins = n_bins or max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    probs = [i / n_bins for i in range(1, n_bins)]
+    edges = sorted(set(cuts.select(F.col("c").cast("double").alias("c")).approxQuantile("c", probs, 0.001)))
+    splits = [float("-inf")] + edges + [float("inf")]
+    rows = materialize(df.withColumn("_row", F.monotonically_increasing_id()))
+    bz = lambda i, o: Bucketizer(splits=splits, inputCol=i, outputCol=o, handleInvalid="keep")
+    r = bz("_e", "_be").transform(bz("_s", "_bs").transform(
+        rows.withColumns({"_s": F.col(spec.start).cast("double"), "_e": F.col(spec.stop).cast("double")})))
+    spans = r.select("_row", "_s", "_e", F.explode(F.sequence(F.col("_bs").cast("int"), F.col("_be").cast("int"))).alias("_bin"))
+    cb = bz("c", "_bin").transform(cuts.select(F.col("c").cast("double").alias("c")).distinct()) \
+        .withColumn("_bin", F.col("_bin").cast("int"))
+    inner = spans.join(cb, "_bin").filter((F.col("c") > F.col("_s")) & (F.col("c") < F.col("_e"))) \
+        .select("_row", F.col("c").alias("_b"))
+    bounds = rows.select("_row", F.col(spec.start).cast("double").alias("_b")) \
+        .unionByName(rows.select("_row", F.col(spec.stop).cast("double").alias("_b"))).unionByName(inner)
+    w = Window.partitionBy("_row").orderBy("_b")
+    ep = bounds.withColumn("_nb", F.lead("_b").over(w)).filter(F.col("_nb").isNotNull())
+    j = ep.join(rows.select("_row", *keep, F.col(spec.stop).cast("double").alias("_stop"), F.col(spec.event).alias("_ev")),
+                "_row")
+    return j.select(*keep, F.col("_b").alias("e_start"), F.col("_nb").alias("e_stop"),
+                    F.when(F.col("_nb") == F.col("_stop"), F.col("_ev")).otherwise(F.lit(0)).cast("int").alias("e_event"))
 
 
 def cox_tvc(df: DataFrame, spec: SurvSpec, terms: Sequence[str], tvc: Sequence[str],
@@ -203,13 +235,14 @@ def cox_tvc(df: DataFrame, spec: SurvSpec, terms: Sequence[str], tvc: Sequence[s
     episode (a, b] the only event time it is at risk for is b, and the time
     function is evaluated there.  The event-time list is bounded (checked)."""
     ev = F.col(spec.event)
-    times = (df.filter(ev.isNotNull() & (ev != 0)).select(F.col(spec.stop).cast("double").alias("c"))
-             .distinct().limit(MAX_CUTS + 1).collect())
-    if len(times) > MAX_CUTS:
-        raise ValueError("more than MAX_CUTS distinct event times; split by a coarser time function")
-    cuts = [r["c"] for r in times]
+    cut_df = df.filter(ev.isNotNull() & (ev != 0)).select(F.col(spec.stop).cast("double").alias("c")).distinct()
+    times = cut_df.limit(MAX_CUTS + 1).collect()
     cols = list(dict.fromkeys(list(terms) + list(tvc) + list(keep)))
-    ep = split_episodes(df.select(*cols, spec.start, spec.stop, spec.event), spec, cuts, keep=cols)
+    src = df.select(*cols, spec.start, spec.stop, spec.event)
+    if len(times) <= MAX_CUTS:  # small cut list: array lookup per row
+        ep = split_episodes(src, spec, [r["c"] for r in times], keep=cols)
+    else:                       # any size: binned equi-join
+        ep = split_episodes_join(src, spec, cut_df, keep=cols)
     names = []
     for z in tvc:
         nm = f"{z}_t"

@@ -90,3 +90,13 @@ def test_cox_efron_matches_brute_force(spark):
     for delta in (np.array([0.01, 0]), np.array([0, -0.01])):
         assert ll(f.params + delta) < f.loglik
     assert abs(f.loglik - b.loglik) > 1e-6  # ties present: the two methods differ
+
+
+def test_split_episodes_join_equals_array(spark):
+    d = cohort.locf(person_periods(spark, SF001))
+    cut_df = d.filter(F.col("outcome") == 1).select(F.col("t_stop").alias("c")).distinct()
+    cuts = [r["c"] for r in cut_df.collect()]
+    a = cox.split_episodes(d, SPEC, cuts, keep=["id", "visit"])
+    b = cox.split_episodes_join(d, SPEC, cut_df, keep=["id", "visit"], n_bins=3)
+    from conftest import rows
+    assert rows(a) == rows(b) and len(rows(a)) > d.count()
