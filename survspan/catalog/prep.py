@@ -299,3 +299,12 @@ def q_factor_levels(spark, sf):
     d = clean.label(clean.as_factor(_pp(spark, sf), ["income", "race", "lbw"]), {"income": "income class"})
     rows = [(c, i + 1, lv) for c in ("income", "race", "lbw") for i, lv in enumerate(d.schema[c].metadata["levels"])]
     return spark.createDataFrame(rows, "name string, position int, level string")
+
+
+@register("fill_one_cycle", with_ctes("SELECT id, visit, COALESCE(CASE WHEN visit - last_value(CASE WHEN sbp IS NOT NULL THEN visit END IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 1 THEN last_value(sbp IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, CASE WHEN first_value(CASE WHEN sbp IS NOT NULL THEN visit END IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - visit <= 1 THEN first_value(sbp IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END) AS sbp, COALESCE(CASE WHEN visit - last_value(CASE WHEN dbp IS NOT NULL THEN visit END IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 1 THEN last_value(dbp IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, CASE WHEN first_value(CASE WHEN dbp IS NOT NULL THEN visit END IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - visit <= 1 THEN first_value(dbp IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END) AS dbp, COALESCE(CASE WHEN visit - last_value(CASE WHEN income IS NOT NULL THEN visit END IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) <= 1 THEN last_value(income IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) END, CASE WHEN first_value(CASE WHEN income IS NOT NULL THEN visit END IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) - visit <= 1 THEN first_value(income IGNORE NULLS) OVER (PARTITION BY id ORDER BY visit ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) END) AS income FROM l1", "l1"))
+def q_fill_one_cycle(spark, sf):
+    """P9 with max_gap = 1: carry a value at most one visit forward, else one back."""
+    d = cohort.outcome_periods(_pp(spark, sf), S)
+    d = periods.trim_unknown_tail(d, S, "outcome")
+    d = periods.fill(d, ["sbp", "dbp", "income"], S, "downup", max_gap=1)
+    return d.select("id", "visit", "sbp", "dbp", "income")

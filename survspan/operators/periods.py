@@ -152,11 +152,25 @@ def trim_unknown_tail(df: DataFrame, spec: SubjectSpec = PP, event: str = "outco
     return d
 
 
-def fill(df: DataFrame, cols: Sequence[str], spec: SubjectSpec = PP, direction: str = "downup") -> DataFrame:
-    """Carry values within a subject: down, up, downup or updown (no limit)."""
-    fd = {f"_d_{c}": c for c in cols} if "down" in direction else {}
-    fu = {f"_u_{c}": c for c in cols} if "up" in direction else {}
+def fill(df: DataFrame, cols: Sequence[str], spec: SubjectSpec = PP, direction: str = "downup",
+         max_gap: int | None = None) -> DataFrame:
+    """Carry values within a subject: down, up, downup or updown.
+
+    No limit by default (what the reference's code does).  ``max_gap=k`` carries a
+    value at most k steps of the first order column (visits) away, which is what
+    the reference's comment ('one cycle') describes."""
+    o = F.col(spec.order[0])
+
+    def tagged(c):
+        return F.when(F.col(c).isNotNull(), F.struct(o.alias("o"), F.col(c).alias("v"))) if max_gap else c
+
+    fd = {f"_d_{c}": tagged(c) for c in cols} if "down" in direction else {}
+    fu = {f"_u_{c}": tagged(c) for c in cols} if "up" in direction else {}
     d = scan(df, spec, fill_down=fd, fill_up=fu)
+    if max_gap:
+        lim = F.lit(int(max_gap))
+        d = d.withColumns({**{k: F.when(o - F.col(k).getField("o") <= lim, F.col(k).getField("v")) for k in fd},
+                           **{k: F.when(F.col(k).getField("o") - o <= lim, F.col(k).getField("v")) for k in fu}})
     upd = {}
     for c in cols:
         dt = df.schema[c].dataType

@@ -58,3 +58,10 @@ def test_time_quantile_blocks(spark):
     s = ordered_scan(b, ["g"], ["t"], cumsum={"c": "one"}, row_number="rn")
     r = s.filter((F.col("g") == 1)).select("rn", "c").collect()
     assert all(x["rn"] == x["c"] for x in r) and max(x["rn"] for x in r) == 333
+
+
+def test_fill_max_gap_blocked_equal(spark):
+    plain = periods.fill(_pp(spark, 1 << 16), ["sbp", "dbp"], direction="downup", max_gap=1)
+    hot = periods.fill(_pp(spark, 4), ["sbp", "dbp"], periods.SubjectSpec(block_rows=4), "downup", max_gap=1)
+    cols = ["id", "visit", "sbp", "dbp"]
+    assert rows(plain, cols) == rows(hot, cols)
