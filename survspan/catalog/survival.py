@@ -138,16 +138,18 @@ def q_risk_table(spark, sf):
     "SELECT a.g AS sbp_group, CAST(a.records AS BIGINT) AS records, CAST(a.events AS BIGINT) AS events, "
     "CAST(a.n_max AS BIGINT) AS n_max, CAST(b.n_start AS BIGINT) AS n_start, "
     + sql_r6("COALESCE(b.area, 0) + COALESCE(b.s_last, 1.0) * ((SELECT max(time) FROM tt0) - COALESCE(b.tl, 0))", "rmean")
-    + ", b.median AS median FROM (SELECT g, sum(n_exit) AS records, sum(n_event) AS events, max(n_risk) AS n_max FROM km GROUP BY g) a "
+    + ", b.median AS median, b.median_lcl AS median_lcl, b.median_ucl AS median_ucl FROM (SELECT g, sum(n_exit) AS records, sum(n_event) AS events, max(n_risk) AS n_max FROM km GROUP BY g) a "
     "LEFT JOIN (SELECT g, sum(COALESCE(ps, 1.0) * (time - COALESCE(pt, 0.0))) AS area, max(time) AS tl, "
-    "arg_max(surv, time) AS s_last, arg_min(n_risk, time) AS n_start, min(CASE WHEN surv <= 0.5 THEN time END) AS median "
+    "arg_max(surv, time) AS s_last, arg_min(n_risk, time) AS n_start, min(CASE WHEN surv <= 0.5 THEN time END) AS median, "
+    "min(CASE WHEN upper <= 0.5 THEN time END) AS median_lcl, min(CASE WHEN COALESCE(lower, 0.0) <= 0.5 THEN time END) AS median_ucl "
     "FROM (SELECT *, lag(time) OVER (PARTITION BY g ORDER BY time) AS pt, lag(surv) OVER (PARTITION BY g ORDER BY time) AS ps "
     "FROM km WHERE n_event > 0) GROUP BY g) b ON a.g = b.g", "locf", extra=_tt_sql("locf", "sbp_group")))
 def q_km_summary(spark, sf):
     """Per-group curve summary (records, events, n at risk, restricted mean, median)."""
     k = survival.km_summary(_locf(spark, sf), SPEC, ["sbp_group"])
     return k.select("sbp_group", F.col("records").cast("long"), F.col("events").cast("long"),
-                    F.col("n_max").cast("long"), F.col("n_start").cast("long"), r6("rmean"), "median")
+                    F.col("n_max").cast("long"), F.col("n_start").cast("long"), r6("rmean"), "median",
+                    "median_lcl", "median_ucl")
 
 
 @register("km_cumhaz", with_ctes(

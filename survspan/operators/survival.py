@@ -145,7 +145,8 @@ def km_at(df: DataFrame, spec: SurvSpec, times: Sequence[float], by: Sequence[st
 def km_summary(df: DataFrame, spec: SurvSpec, by: Sequence[str] = ()) -> DataFrame:
     """Records, events, max n at risk, n at risk at the first event, restricted
     mean up to the largest time over all groups (S = 1 from 0 to the first event),
-    median = first event time with S <= 0.5."""
+    median = first event time with S <= 0.5, and its 95 % limits from the CI band
+    (first times where the upper / lower limit reaches 0.5)."""
     by = list(by)
     k = km_table(df, spec, by)
     ev = k.filter(F.col("n_event") > 0)
@@ -154,7 +155,9 @@ def km_summary(df: DataFrame, spec: SurvSpec, by: Sequence[str] = ()) -> DataFra
     area = ev.groupBy(*by).agg(F.sum(piece).alias("_area"), F.max("time").alias("_tl"),
                                F.max_by("surv", "time").alias("_s_last"),
                                F.min_by("n_risk", "time").alias("n_start"),
-                               F.min(F.when(F.col("surv") <= 0.5, F.col("time"))).alias("median"))
+                               F.min(F.when(F.col("surv") <= 0.5, F.col("time"))).alias("median"),
+                               F.min(F.when(F.col("upper") <= 0.5, F.col("time"))).alias("median_lcl"),
+                               F.min(F.when(F.coalesce(F.col("lower"), F.lit(0.0)) <= 0.5, F.col("time"))).alias("median_ucl"))
     counts = k.groupBy(*by).agg(F.sum("n_exit").alias("records"), F.sum("n_event").alias("events"),
                                 F.max("n_risk").alias("n_max"))
     tau = k.agg(F.max("time").alias("_tau")).withColumn("_one", F.lit(1))  # one row
@@ -165,7 +168,7 @@ def km_summary(df: DataFrame, spec: SurvSpec, by: Sequence[str] = ()) -> DataFra
     j = j.withColumn("_one", F.lit(1)).join(tau, on="_one").drop("_one")
     rmean = F.coalesce(F.col("_area"), F.lit(0.0)) + F.coalesce(F.col("_s_last"), F.lit(1.0)) * (
         F.col("_tau") - F.coalesce(F.col("_tl"), F.lit(0.0)))
-    return j.select(*by, "records", "events", "n_max", "n_start", rmean.alias("rmean"), "median")
+    return j.select(*by, "records", "events", "n_max", "n_start", rmean.alias("rmean"), "median", "median_lcl", "median_ucl")
 
 
 def km_transform(km: DataFrame, fun: str) -> DataFrame:
