@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aft, clean, cohort, cox, infer, periods, survival
 from ..plans.likelihood import CONS, evaluate
+from ..plans.scan import materialize
 from ..sources.person_period import person_periods
 from .registry import r6, register, sql_r6
 from .sql import with_ctes
@@ -284,7 +285,7 @@ def q_cox_score0(spark, sf):
     """X1 building block: Breslow score vector and information diagonal at beta = 0
     (risk-set prefix sums, delayed entry)."""
     d = design_frame(spark, sf)
-    design = cox.cox_design(d, SPEC, _SCORE_TERMS)
+    design = materialize(cox.cox_design(d, SPEC, _SCORE_TERMS), spread=True)
     ll, u, info = cox.cox_stats(design, _SCORE_TERMS, np.zeros(len(_SCORE_TERMS)))
     rows = [(t, float(u[i]), float(info[i, i])) for i, t in enumerate(_SCORE_TERMS)]
     return spark.createDataFrame(rows, "term string, score double, information double") \
@@ -435,3 +436,43 @@ def q_compare_models(spark, sf):
     f = _fits(spark, sf, ["weibull_crude", "lognormal_crude", "gg_crude"])
     c = infer.compare(f)
     return c.select("equation", "term", *[r6(m) for m in sorted(["weibull_crude", "lognormal_crude", "gg_crude"])])
+
+
+# evaluation point of the Breslow log-likelihood check (a fixed, declared beta)
+_FIXED_BETA = (0.25, -0.5, 0.75, 0.1)
+
+
+def _cox_fixed_sql(terms, beta):
+    xb = " + ".join(f"{b} * CAST({t} AS DOUBLE)" for t, b in zip(terms, beta))
+    xs = ", ".join(f"CAST({t} AS DOUBLE) AS x{i}" for i, t in enumerate(terms))
+    n = len(terms)
+    ent = ", ".join(f"r * x{i} AS s{i}" for i in range(n))
+    ext = ", ".join(f"-r * x{i}" for i in range(n))
+    evx = ", ".join(f"0.0 AS dx{i}" for i in range(n))
+    evx2 = ", ".join(f"d * x{i}" for i in range(n))
+    sums = ", ".join(f"sum(s{i}) AS s{i}, sum(dx{i}) AS dx{i}" for i in range(n))
+    prefix = ", ".join(f"sum(s{i}) OVER w - s{i} AS r{i}" for i in range(n))
+    body = (f"SELECT {sql_r6('sum(dxb - d * ln(r))', 'loglik')}, "
+            + ", ".join(sql_r6(f"sum(dx{i} - d * r{i} / r)", f"score_{t}") for i, t in enumerate(terms))
+            + " FROM rt WHERE d > 0")
+    return _inject_sd2(with_ctes(body, "sd", extra=[
+        f"base AS (SELECT t_start, t_stop, CASE WHEN outcome = 1 THEN 1.0 ELSE 0.0 END AS d, {xs}, exp({xb}) AS r, {xb} AS xb FROM sd2 WHERE t_stop > t_start)",
+        f"tt AS (SELECT time, sum(e) AS e, sum(d) AS d, sum(dxb) AS dxb, {sums} FROM ("
+        f"SELECT t_start AS time, r AS e, 0.0 AS d, 0.0 AS dxb, {ent}, {evx} FROM base UNION ALL "
+        f"SELECT t_stop, -r, d, d * xb, {ext}, {evx2} FROM base) GROUP BY time)",
+        f"rt AS (SELECT *, sum(e) OVER w - e AS r, {prefix} FROM tt "
+        "WINDOW w AS (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+    ]))
+
+
+@register("cox_loglik_fixed", _cox_fixed_sql(_SCORE_TERMS, _FIXED_BETA))
+def q_cox_loglik_fixed(spark, sf):
+    """X1 building block at a fixed beta: Breslow log partial likelihood and score
+    (risk-set moment prefix sums with delayed entry, one distributed pass)."""
+    d = design_frame(spark, sf)
+    design = materialize(cox.cox_design(d, SPEC, _SCORE_TERMS), spread=True)
+    ll, u, _ = cox.cox_stats(design, _SCORE_TERMS, np.array(_FIXED_BETA))
+    row = [float(ll)] + [float(x) for x in u]
+    names = ["loglik"] + [f"score_{t}" for t in _SCORE_TERMS]
+    df = spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
+    return df.select(*[r6(n) for n in names])
