@@ -81,7 +81,7 @@ def risk_moments(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts
     tt = ent.unionByName(ext).groupBy("_stratum", "time").agg(
         *[F.sum(n).alias(n) for n in vnames], *[F.sum(n).alias(n) for n in ev])
     if cuts_ref is None:
-        tt = blocks_from_quantiles(tt, "time", shuffle_partitions(design.sparkSession))
+        tt = blocks_from_quantiles(materialize(tt), "time")
     else:
         tt = blocks_like(tt, "time", cuts_ref)
     tt = ordered_scan(tt, ["_stratum"], ["time"], cumsum={f"c_{n}": n for n in vnames})
@@ -144,8 +144,7 @@ def cox(df: DataFrame, spec: SurvSpec, terms: Sequence[str], strata: str | None
         raise ValueError("efron ties are implemented for unit weights")
     terms = list(terms)
     design = materialize(cox_design(df, spec, terms, strata, weight), spread=True)
-    ref = blocks_from_quantiles(design.select(F.col("t").alias("time")), "time",
-                                shuffle_partitions(design.sparkSession))
+    ref = blocks_from_quantiles(design.select(F.col("t").alias("time")), "time")
     cnt = design.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("d")).alias("D")).collect()[0]
     theta, ll, g, H, vcov, conv, it = newton(
         lambda b: (lambda r: (r[0], r[1], -r[2]))(cox_stats(design, terms, b, ref, ties)),

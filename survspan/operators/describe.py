@@ -23,7 +23,6 @@ def _ranked(df: DataFrame, col: str, by: Sequence[str] = (), n_blocks: int | Non
     # the projected column is checkpointed once: the quantile cuts and both
     # sides of the blocked rank scan read it instead of the input's lineage
     d = materialize(d)
-    n_blocks = n_blocks or shuffle_partitions(df.sparkSession)
     d = blocks_from_quantiles(d, "_qx", n_blocks)
     return ordered_scan(d, by, ["_qx"], row_number="_rn", count="_n")
 

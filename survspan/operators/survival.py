@@ -45,7 +45,7 @@ def surv_set(df: DataFrame, spec: SurvSpec) -> tuple[DataFrame, DataFrame]:
 
 
 def _blocks(df: DataFrame, col: str) -> DataFrame:
-    return blocks_from_quantiles(df, col, shuffle_partitions(df.sparkSession))
+    return blocks_from_quantiles(df, col)
 
 
 def time_table(df: DataFrame, spec: SurvSpec, by: Sequence[str] = ()) -> DataFrame:

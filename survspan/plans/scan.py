@@ -219,14 +219,14 @@ def materialize(df: DataFrame, spread: bool = False) -> DataFrame:
     """Reliable checkpoint in spark.checkpoint.dir (survives executor loss, cuts lineage).
 
     ``spread=True`` (designs of iterative fits) first deals the rows round-robin
-    over max(default parallelism, shuffle partitions) partitions, so every pass of
-    a fit uses all cores even when the input was coalesced to a few partitions."""
+    over the cluster's cores (default parallelism), so every pass of a fit uses
+    all cores even when the input was coalesced to a few partitions, and no pass
+    pays for more Python tasks than there are cores."""
     from ..session import ensure_checkpoint_dir
     spark = df.sparkSession
     ensure_checkpoint_dir(spark)
     if spread:
-        k = max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
-        df = df.repartition(k)
+        df = df.repartition(max(1, spark.sparkContext.defaultParallelism))
     return df.checkpoint(eager=True)
 
 
@@ -273,16 +273,26 @@ def blocks_from_rank(df: DataFrame, rank_col: str, block_rows: int, block: str =
     return mark_blocks(df, hot, block)
 
 
-def blocks_from_quantiles(df: DataFrame, col: str, n_blocks: int, block: str = BLOCK,
-                          rel_err: float = 0.001) -> DataFrame:
+TIME_BLOCK_ROWS = 1 << 20   # rows per time block of an ordered scan over a whole stratum
+MAX_TIME_BLOCKS = 100_000
+
+
+def blocks_from_quantiles(df: DataFrame, col: str, n_blocks: int | None = None, block: str = BLOCK,
+                          rel_err: float = 0.001, block_rows: int | None = None) -> DataFrame:
     """Block = bucket of ``col`` among global approximate quantile cuts.
 
     Used where every group is large by nature (strata of a curve): each block
     then holds about 1/n_blocks of all rows, whatever the skew between groups.
-    The cut list has n_blocks-1 numbers, so its size is fixed by the caller.
+    Without ``n_blocks`` the count is ceil(rows / block_rows), capped at
+    MAX_TIME_BLOCKS, so the cut list is bounded and each block fits one task;
+    callers pass checkpointed frames, so the count is cheap.  One block means
+    the plain single-pass scan.
     """
     from pyspark.ml.feature import Bucketizer
 
+    if n_blocks is None:
+        n = df.count()
+        n_blocks = min(MAX_TIME_BLOCKS, max(1, -(-n // int(block_rows or TIME_BLOCK_ROWS))))
     if n_blocks <= 1:
         return mark_blocks(df.withColumn(block, F.lit(0).cast("long")), False, block)
     probs = [i / n_blocks for i in range(1, n_blocks)]

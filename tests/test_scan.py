@@ -65,3 +65,23 @@ def test_fill_max_gap_blocked_equal(spark):
     hot = periods.fill(_pp(spark, 4), ["sbp", "dbp"], periods.SubjectSpec(block_rows=4), "downup", max_gap=1)
     cols = ["id", "visit", "sbp", "dbp"]
     assert rows(plain, cols) == rows(hot, cols)
+
+
+def test_time_blocked_curves_equal_plain(spark, monkeypatch):
+    """KM, risk table and Cox with many small time blocks equal the single-block plan."""
+    import numpy as np
+    from survspan.operators import cohort, cox, survival
+    from survspan.plans import scan as scan_mod
+    d = cohort.survival_design(cohort.locf(_pp(spark, 1 << 16)))
+    spec = survival.SurvSpec("t_start", "t_stop", "outcome")
+    cols = ["sbp_group", "time", "n_risk", "n_event", "surv", "std_err"]
+    plain_km = rows(survival.kaplan_meier(d, spec, ["sbp_group"]), cols)
+    plain_at = rows(survival.km_at(d, spec, [5.0, 10.0, 20.0], ["sbp_group"]))
+    plain_cox = cox.cox(d, spec, ["sbp_group2", "lbw"])
+    monkeypatch.setattr(scan_mod, "TIME_BLOCK_ROWS", 37)
+    blocked = survival.kaplan_meier(d, spec, ["sbp_group"])
+    assert is_hot(blocked, "_blk")
+    assert plain_km == rows(blocked, cols)
+    assert plain_at == rows(survival.km_at(d, spec, [5.0, 10.0, 20.0], ["sbp_group"]))
+    hot_cox = cox.cox(d, spec, ["sbp_group2", "lbw"])
+    assert abs(hot_cox.loglik - plain_cox.loglik) < 1e-9 and np.allclose(hot_cox.params, plain_cox.params, atol=1e-9)
