@@ -476,3 +476,53 @@ def q_cox_loglik_fixed(spark, sf):
     names = ["loglik"] + [f"score_{t}" for t in _SCORE_TERMS]
     df = spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
     return df.select(*[r6(n) for n in names])
+
+
+def _fixed_rt_ctes(terms, beta, with_keys=False):
+    xb = " + ".join(f"{b} * CAST({t} AS DOUBLE)" for t, b in zip(terms, beta))
+    xs = ", ".join(f"CAST({t} AS DOUBLE) AS x{i}" for i, t in enumerate(terms))
+    n = len(terms)
+    ent = ", ".join(f"r * x{i} AS s{i}" for i in range(n))
+    ext = ", ".join(f"-r * x{i}" for i in range(n))
+    evx = ", ".join(f"0.0 AS dx{i}" for i in range(n))
+    evx2 = ", ".join(f"d * x{i}" for i in range(n))
+    sums = ", ".join(f"sum(s{i}) AS s{i}, sum(dx{i}) AS dx{i}" for i in range(n))
+    prefix = ", ".join(f"sum(s{i}) OVER w - s{i} AS r{i}" for i in range(n))
+    keys = "id, visit, " if with_keys else ""
+    return [
+        f"base AS (SELECT {keys}t_start, t_stop, CASE WHEN outcome = 1 THEN 1.0 ELSE 0.0 END AS d, {xs}, exp({xb}) AS r FROM sd2 WHERE t_stop > t_start)",
+        f"tt AS (SELECT time, sum(e) AS e, sum(d) AS d, {sums} FROM ("
+        f"SELECT t_start AS time, r AS e, 0.0 AS d, {ent}, {evx} FROM base UNION ALL "
+        f"SELECT t_stop, -r, d, {ext}, {evx2} FROM base) GROUP BY time)",
+        f"rt AS (SELECT *, sum(e) OVER w - e AS r, {prefix} FROM tt "
+        "WINDOW w AS (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW))",
+    ]
+
+
+_H0_SQL = _inject_sd2(with_ctes(
+    "SELECT time, " + sql_r6("h0", "H0") + " FROM (SELECT time, d, sum(CASE WHEN d > 0 THEN d / r ELSE 0 END) "
+    "OVER (ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS h0 FROM rt) WHERE d > 0",
+    "sd", extra=_fixed_rt_ctes(_SCORE_TERMS, _FIXED_BETA)))
+
+
+@register("base_hazard_fixed", _H0_SQL)
+def q_base_hazard_fixed(spark, sf):
+    """X9 at a fixed beta: Breslow baseline cumulative hazard at every event time."""
+    f = cox.fixed_fit(design_frame(spark, sf), SPEC, _SCORE_TERMS, _FIXED_BETA)
+    b = cox.base_hazard(f).filter(F.col("D") > 0)
+    return b.select("time", r6("H0"))
+
+
+_SCH_SQL = _inject_sd2(with_ctes(
+    "SELECT b.id, b.visit, b.t_stop AS time, "
+    + ", ".join(sql_r6(f"b.x{i} - rt.r{i} / rt.r", f"r_{t}") for i, t in enumerate(_SCORE_TERMS))
+    + " FROM base b JOIN rt ON b.t_stop = rt.time WHERE b.d > 0", "sd",
+    extra=_fixed_rt_ctes(_SCORE_TERMS, _FIXED_BETA, with_keys=True)))
+
+
+@register("schoenfeld_fixed", _SCH_SQL)
+def q_schoenfeld_fixed(spark, sf):
+    """X7 at a fixed beta: Schoenfeld residuals x - S1/S0 at every event row."""
+    f = cox.fixed_fit(design_frame(spark, sf), SPEC, _SCORE_TERMS, _FIXED_BETA)
+    s = cox.schoenfeld(f, design_frame(spark, sf), SPEC, ["id", "visit"])
+    return s.select("id", "visit", "time", *[r6(f"r_{t}") for t in _SCORE_TERMS])

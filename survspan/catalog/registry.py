@@ -23,9 +23,9 @@ def register(name: str, sql: str | None = None):
 def r6(c, name: str | None = None):
     """Round a computed double to 6 places (the oracle does the same)."""
     col = F.col(c) if isinstance(c, str) else c
-    out = F.round(col.cast("double"), 6)
+    out = F.round(col.cast("double"), 6) + F.lit(0.0)  # + 0.0 turns -0.0 into 0.0
     return out.alias(name or (c if isinstance(c, str) else None)) if (name or isinstance(c, str)) else out
 
 
 def sql_r6(expr: str, name: str) -> str:
-    return f"round(CAST({expr} AS DOUBLE), 6) AS {name}"
+    return f"(round(CAST({expr} AS DOUBLE), 6) + 0.0) AS {name}"

@@ -211,3 +211,15 @@ def q_km_orders(spark, sf):
     from ..sources.person_period import orders_person_periods, read_table
     d = orders_person_periods(read_table(spark, sf, "orders"))
     return _km_cols(survival.kaplan_meier(d, survival.SurvSpec("b_start", "b_stop", "status")), [])
+
+
+_SPLINE_SQL = with_ctes("SELECT moment, round(v / scale, 6) AS value FROM (SELECT 'xx_0_0' AS moment, sum((1.0) * (1.0)) AS v FROM b UNION ALL SELECT 'xx_0_1' AS moment, sum((1.0) * (t)) AS v FROM b UNION ALL SELECT 'xx_0_2' AS moment, sum((1.0) * (t * t)) AS v FROM b UNION ALL SELECT 'xx_0_3' AS moment, sum((1.0) * (t * t * t)) AS v FROM b UNION ALL SELECT 'xx_0_4' AS moment, sum((1.0) * (power(greatest(t - 0.25, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_0_5' AS moment, sum((1.0) * (power(greatest(t - 0.5, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_0_6' AS moment, sum((1.0) * (power(greatest(t - 0.75, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_1_1' AS moment, sum((t) * (t)) AS v FROM b UNION ALL SELECT 'xx_1_2' AS moment, sum((t) * (t * t)) AS v FROM b UNION ALL SELECT 'xx_1_3' AS moment, sum((t) * (t * t * t)) AS v FROM b UNION ALL SELECT 'xx_1_4' AS moment, sum((t) * (power(greatest(t - 0.25, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_1_5' AS moment, sum((t) * (power(greatest(t - 0.5, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_1_6' AS moment, sum((t) * (power(greatest(t - 0.75, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_2_2' AS moment, sum((t * t) * (t * t)) AS v FROM b UNION ALL SELECT 'xx_2_3' AS moment, sum((t * t) * (t * t * t)) AS v FROM b UNION ALL SELECT 'xx_2_4' AS moment, sum((t * t) * (power(greatest(t - 0.25, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_2_5' AS moment, sum((t * t) * (power(greatest(t - 0.5, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_2_6' AS moment, sum((t * t) * (power(greatest(t - 0.75, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_3_3' AS moment, sum((t * t * t) * (t * t * t)) AS v FROM b UNION ALL SELECT 'xx_3_4' AS moment, sum((t * t * t) * (power(greatest(t - 0.25, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_3_5' AS moment, sum((t * t * t) * (power(greatest(t - 0.5, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_3_6' AS moment, sum((t * t * t) * (power(greatest(t - 0.75, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_4_4' AS moment, sum((power(greatest(t - 0.25, 0.0), 3)) * (power(greatest(t - 0.25, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_4_5' AS moment, sum((power(greatest(t - 0.25, 0.0), 3)) * (power(greatest(t - 0.5, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_4_6' AS moment, sum((power(greatest(t - 0.25, 0.0), 3)) * (power(greatest(t - 0.75, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_5_5' AS moment, sum((power(greatest(t - 0.5, 0.0), 3)) * (power(greatest(t - 0.5, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_5_6' AS moment, sum((power(greatest(t - 0.5, 0.0), 3)) * (power(greatest(t - 0.75, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xx_6_6' AS moment, sum((power(greatest(t - 0.75, 0.0), 3)) * (power(greatest(t - 0.75, 0.0), 3))) AS v FROM b UNION ALL SELECT 'xy_0' AS moment, sum((1.0) * y) AS v FROM b UNION ALL SELECT 'xy_1' AS moment, sum((t) * y) AS v FROM b UNION ALL SELECT 'xy_2' AS moment, sum((t * t) * y) AS v FROM b UNION ALL SELECT 'xy_3' AS moment, sum((t * t * t) * y) AS v FROM b UNION ALL SELECT 'xy_4' AS moment, sum((power(greatest(t - 0.25, 0.0), 3)) * y) AS v FROM b UNION ALL SELECT 'xy_5' AS moment, sum((power(greatest(t - 0.5, 0.0), 3)) * y) AS v FROM b UNION ALL SELECT 'xy_6' AS moment, sum((power(greatest(t - 0.75, 0.0), 3)) * y) AS v FROM b) JOIN (SELECT 1.0 AS scale) ON TRUE", "pp",
+                        extra=["b AS (SELECT CAST(t_stop AS DOUBLE) / 30.0 AS t, sbp AS y FROM pp WHERE t_stop IS NOT NULL AND sbp IS NOT NULL)"])
+
+
+@register("trend_moments", _SPLINE_SQL)
+def q_trend_moments(spark, sf):
+    """X'X and X'y of the fixed-knot cubic spline basis (one distributed aggregate;
+    the k x k solve of ``trend`` uses exactly these sums)."""
+    m = survival.spline_moments(person_periods(spark, sf), "t_stop", "sbp")
+    return m.select("moment", F.round("value", 6).alias("value"))

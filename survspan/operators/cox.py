@@ -295,3 +295,16 @@ def cox_snell(fit: FitResult, df: DataFrame, spec: SurvSpec, keep: Sequence[str]
         look = u.filter(F.col("_kind") == 1).select("_rid", F.coalesce(F.col("_hcarry"), F.lit(0.0)).alias(side))
         out = out.join(look, "_rid")
     return out.select(*keep, "event", (F.col("_r") * (F.col("_h1") - F.col("_h0"))).alias("cs_resid"))
+
+
+def fixed_fit(df: DataFrame, spec: SurvSpec, terms: Sequence[str], beta: Sequence[float], strata: str | None = None,
+              name: str = "cox_fixed") -> FitResult:
+    """A Cox 'fit' at a given beta (no Newton): design checkpointed, time cuts made,
+    so base_hazard / schoenfeld / cox_snell can be evaluated at any coefficients."""
+    terms = list(terms)
+    design = materialize(cox_design(df, spec, terms, strata), spread=True)
+    ref = blocks_from_quantiles(design.select(F.col("t").alias("time")), "time")
+    b = np.array(beta, dtype=float)
+    ll, u, info = cox_stats(design, terms, b, ref)
+    return FitResult(name, [("xb", terms)], b, np.full((len(b), len(b)), np.nan), ll, 0, 0.0, False, 0,
+                     extra={"dist": "cox", "design": design, "cuts": ref, "strata": strata, "ties": "breslow"})

@@ -193,14 +193,29 @@ def trajectories(df: DataFrame, id_col: str, order: Sequence[str], t: str, y: st
 
 
 SPLINE_KNOTS = (7.5, 15.0, 22.5)
+SPLINE_SPAN = 30.0  # fixed time span of the reference's grids (0..30); basis built on t / span
 
 
-def spline_basis(t, knots=SPLINE_KNOTS):
-    cols = [F.lit(1.0), t, t * t, t * t * t]
-    cols += [F.pow(F.greatest(t - F.lit(k), F.lit(0.0)), 3) for k in knots]
+def spline_basis(t, knots=SPLINE_KNOTS, span: float = SPLINE_SPAN):
+    """Truncated-power cubic basis on u = t / span (same fitted curve as on t,
+    moments of order n instead of n * t^6)."""
+    u = t / F.lit(span)
+    cols = [F.lit(1.0), u, u * u, u * u * u]
+    cols += [F.pow(F.greatest(u - F.lit(k / span), F.lit(0.0)), 3) for k in knots]
     return cols
 
 
+def spline_moments(df: DataFrame, t: str, y: str, knots: Sequence[float] = SPLINE_KNOTS) -> DataFrame:
+    """S9, distributed part: X'X and X'y of the spline basis in one aggregate (long form)."""
+    d = df.filter(F.col(t).isNotNull() & F.col(y).isNotNull())
+    basis = spline_basis(F.col(t).cast("double"), knots)
+    k = len(basis)
+    aggs = [F.sum(basis[i] * basis[j]).alias(f"xx_{i}_{j}") for i in range(k) for j in range(i, k)]
+    aggs += [F.sum(basis[i] * F.col(y)).alias(f"xy_{i}") for i in range(k)]
+    names = [f"xx_{i}_{j}" for i in range(k) for j in range(i, k)] + [f"xy_{i}" for i in range(k)]
+    return d.agg(*aggs).unpivot([], names, "moment", "value")
+
+
 def trend(df: DataFrame, t: str, y: str, knots: Sequence[float] = SPLINE_KNOTS, by: Sequence[str] = ()) -> DataFrame:
     """S9 (re-aimed): cubic regression spline of y on t with fixed knots.
     X'X and X'y come from one Spark aggregate; the k x k solve is on the driver;
