@@ -526,3 +526,21 @@ def q_schoenfeld_fixed(spark, sf):
     f = cox.fixed_fit(design_frame(spark, sf), SPEC, _SCORE_TERMS, _FIXED_BETA)
     s = cox.schoenfeld(f, design_frame(spark, sf), SPEC, ["id", "visit"])
     return s.select("id", "visit", "time", *[r6(f"r_{t}") for t in _SCORE_TERMS])
+
+
+_CS_SQL = _inject_sd2(with_ctes(
+    "SELECT b.id, b.visit, CAST(b.d AS INT) AS event, "
+    + sql_r6("b.r * (COALESCE(h1.h0, 0.0) - COALESCE(h0s.h0, 0.0))", "cs_resid")
+    + " FROM base b ASOF LEFT JOIN h h1 ON b.t_stop >= h1.time ASOF LEFT JOIN h h0s ON b.t_start >= h0s.time",
+    "sd", extra=_fixed_rt_ctes(_SCORE_TERMS, _FIXED_BETA, with_keys=True) + [
+        "h AS (SELECT time, sum(CASE WHEN d > 0 THEN d / r ELSE 0 END) OVER (ORDER BY time ROWS BETWEEN UNBOUNDED "
+        "PRECEDING AND CURRENT ROW) AS h0 FROM rt)"]))
+
+
+@register("cox_snell_fixed", _CS_SQL)
+def q_cox_snell_fixed(spark, sf):
+    """X8 at a fixed beta: Cox-Snell residual e^{xb} (H0(stop) - H0(start)) per row,
+    H0 looked up as-of by the carried scan (no range join)."""
+    f = cox.fixed_fit(design_frame(spark, sf), SPEC, _SCORE_TERMS, _FIXED_BETA)
+    r = cox.cox_snell(f, design_frame(spark, sf), SPEC, ["id", "visit"])
+    return r.select("id", "visit", F.col("event").cast("int"), r6("cs_resid"))
