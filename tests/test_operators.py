@@ -101,3 +101,19 @@ def test_partition_invariance(spark):
     b = cohort.locf(events_person_periods(ev.repartition(7, "event_id").sortWithinPartitions(F.rand(3))))
     cols = ["id", "visit", "t_start", "t_stop", "outcome", "bp_group"]
     assert rows(a, cols) == rows(b, cols)
+
+
+def test_trend_matches_numpy(spark):
+    import numpy as np
+    from survspan.sources.person_period import person_periods
+    pp = person_periods(spark, SF001)
+    fit = {r["t"]: r["fit"] for r in survival.trend(pp, "t_stop", "sbp").collect()}
+    pdf = pp.select("t_stop", "sbp").dropna().toPandas()
+    u = pdf.t_stop.to_numpy() / 30.0
+
+    def basis(x):
+        cols = [np.ones_like(x), x, x ** 2, x ** 3] + [np.maximum(x - k / 30.0, 0) ** 3 for k in (7.5, 15.0, 22.5)]
+        return np.column_stack(cols)
+    beta = np.linalg.lstsq(basis(u), pdf.sbp.to_numpy(), rcond=None)[0]
+    for t, v in fit.items():
+        assert abs(basis(np.array([t / 30.0])) @ beta - v)[0] < 1e-6
