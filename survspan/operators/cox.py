@@ -90,10 +90,15 @@ def risk_moments(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts
     return tt.withColumns(risk), vnames
 
 
+EFRON_CHUNK = 4096  # tied events handled per row; a hot event time becomes several rows
+
+
 def _efron_sum(fn):
-    """sum over l = 0..d-1 of fn(phi_l), phi_l = l / d, at one event time (d tied events)."""
+    """Part of sum over l = 0..d-1 of fn(phi_l), phi_l = l / d, at one event time:
+    the slice l in [_lo, _hi] of this row (rows come from exploding the tie group
+    into chunks, so no array grows with the number of tied events)."""
     d = F.col("D")
-    return F.aggregate(F.sequence(F.lit(0), d.cast("int") - 1), F.lit(0.0),
+    return F.aggregate(F.sequence(F.col("_lo"), F.col("_hi")), F.lit(0.0),
                        lambda acc, l: acc + fn(l.cast("double") / d))
 
 
@@ -106,15 +111,24 @@ def cox_stats(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_re
     e = tt.filter(F.col("D") > 0)
     s0 = F.col("S_v0")
     if efron:
+        nchunk = F.ceil(F.col("D") / F.lit(EFRON_CHUNK)).cast("long")
+        e = e.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), nchunk - 1)))
+        e = e.withColumns({"_lo": F.col("_chunk") * EFRON_CHUNK,
+                           "_hi": F.least(F.col("D").cast("long"), (F.col("_chunk") + 1) * EFRON_CHUNK) - 1})
+        first = F.col("_chunk") == 0  # per-time terms counted once
+
+        def once(c):
+            return F.when(first, c).otherwise(F.lit(0.0))
+
         def den(ph):
             return s0 - ph * F.col("A_v0")
 
         def s1(j, ph):
             return F.col(f"S_v1_{j}") - ph * F.col(f"A_v1_{j}")
 
-        aggs = [F.sum(F.col("Dxb") - _efron_sum(lambda ph: F.log(den(ph)))).alias("ll")]
+        aggs = [F.sum(once(F.col("Dxb")) - _efron_sum(lambda ph: F.log(den(ph)))).alias("ll")]
         for j in range(p):
-            aggs.append(F.sum(F.col(f"Dx_{j}") - _efron_sum(lambda ph, j=j: s1(j, ph) / den(ph))).alias(f"u_{j}"))
+            aggs.append(F.sum(once(F.col(f"Dx_{j}")) - _efron_sum(lambda ph, j=j: s1(j, ph) / den(ph))).alias(f"u_{j}"))
         for j, k in _pairs(p):
             aggs.append(F.sum(_efron_sum(lambda ph, j=j, k=k: (F.col(f"S_v2_{j}_{k}") - ph * F.col(f"A_v2_{j}_{k}")) / den(ph)
                                          - s1(j, ph) * s1(k, ph) / (den(ph) * den(ph)))).alias(f"i_{j}_{k}"))
