@@ -100,3 +100,15 @@ def q_boot_band_time(spark, sf):
     boot = contrast.relative(gp, "quantile", grid=contrast.BOOT_PCTS, keys=["rep"])
     t = contrast.contrast_table(point, boot)
     return t.select("contrast", r6("x", "p"), r6("ratio"), r6("lo"), r6("hi"))
+
+
+
+@register("boot_wald")
+def q_boot_wald(spark, sf):
+    """I5 with the bootstrap covariance (as the reference's logged Wald test): joint test
+    of the group effects of the conventional crude GG."""
+    f = fit_named(spark, sf, CONTRAST_MODEL)
+    chi2, df, p, n = resample.boot_wald(_reps(spark, sf, CONTRAST_MODEL), f, [f"mu:{g}" for g in GROUPS])
+    out = spark.createDataFrame([(f.model, float(chi2), int(df), float(p), int(n))],
+                                "model string, chi2 double, df int, p double, reps_used long")
+    return out.select("model", r6("chi2"), "df", r6("p"), "reps_used")

@@ -92,3 +92,42 @@ def replicate_group_params(reps: DataFrame, groups: dict, dist: str = "ggamma",
     for p in parts[1:]:
         out = out.unionByName(p)
     return out
+
+
+def boot_covariance(reps: DataFrame) -> tuple[list, np.ndarray, int]:
+    """Covariance of the coefficients over converged replicates, as one
+    aggregate: sums of b and of the outer products b b' (arrays exploded by index)."""
+    ok = reps.filter(F.col("converged"))
+    terms = ok.select("terms").limit(1).collect()
+    if not terms:
+        return [], np.zeros((0, 0)), 0
+    names = list(terms[0]["terms"])
+    p = len(names)
+    prod = F.transform(F.sequence(F.lit(0), F.lit(p * p - 1)),
+                       lambda k: F.element_at("beta", (k / p).cast("int") + 1) * F.element_at("beta", (k % p) + 1))
+    vec = F.concat(F.col("beta"), prod)
+    rows = ok.select(F.posexplode(vec).alias("k", "v")).groupBy("k") \
+        .agg(F.sum("v").alias("s"), F.count(F.lit(1)).alias("n")).collect()
+    acc = np.zeros(p + p * p)
+    n = 0
+    for r in rows:
+        acc[r["k"]] = r["s"]
+        n = max(n, r["n"])
+    if n < 2:
+        return names, np.full((p, p), np.nan), n
+    m = acc[:p] / n
+    cov = (acc[p:].reshape(p, p) - n * np.outer(m, m)) / (n - 1)
+    return names, cov, n
+
+
+def boot_wald(reps: DataFrame, observed, terms: list) -> tuple[float, int, float, int]:
+    """Joint Wald chi-square of ``terms`` with the bootstrap covariance."""
+    from ..functions.special import chi2_sf
+    names, cov, n = boot_covariance(reps)
+    obs = [f"{e}:{t}" for e, t in observed.names]
+    idx = [names.index(t) for t in terms]
+    oi = [obs.index(t) for t in terms]
+    b = np.asarray(observed.params)[oi]
+    V = cov[np.ix_(idx, idx)]
+    chi2 = float(b @ np.linalg.solve(V, b))
+    return chi2, len(terms), float(chi2_sf(len(terms), chi2)), n

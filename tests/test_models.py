@@ -146,3 +146,15 @@ def test_efron_chunks_equal(spark, monkeypatch):
     monkeypatch.setattr(cox, "EFRON_CHUNK", 2)  # tie groups split over several rows
     b = cox.cox(d, SPEC, ["sbp_group2"], ties="efron")
     assert abs(a.loglik - b.loglik) < 1e-9 and np.allclose(a.params, b.params, atol=1e-9)
+
+
+def test_boot_covariance_matches_numpy(spark):
+    from survspan.operators.infer import FITS_SCHEMA
+    rng = np.random.default_rng(5)
+    B = rng.normal(size=(40, 3))
+    rows_ = [(f"m#{i}", ["mu:a", "mu:b", "mu:c"], [float(x) for x in B[i]], None, None, None, 3, 10, 1.0, True)
+             for i in range(40)]
+    reps = spark.createDataFrame(rows_, FITS_SCHEMA)
+    names, cov, n = resample.boot_covariance(reps)
+    assert names == ["mu:a", "mu:b", "mu:c"] and n == 40
+    assert np.allclose(cov, np.cov(B, rowvar=False), atol=1e-12)
