@@ -160,10 +160,16 @@ def cox(df: DataFrame, spec: SurvSpec, terms: Sequence[str], strata: str | None
     design = materialize(cox_design(df, spec, terms, strata, weight), spread=True)
     ref = blocks_from_quantiles(design.select(F.col("t").alias("time")), "time")
     cnt = design.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("d")).alias("D")).collect()[0]
-    theta, ll, g, H, vcov, conv, it = newton(
-        lambda b: (lambda r: (r[0], r[1], -r[2]))(cox_stats(design, terms, b, ref, ties)),
-        np.zeros(len(terms)), max_iter=max_iter)
-    ll0 = cox_stats(design, terms, np.zeros(len(terms)), ref, ties)[0]
+    seen: list = []  # Newton's first pass is at beta = 0: it gives the null log-likelihood
+
+    def evalf(b):
+        ll_b, u, info = cox_stats(design, terms, b, ref, ties)
+        if not seen:
+            seen.append(ll_b)
+        return ll_b, u, -info
+
+    theta, ll, g, H, vcov, conv, it = newton(evalf, np.zeros(len(terms)), max_iter=max_iter)
+    ll0 = seen[0]
     fit = FitResult(name, [("xb", terms)], theta, vcov, ll, int(cnt["n"]), float(cnt["D"] or 0), conv, it,
                     extra={"dist": "cox", "ll0": ll0, "design": design, "cuts": ref, "strata": strata, "ties": ties})
     return fit
