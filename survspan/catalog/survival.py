@@ -134,22 +134,32 @@ def q_risk_table(spark, sf):
     return k.select("sbp_group", "time", "n_risk", "cum_event")
 
 
+_KMS_EV = ("kev AS (SELECT *, sum(piece) OVER (PARTITION BY g ORDER BY time ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) "
+           "AS carea, CASE WHEN n_risk > n_event THEN n_event / (n_risk * (n_risk - n_event)) ELSE 0.0 END AS wv FROM ("
+           "SELECT *, COALESCE(lag(surv) OVER (PARTITION BY g ORDER BY time), 1.0) * "
+           "(time - COALESCE(lag(time) OVER (PARTITION BY g ORDER BY time), 0.0)) AS piece FROM km WHERE n_event > 0))")
+_KMS_B = ("kb AS (SELECT g, sum(piece) AS area, max(time) AS tl, arg_max(surv, time) AS s_last, arg_min(n_risk, time) AS n_start, "
+          "min(CASE WHEN surv <= 0.5 THEN time END) AS median, min(CASE WHEN upper <= 0.5 THEN time END) AS median_lcl, "
+          "min(CASE WHEN COALESCE(lower, 0.0) <= 0.5 THEN time END) AS median_ucl, sum(wv) AS sw, sum(wv * carea) AS swc, "
+          "sum(wv * carea * carea) AS swcc FROM kev GROUP BY g)")
+_KMS_R = ("kr AS (SELECT a.g, a.records, a.events, a.n_max, b.n_start, b.median, b.median_lcl, b.median_ucl, b.sw, b.swc, b.swcc, "
+          "COALESCE(b.area, 0) + COALESCE(b.s_last, 1.0) * ((SELECT max(time) FROM tt0) - COALESCE(b.tl, 0)) AS rmean "
+          "FROM (SELECT g, sum(n_exit) AS records, sum(n_event) AS events, max(n_risk) AS n_max FROM km GROUP BY g) a "
+          "LEFT JOIN kb b ON a.g = b.g)")
+
+
 @register("km_summary", with_ctes(
-    "SELECT a.g AS sbp_group, CAST(a.records AS BIGINT) AS records, CAST(a.events AS BIGINT) AS events, "
-    "CAST(a.n_max AS BIGINT) AS n_max, CAST(b.n_start AS BIGINT) AS n_start, "
-    + sql_r6("COALESCE(b.area, 0) + COALESCE(b.s_last, 1.0) * ((SELECT max(time) FROM tt0) - COALESCE(b.tl, 0))", "rmean")
-    + ", b.median AS median, b.median_lcl AS median_lcl, b.median_ucl AS median_ucl FROM (SELECT g, sum(n_exit) AS records, sum(n_event) AS events, max(n_risk) AS n_max FROM km GROUP BY g) a "
-    "LEFT JOIN (SELECT g, sum(COALESCE(ps, 1.0) * (time - COALESCE(pt, 0.0))) AS area, max(time) AS tl, "
-    "arg_max(surv, time) AS s_last, arg_min(n_risk, time) AS n_start, min(CASE WHEN surv <= 0.5 THEN time END) AS median, "
-    "min(CASE WHEN upper <= 0.5 THEN time END) AS median_lcl, min(CASE WHEN COALESCE(lower, 0.0) <= 0.5 THEN time END) AS median_ucl "
-    "FROM (SELECT *, lag(time) OVER (PARTITION BY g ORDER BY time) AS pt, lag(surv) OVER (PARTITION BY g ORDER BY time) AS ps "
-    "FROM km WHERE n_event > 0) GROUP BY g) b ON a.g = b.g", "locf", extra=_tt_sql("locf", "sbp_group")))
+    "SELECT g AS sbp_group, CAST(records AS BIGINT) AS records, CAST(events AS BIGINT) AS events, "
+    "CAST(n_max AS BIGINT) AS n_max, CAST(n_start AS BIGINT) AS n_start, " + sql_r6("rmean", "rmean") + ", "
+    + sql_r6("sqrt(greatest(rmean * rmean * COALESCE(sw, 0.0) - 2 * rmean * COALESCE(swc, 0.0) + COALESCE(swcc, 0.0), 0.0))",
+             "se_rmean")
+    + ", median, median_lcl, median_ucl FROM kr", "locf", extra=_tt_sql("locf", "sbp_group") + [_KMS_EV, _KMS_B, _KMS_R]))
 def q_km_summary(spark, sf):
     """Per-group curve summary (records, events, n at risk, restricted mean, median)."""
     k = survival.km_summary(_locf(spark, sf), SPEC, ["sbp_group"])
     return k.select("sbp_group", F.col("records").cast("long"), F.col("events").cast("long"),
-                    F.col("n_max").cast("long"), F.col("n_start").cast("long"), r6("rmean"), "median",
-                    "median_lcl", "median_ucl")
+                    F.col("n_max").cast("long"), F.col("n_start").cast("long"), r6("rmean"), r6("se_rmean"),
+                    "median", "median_lcl", "median_ucl")
 
 
 @register("km_cumhaz", with_ctes(

@@ -146,13 +146,21 @@ def km_summary(df: DataFrame, spec: SurvSpec, by: Sequence[str] = ()) -> DataFra
     """Records, events, max n at risk, n at risk at the first event, restricted
     mean up to the largest time over all groups (S = 1 from 0 to the first event),
     median = first event time with S <= 0.5, and its 95 % limits from the CI band
-    (first times where the upper / lower limit reaches 0.5)."""
+    (first times where the upper / lower limit reaches 0.5).  se(rmean)^2 = sum over
+    event times of A_i^2 d_i / (n_i (n_i - d_i)), A_i = area under S from t_i to the
+    upper limit, expanded into group sums so no per-row join is needed."""
     by = list(by)
     k = km_table(df, spec, by)
     ev = k.filter(F.col("n_event") > 0)
     ev = ordered_scan(ev, by, ["time"], lag={"_pt": "time", "_ps": "surv"})
     piece = F.coalesce(F.col("_ps"), F.lit(1.0)) * (F.col("time") - F.coalesce(F.col("_pt"), F.lit(0.0)))
-    area = ev.groupBy(*by).agg(F.sum(piece).alias("_area"), F.max("time").alias("_tl"),
+    ev = ordered_scan(ev.withColumn("_piece", piece), by, ["time"], cumsum={"_carea": "_piece"})
+    # variance weight of each event time (Greenwood form); A_i = rmean - area up to t_i
+    d, n = F.col("n_event").cast("double"), F.col("n_risk").cast("double")
+    wv = F.when(n > d, d / (n * (n - d))).otherwise(F.lit(0.0))
+    area = ev.groupBy(*by).agg(F.sum("_piece").alias("_area"), F.max("time").alias("_tl"),
+                               F.sum(wv).alias("_sw"), F.sum(wv * F.col("_carea")).alias("_swc"),
+                               F.sum(wv * F.col("_carea") * F.col("_carea")).alias("_swcc"),
                                F.max_by("surv", "time").alias("_s_last"),
                                F.min_by("n_risk", "time").alias("n_start"),
                                F.min(F.when(F.col("surv") <= 0.5, F.col("time"))).alias("median"),
@@ -168,7 +176,11 @@ def km_summary(df: DataFrame, spec: SurvSpec, by: Sequence[str] = ()) -> DataFra
     j = j.withColumn("_one", F.lit(1)).join(tau, on="_one").drop("_one")
     rmean = F.coalesce(F.col("_area"), F.lit(0.0)) + F.coalesce(F.col("_s_last"), F.lit(1.0)) * (
         F.col("_tau") - F.coalesce(F.col("_tl"), F.lit(0.0)))
-    return j.select(*by, "records", "events", "n_max", "n_start", rmean.alias("rmean"), "median", "median_lcl", "median_ucl")
+    j = j.withColumn("rmean", rmean)
+    var = (F.col("rmean") * F.col("rmean") * F.coalesce(F.col("_sw"), F.lit(0.0))
+           - 2 * F.col("rmean") * F.coalesce(F.col("_swc"), F.lit(0.0)) + F.coalesce(F.col("_swcc"), F.lit(0.0)))
+    return j.select(*by, "records", "events", "n_max", "n_start", "rmean",
+                    F.sqrt(F.greatest(var, F.lit(0.0))).alias("se_rmean"), "median", "median_lcl", "median_ucl")
 
 
 def km_transform(km: DataFrame, fun: str) -> DataFrame:
