@@ -124,3 +124,12 @@ def q_unpivot_long(spark, sf):
         F.sum(F.col("b_stop") - F.col("b_start")).alias("followup"))
     return describe.unpivot(w, ["id"], ["entry", "exit", "followup"], "metric", "value") \
         .select("id", "metric", r6("value"))
+
+
+
+@register("crosstab_wide", with_ctes(
+    "SELECT outcome, " + ", ".join(f"CAST(count_if(sbp_group = {k}) AS BIGINT) AS sbp_group_{k}" for k in (1, 2, 3, 4))
+    + " FROM locf GROUP BY outcome", "locf"))
+def q_crosstab_wide(spark, sf):
+    """A5 in wide form: outcome by blood-pressure group, one count column per group."""
+    return describe.crosstab_wide(_locf(spark, sf), "outcome", "sbp_group", [1, 2, 3, 4])

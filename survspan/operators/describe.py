@@ -112,6 +112,13 @@ def crosstab(df: DataFrame, row: str, col: str) -> DataFrame:
     return c.withColumn("col_pct", F.lit(100.0) * F.col("n") / F.sum("n").over(Window.partitionBy(col)))
 
 
+def crosstab_wide(df: DataFrame, row: str, col: str, levels) -> DataFrame:
+    """A5 wide: one row per ``row`` value, one count column per listed ``col`` level
+    (pivot with the levels given, so no extra pass discovers them)."""
+    return df.groupBy(row).pivot(col, list(levels)).agg(F.count(F.lit(1))) \
+        .select(row, *[F.coalesce(F.col(str(v)), F.lit(0)).cast("long").alias(f"{col}_{v}") for v in levels])
+
+
 def band(df: DataFrame, cols: Sequence[str], lo: float = 0.05, hi: float = 0.95) -> DataFrame:
     """Per-column lo/hi quantiles skipping missing; one blocked scan for all columns."""
     long = unpivot(df.select(*cols), [], cols, "name", "value")
