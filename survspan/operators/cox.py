@@ -5,10 +5,13 @@ One Newton iteration is one Spark job over the (checkpointed) design:
 1. every row gives an entry record at ``start`` and an exit record at
    ``stop`` carrying w e^{x b} (1, x, x x'), plus event sums at ``stop``;
 2. ``groupBy(stratum, time)`` sums them (map-side partial aggregation);
-3. risk-set moments S0, S1, S2 at t are exclusive prefix sums of
+3. risk-set moments S0, S1 at t are exclusive prefix sums of
    (entries - exits) over time (blocked scan, start < t <= stop);
-4. event times give loglik, score and information; one aggregate row
-   reaches the driver (p + p^2 + 1 numbers).
+4. event times give loglik and score; for Breslow the second-moment part of
+   the information, sum_t D_t S2(t)/S0(t), equals sum_t H(t) (exit - entry
+   second moments at t) with H the Breslow cumulative hazard, so only p + 2
+   running sums are windowed (not p(p+1)/2 more); one aggregate row reaches
+   the driver (p + p^2 + 1 numbers).
 
 No range join and no per-time broadcast: cost is linear in rows.  The time
 cut list for the blocked scan is computed once per fit.  Efron's correction
@@ -57,7 +60,7 @@ def _pairs(p):
 
 
 def risk_moments(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_ref: DataFrame | None = None,
-                 efron: bool = False):
+                 efron: bool = False, second_moments: bool = False):
     """Per (stratum, time) table with risk-set moments S0, S1_j, S2_jk and event sums."""
     p = len(terms)
     r = F.col("w") * F.exp(_xb(terms, beta))
@@ -84,9 +87,10 @@ def risk_moments(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts
         tt = blocks_from_quantiles(materialize(tt), "time")
     else:
         tt = blocks_like(tt, "time", cuts_ref)
-    tt = ordered_scan(tt, ["_stratum"], ["time"], cumsum={f"c_{n}": n for n in vnames})
+    run = vnames if (efron or second_moments) else [n for n in vnames if not n.startswith("v2_")]
+    tt = ordered_scan(tt, ["_stratum"], ["time"], cumsum={f"c_{n}": n for n in run})
     # exclusive prefix: risk set at t = start < t <= stop
-    risk = {f"S_{n}": F.col(f"c_{n}") - F.col(n) for n in vnames}
+    risk = {f"S_{n}": F.col(f"c_{n}") - F.col(n) for n in run}
     return tt.withColumns(risk), vnames
 
 
@@ -108,8 +112,13 @@ def cox_stats(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_re
     p = len(terms)
     efron = ties == "efron"
     tt, _ = risk_moments(design, terms, beta, cuts_ref, efron=efron)
-    e = tt.filter(F.col("D") > 0)
     s0 = F.col("S_v0")
+    if not efron:
+        # Breslow: sum_t D_t S2(t)/S0(t) = sum_t H(t) (exit - entry second moments at t),
+        # H the Breslow cumulative hazard, so S2 needs no running sums of its own
+        tt = ordered_scan(tt.withColumn("_dh", F.when(F.col("D") > 0, F.col("D") / s0).otherwise(F.lit(0.0))),
+                          ["_stratum"], ["time"], cumsum={"_H": "_dh"})
+    e = tt.filter(F.col("D") > 0) if efron else tt
     if efron:
         nchunk = F.ceil(F.col("D") / F.lit(EFRON_CHUNK)).cast("long")
         e = e.withColumn("_chunk", F.explode(F.sequence(F.lit(0).cast("long"), nchunk - 1)))
@@ -132,13 +141,18 @@ def cox_stats(design: DataFrame, terms: Sequence[str], beta: np.ndarray, cuts_re
         for j, k in _pairs(p):
             aggs.append(F.sum(_efron_sum(lambda ph, j=j, k=k: (F.col(f"S_v2_{j}_{k}") - ph * F.col(f"A_v2_{j}_{k}")) / den(ph)
                                          - s1(j, ph) * s1(k, ph) / (den(ph) * den(ph)))).alias(f"i_{j}_{k}"))
-    else:
-        aggs = [F.sum(F.col("Dxb") - F.col("D") * F.log(s0)).alias("ll")]
+    else:  # one aggregate over all times; event terms only where D > 0
+        ev = F.col("D") > 0
+
+        def at_events(c):
+            return F.when(ev, c).otherwise(F.lit(0.0))
+
+        aggs = [F.sum(at_events(F.col("Dxb") - F.col("D") * F.log(s0))).alias("ll")]
         for j in range(p):
-            aggs.append(F.sum(F.col(f"Dx_{j}") - F.col("D") * F.col(f"S_v1_{j}") / s0).alias(f"u_{j}"))
+            aggs.append(F.sum(at_events(F.col(f"Dx_{j}") - F.col("D") * F.col(f"S_v1_{j}") / s0)).alias(f"u_{j}"))
         for j, k in _pairs(p):
-            aggs.append(F.sum(F.col("D") * (F.col(f"S_v2_{j}_{k}") / s0
-                                            - F.col(f"S_v1_{j}") * F.col(f"S_v1_{k}") / (s0 * s0))).alias(f"i_{j}_{k}"))
+            aggs.append(F.sum(at_events(-F.col("D") * F.col(f"S_v1_{j}") * F.col(f"S_v1_{k}") / (s0 * s0))
+                              - F.col("_H") * F.col(f"v2_{j}_{k}")).alias(f"i_{j}_{k}"))
     row = e.agg(*aggs).collect()[0]
     ll = float(row["ll"] or 0.0)
     u = np.array([float(row[f"u_{j}"] or 0.0) for j in range(p)])
