@@ -29,7 +29,6 @@ from pyspark.sql import functions as F
 
 from ..plans.likelihood import FitResult, newton
 from ..plans.scan import blocks_from_quantiles, blocks_like, materialize, ordered_scan
-from ..session import shuffle_partitions
 from .survival import SurvSpec
 
 

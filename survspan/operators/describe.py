@@ -13,7 +13,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import blocks_from_quantiles, materialize, ordered_scan
-from ..session import shuffle_partitions
 
 
 def _ranked(df: DataFrame, col: str, by: Sequence[str] = (), n_blocks: int | None = None) -> DataFrame:

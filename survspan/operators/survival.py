@@ -18,7 +18,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..plans.scan import BLOCK, blocks_from_quantiles, blocks_like, materialize, ordered_scan
-from ..session import shuffle_partitions
 
 Z975 = 1.959963984540054  # normal 97.5 % point
 
