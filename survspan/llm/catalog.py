@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import quality_rules
+from . import exact_topk, jaccard_join, mixing, packing, quality_rules, secret_scan, sharding, suffix_dedup
 from .common import documents
 
 
@@ -17,10 +17,19 @@ def _on_documents(op: Callable[[DataFrame], DataFrame]):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_rules": _on_documents(quality_rules.op1_quality_rules),
+        "op2_sharding": _on_documents(sharding.op2_sharding),
+        "op3_jaccard_join": _on_documents(jaccard_join.op3_jaccard_join),
+        "op5_mixing": _on_documents(mixing.op5_mixing),
+        "op6_exact_topk": lambda spark, sf_dir: exact_topk.op6_exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
+        "op7_packing": _on_documents(packing.op7_packing),
+        "op8_secret_scan": _on_documents(secret_scan.op8_secret_scan),
+        "op9_suffix_dedup": _on_documents(suffix_dedup.op9_suffix_dedup),
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
         "op1_quality_rules": quality_rules.ORACLE_SQL,
+        "op5_mixing": mixing.ORACLE_SQL,
+        "op6_exact_topk": exact_topk.ORACLE_SQL,
     }
