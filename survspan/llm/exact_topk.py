@@ -102,23 +102,21 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10) -> DataFrame:
     ints = durable(integers(vectors))
     # Equal ids among the queries ask once, with the smallest of their vectors.
     asked = durable(integers(queries).groupBy("vec_id").agg(F.min("v").alias("v")))
-    lo, width = grid(ints)
-    dims = max(len(lo), 1)
-    if not len(lo):
-        lo, width = np.zeros(1, np.int64), np.ones(1, np.int64)
+    lo, width = grid(ints.select("v").union(asked.select("v")))
+    dims = len(lo)
     n_c, n_q = blocks(ints.count(), VECTOR_BLOCK), blocks(asked.count(), QUERY_BLOCK)
     cand = ints.withColumn("cb", F.pmod(F.xxhash64("vec_id", "v"), F.lit(n_c))).withColumn(
         "qb", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
-    query = asked.withColumn("qb", F.pmod(F.xxhash64("vec_id"), F.lit(n_q)).cast("int")).withColumn(
+    query = asked.select(F.col("vec_id").alias("query_id"), F.col("v").alias("q")).withColumn(
+        "qb", F.pmod(F.xxhash64("query_id"), F.lit(n_q)).cast("int")).withColumn(
         "cb", F.explode(F.sequence(F.lit(0), F.lit(n_c - 1)).cast("array<long>")))
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         cols = ["query_id", "vec_id", "score"]
         if not len(left) or not len(right):
             return pd.DataFrame({c: pd.Series(dtype="int64") for c in cols})
-        qid, cid = left["vec_id"].to_numpy(), right["vec_id"].to_numpy()
-        wide = max(dims, max(map(len, left["v"])))
-        q, c = _matrix(left["v"], wide)[:, :dims], _matrix(right["v"], dims)
+        qid, cid = left["query_id"].to_numpy(), right["vec_id"].to_numpy()
+        q, c = _matrix(left["q"], dims), _matrix(right["v"], dims)
         found = search_block(qid, q, cid, c, (c - lo) // width, lo, width, k)
         return pd.DataFrame([(qid[i], cid[j], s) for i, j, s in found], columns=cols)
 
