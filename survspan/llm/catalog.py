@@ -6,7 +6,20 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import exact_topk, jaccard_join, mixing, packing, quality_rules, secret_scan, sharding, suffix_dedup
+import corpus_pipeline
+
+from . import (
+    exact_topk,
+    jaccard_join,
+    license_scan,
+    mixing,
+    packing,
+    quality_classifier,
+    quality_rules,
+    secret_scan,
+    sharding,
+    suffix_dedup,
+)
 from .common import documents
 
 
@@ -19,11 +32,15 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_quality_rules": _on_documents(quality_rules.op1_quality_rules),
         "op2_sharding": _on_documents(sharding.op2_sharding),
         "op3_jaccard_join": _on_documents(jaccard_join.op3_jaccard_join),
+        "op4_license_scan": _on_documents(license_scan.op4_license_scan),
         "op5_mixing": _on_documents(mixing.op5_mixing),
         "op6_exact_topk": lambda spark, sf_dir: exact_topk.op6_exact_topk(spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "op7_packing": _on_documents(packing.op7_packing),
         "op8_secret_scan": _on_documents(secret_scan.op8_secret_scan),
         "op9_suffix_dedup": _on_documents(suffix_dedup.op9_suffix_dedup),
+        "op10_quality_classifier": lambda spark, sf_dir: quality_classifier.op10_quality_classifier(
+            documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+        "pipeline": corpus_pipeline.run,
     }
 
 
