@@ -9,7 +9,6 @@ operators  the user-facing operators (cleaning, person-period surgery,
            description, Kaplan-Meier, Cox, AFT, inference, bootstrap, contrasts)
 functions  vectorised special functions (incomplete gamma, generalized gamma)
            and their pandas-UDF wrappers
-streaming  incremental person-years over an event stream
 catalog    registered queries and their DuckDB oracle SQL
 """
 

@@ -2,17 +2,9 @@
 
 from __future__ import annotations
 
-from . import prep  # noqa: F401  (registers)
+from . import describe, models, prep, resampling, survival  # noqa: F401  (register)
 from .registry import REGISTRY
 
-_MODULES = ["describe", "survival", "models", "resampling"]
-for _m in _MODULES:
-    try:
-        __import__(f"{__name__}.{_m}")
-    except ModuleNotFoundError as e:  # module not written yet
-        if e.name != f"{__name__}.{_m}":
-            raise
-
 
 def queries():
     return {k: v[0] for k, v in REGISTRY.items()}

@@ -139,8 +139,8 @@ _KMS_EV = ("kev AS (SELECT *, sum(piece) OVER (PARTITION BY g ORDER BY time ROWS
            "SELECT *, COALESCE(lag(surv) OVER (PARTITION BY g ORDER BY time), 1.0) * "
            "(time - COALESCE(lag(time) OVER (PARTITION BY g ORDER BY time), 0.0)) AS piece FROM km WHERE n_event > 0))")
 _KMS_B = ("kb AS (SELECT g, sum(piece) AS area, max(time) AS tl, arg_max(surv, time) AS s_last, arg_min(n_risk, time) AS n_start, "
-          "min(CASE WHEN surv <= 0.5 THEN time END) AS median, min(CASE WHEN upper <= 0.5 THEN time END) AS median_lcl, "
-          "min(CASE WHEN COALESCE(lower, 0.0) <= 0.5 THEN time END) AS median_ucl, sum(wv) AS sw, sum(wv * carea) AS swc, "
+          "min(CASE WHEN surv <= 0.5 THEN time END) AS median, min(CASE WHEN COALESCE(lower, 0.0) <= 0.5 THEN time END) AS median_lcl, "
+          "min(CASE WHEN upper <= 0.5 THEN time END) AS median_ucl, sum(wv) AS sw, sum(wv * carea) AS swc, "
           "sum(wv * carea * carea) AS swcc FROM kev GROUP BY g)")
 _KMS_R = ("kr AS (SELECT a.g, a.records, a.events, a.n_max, b.n_start, b.median, b.median_lcl, b.median_ucl, b.sw, b.swc, b.swcc, "
           "COALESCE(b.area, 0) + COALESCE(b.s_last, 1.0) * ((SELECT max(time) FROM tt0) - COALESCE(b.tl, 0)) AS rmean "

@@ -155,13 +155,19 @@ def materialize_cols(df, spec, cols, weight):
     return materialize(model_frame(df, spec, cols, weight), spread=True)
 
 
+MAX_STRATA = 1000  # strata of one joint pass
+
+
 def aft_by(df: DataFrame, spec: SurvSpec, by: str, dist: str = "ggamma", levels: Sequence | None = None,
            max_iter: int = 50) -> tuple[FitResult, list]:
     """M7: one model per stratum, all strata in one job per iteration: parameters
     are keyed by stratum (cell indicators), so the sums are grouped by stratum
     inside the same pass.  Returns the joint fit and the stratum levels."""
-    levels = list(levels) if levels is not None else sorted(
-        r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().limit(1000).collect())
+    if levels is None:
+        levels = sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().limit(MAX_STRATA + 1).collect())
+        if len(levels) > MAX_STRATA:
+            raise ValueError(f"{by} has more than {MAX_STRATA} strata; name those to fit in `levels`")
+    levels = list(levels)
     cells = [f"_{by}_{v}" for v in levels]
     d = df.withColumns({c: (F.col(by) == F.lit(v)).cast("double") for c, v in zip(cells, levels)})
     d = d.filter(F.col(by).isin(levels))

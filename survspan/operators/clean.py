@@ -138,7 +138,9 @@ def design(df: DataFrame, terms: Sequence[str], factors: Mapping[str, Sequence]
         if t.startswith("i."):
             v = t[2:]
             levels = list(factors[v]) if v in factors else sorted(
-                r[0] for r in df.select(v).where(F.col(v).isNotNull()).distinct().limit(MAX_LEVELS).collect())
+                r[0] for r in df.select(v).where(F.col(v).isNotNull()).distinct().limit(MAX_LEVELS + 1).collect())
+            if len(levels) > MAX_LEVELS and v not in factors:
+                raise ValueError(f"{v} has more than {MAX_LEVELS} levels; name them in `factors`")
             df = dummies(df, v, levels[1:], prefix=f"{v}_")
             names += [f"{v}_{k}" for k in levels[1:]]
         else:

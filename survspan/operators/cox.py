@@ -295,16 +295,30 @@ def base_hazard(fit: FitResult) -> DataFrame:
     return h.select("_stratum", "time", "H0", "D", "S_v0", *[c for c in h.columns if c.startswith("S_v1_")], "_blk")
 
 
+def _valid(df: DataFrame, spec: SurvSpec, terms: Sequence[str]) -> DataFrame:
+    """The rows that a fit uses (see cox_design); a term that df lacks is an error."""
+    lacking = [t for t in terms if t not in df.columns]
+    if lacking:
+        raise ValueError(f"terms of the fit are not columns of the data: {lacking}")
+    start = F.coalesce(F.col(spec.start).cast("double"), F.lit(0.0))
+    d = df.filter(F.col(spec.stop).isNotNull() & (F.col(spec.stop).cast("double") > start))
+    for t in terms:
+        d = d.filter(F.col(t).isNotNull())
+    return d
+
+
 def schoenfeld(fit: FitResult, df: DataFrame, spec: SurvSpec, keep: Sequence[str] = ()) -> DataFrame:
     """X - xbar(t) at each event row, xbar = S1/S0 at its time (equi-join on time)."""
     terms = fit.equations[0][1]
     bh = base_hazard(fit)
+    strata = fit.extra.get("strata")
     xbar = bh.filter(F.col("D") > 0).select(
-        F.col("time").alias("_time"), *[(F.col(f"S_v1_{j}") / F.col("S_v0")).alias(f"_xbar_{j}") for j in range(len(terms))])
+        F.col("_stratum").alias("_xs"), F.col("time").alias("_time"), *[(F.col(f"S_v1_{j}") / F.col("S_v0")).alias(f"_xbar_{j}") for j in range(len(terms))])
     ev = F.col(spec.event)
-    rows = df.filter(ev.isNotNull() & (ev != 0)).select(*keep, F.col(spec.stop).cast("double").alias("time"),
-                                                      *[F.col(t).cast("double").alias(t) for t in terms])
-    j = rows.join(xbar, rows["time"] == xbar["_time"], "inner")
+    rows = _valid(df, spec, terms).filter(ev.isNotNull() & (ev != 0)).select(
+        *keep, (F.col(strata) if strata else F.lit(0)).alias("_rs"), F.col(spec.stop).cast("double").alias("time"),
+        *[F.col(t).cast("double").alias(t) for t in terms])
+    j = rows.join(xbar, (rows["time"] == xbar["_time"]) & rows["_rs"].eqNullSafe(xbar["_xs"]), "inner")
     return j.select(*keep, "time", *[(F.col(t) - F.col(f"_xbar_{i}")).alias(f"r_{t}") for i, t in enumerate(terms)])
 
 
@@ -312,19 +326,21 @@ def cox_snell(fit: FitResult, df: DataFrame, spec: SurvSpec, keep: Sequence[str]
     """r = e^{x b} (H0(stop) - H0(start)) per row; H0 looked up as-of (union +
     carried scan, no range join)."""
     terms = fit.equations[0][1]
-    bh = base_hazard(fit).select("time", "H0", "_blk")
+    strata = fit.extra.get("strata")
+    bh = base_hazard(fit).select("_stratum", "time", "H0", "_blk")
     ev = F.col(spec.event)
-    base = df.select(*keep, F.col(spec.start).cast("double").alias("_t0"), F.col(spec.stop).cast("double").alias("_t1"),
+    start = F.coalesce(F.col(spec.start).cast("double"), F.lit(0.0))
+    base = _valid(df, spec, terms).select(*keep, (F.col(strata) if strata else F.lit(0)).alias("_stratum"), start.alias("_t0"), F.col(spec.stop).cast("double").alias("_t1"),
                      F.when(ev.isNotNull() & (ev != 0), 1).otherwise(0).alias("event"),
-                     F.exp(_xb(terms, fit.params) if all(t in df.columns for t in terms) else F.lit(0.0)).alias("_r"),
+                     F.exp(_xb(terms, fit.params)).alias("_r"),
                      F.monotonically_increasing_id().alias("_rid"))
     base = materialize(base)  # stable row ids for the two lookups
-    curve = bh.select(F.lit(0).alias("_rid"), "time", F.lit(0).alias("_kind"), F.col("H0").alias("_h"))
+    curve = bh.select("_stratum", F.lit(0).alias("_rid"), "time", F.lit(0).alias("_kind"), F.col("H0").alias("_h"))
     out = base
     for side, col in (("_h1", "_t1"), ("_h0", "_t0")):
-        probes = base.select("_rid", F.col(col).alias("time"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_h"))
+        probes = base.select("_stratum", "_rid", F.col(col).alias("time"), F.lit(1).alias("_kind"), F.lit(None).cast("double").alias("_h"))
         u = blocks_like(curve.unionByName(probes), "time", bh)
-        u = ordered_scan(u, [], ["time", "_kind", "_rid"], fill_down={"_hcarry": "_h"})
+        u = ordered_scan(u, ["_stratum"], ["time", "_kind", "_rid"], fill_down={"_hcarry": "_h"})
         look = u.filter(F.col("_kind") == 1).select("_rid", F.coalesce(F.col("_hcarry"), F.lit(0.0)).alias(side))
         out = out.join(look, "_rid")
     return out.select(*keep, "event", (F.col("_r") * (F.col("_h1") - F.col("_h0"))).alias("cs_resid"))

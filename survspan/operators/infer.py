@@ -24,13 +24,14 @@ from ..plans.likelihood import FitResult
 from ..session import ship_code
 
 Z975 = 1.959963984540054
+MAX_MODELS = 100  # columns of the wide comparison table
 
 FITS_SCHEMA = StructType([
     StructField("model", StringType()), StructField("terms", ArrayType(StringType())),
     StructField("beta", ArrayType(DoubleType())), StructField("vcov", ArrayType(DoubleType())),
     StructField("loglik", DoubleType()), StructField("loglik_logtime", DoubleType()),
     StructField("k", IntegerType()), StructField("n", LongType()), StructField("events", DoubleType()),
-    StructField("converged", BooleanType()),
+    StructField("converged", BooleanType()), StructField("scale", StringType()),
 ])
 
 
@@ -38,7 +39,8 @@ def fit_row(f: FitResult) -> tuple:
     return (f.model, [f"{e}:{t}" for e, t in f.names], [float(x) for x in f.params],
             [float(x) for x in np.asarray(f.vcov).ravel()], float(f.loglik),
             float(f.extra.get("loglik_logtime", f.loglik)) if f.extra.get("dist") != "cox" else float(f.loglik),
-            int(f.k), int(f.n), float(f.events), bool(f.converged))
+            int(f.k), int(f.n), float(f.events), bool(f.converged),
+            "partial" if f.extra.get("dist") == "cox" else "density")
 
 
 def fits_table(spark: SparkSession, fits: Sequence[FitResult]) -> DataFrame:
@@ -89,22 +91,26 @@ def nlcom_exp(fits: DataFrame, weights: Mapping[str, float], name: str = "exp")
 
 
 def ic(fits: DataFrame, scale: str = "density") -> DataFrame:
-    """AIC = -2 lnL + 2k, BIC = -2 lnL + k ln N, on one named likelihood scale."""
+    """AIC = -2 lnL + 2k, BIC = -2 lnL + k ln N, on one named likelihood scale;
+    a partial likelihood (Cox) has its own scale, whatever is named."""
     ll = F.col("loglik") if scale == "density" else F.col("loglik_logtime")
-    return fits.select("model", "n", ll.alias("loglik"), "k", F.lit(scale).alias("scale"),
+    named = F.when(F.col("scale") == "partial", "partial").otherwise(F.lit(scale)).alias("scale")
+    return fits.select("model", "n", ll.alias("loglik"), "k", named,
                        (-2 * ll + 2 * F.col("k")).alias("aic"),
                        (-2 * ll + F.col("k") * F.log(F.col("n").cast("double"))).alias("bic"))
 
 
 def lrtest(fits: DataFrame, pairs: Sequence[tuple[str, str]], scale: str = "density") -> DataFrame:
-    """I4: likelihood-ratio tests small vs large (self equi-join of the fits table)."""
+    """I4: likelihood-ratio tests small vs large (self equi-join of the fits table).
+    A pair on different likelihood scales (a partial against a full one) is an error."""
     ll = "loglik" if scale == "density" else "loglik_logtime"
     spark = fits.sparkSession
     p = spark.createDataFrame(list(pairs), "small string, large string")
-    a = fits.select(F.col("model").alias("small"), F.col(ll).alias("ll0"), F.col("k").alias("k0"))
-    b = fits.select(F.col("model").alias("large"), F.col(ll).alias("ll1"), F.col("k").alias("k1"))
+    a = fits.select(F.col("model").alias("small"), F.col(ll).alias("ll0"), F.col("k").alias("k0"), F.col("scale").alias("s0"))
+    b = fits.select(F.col("model").alias("large"), F.col(ll).alias("ll1"), F.col("k").alias("k1"), F.col("scale").alias("s1"))
     j = p.join(a, "small").join(b, "large")
-    chi2 = 2 * (F.col("ll1") - F.col("ll0"))
+    mixed = F.raise_error(F.concat_ws(" ", F.lit("likelihood scales differ:"), "small", "large")).cast("double")
+    chi2 = F.when(F.col("s0") == F.col("s1"), 2 * (F.col("ll1") - F.col("ll0"))).otherwise(mixed)
     dfree = F.col("k1") - F.col("k0")
     ship_code(spark)
     return j.select("small", "large", chi2.alias("chi2"), dfree.alias("df"),
@@ -154,14 +160,17 @@ def coef_long(fits: DataFrame, exponentiate: bool = False) -> DataFrame:
     d = d.withColumns({"p": p_normal(F.col("z")), "lo": F.col("coef") - Z975 * F.col("se"),
                        "hi": F.col("coef") + Z975 * F.col("se")})
     if exponentiate:
-        d = d.withColumns({"coef": F.exp("coef"), "lo": F.exp("lo"), "hi": F.exp("hi")})
+        # delta method: the se that belongs to exp(b); z, p and the limits stay those of b
+        d = d.withColumns({"coef": F.exp("coef"), "se": F.exp("coef") * F.col("se"), "lo": F.exp("lo"), "hi": F.exp("hi")})
     return d
 
 
 def compare(fits: DataFrame) -> DataFrame:
     """Coefficient by model, wide (pivot over the model names present)."""
     long = coef_long(fits)
-    models = [r[0] for r in fits.select("model").distinct().limit(100).collect()]
+    models = [r[0] for r in fits.select("model").distinct().limit(MAX_MODELS + 1).collect()]
+    if len(models) > MAX_MODELS:
+        raise ValueError(f"more than {MAX_MODELS} models; a wide table needs a selection, coef_long has them all")
     return long.groupBy("equation", "term").pivot("model", sorted(models)).agg(F.first("coef"))
 
 

@@ -124,7 +124,10 @@ def apply_corrections(df: DataFrame, corrections: DataFrame, keys: Sequence[str]
     """Keyed corrections table (keys..., column, value) replaces hard-coded edits."""
     keys = list(keys)
     columns = list(columns) if columns is not None else [
-        r[0] for r in corrections.select("column").distinct().limit(1000).collect()]
+        r[0] for r in corrections.select("column").distinct().limit(len(df.columns) + 1).collect()]
+    unknown = sorted(set(columns) - set(df.columns))
+    if unknown:
+        raise ValueError(f"corrections of unknown columns: {unknown}")
     wide = corrections.groupBy(*keys).pivot("column", columns).agg(F.first("value"))
     wide = wide.select(*keys, *[F.col(c).alias(f"_fix_{c}") for c in columns])
     j = df.join(wide, on=keys, how="left")
@@ -162,12 +165,12 @@ def fill(df: DataFrame, cols: Sequence[str], spec: SubjectSpec = PP, direction:
     o = F.col(spec.order[0])
 
     def tagged(c):
-        return F.when(F.col(c).isNotNull(), F.struct(o.alias("o"), F.col(c).alias("v"))) if max_gap else c
+        return F.when(F.col(c).isNotNull(), F.struct(o.alias("o"), F.col(c).alias("v"))) if max_gap is not None else c
 
     fd = {f"_d_{c}": tagged(c) for c in cols} if "down" in direction else {}
     fu = {f"_u_{c}": tagged(c) for c in cols} if "up" in direction else {}
     d = scan(df, spec, fill_down=fd, fill_up=fu)
-    if max_gap:
+    if max_gap is not None:
         lim = F.lit(int(max_gap))
         d = d.withColumns({**{k: F.when(o - F.col(k).getField("o") <= lim, F.col(k).getField("v")) for k in fd},
                            **{k: F.when(F.col(k).getField("o") - o <= lim, F.col(k).getField("v")) for k in fu}})

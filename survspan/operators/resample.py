@@ -47,7 +47,7 @@ def bootstrap_aft(df: DataFrame, spec: SurvSpec, key_cols: Sequence[str], start:
         rows.append((f"{start.model}#{r}", terms, [float(x) for x in theta] if ok else None,
                      [float(x) for x in np.asarray(vcov).ravel()] if ok and vcov is not None else None,
                      float(ll) if ok and ll is not None else None, None, int(start.k), int(start.n),
-                     float(start.events), ok))
+                     float(start.events), ok, "density"))
     spark = df.sparkSession
     out = spark.createDataFrame(rows, FITS_SCHEMA)
     return out.withColumn("rep", F.split("model", "#").getItem(1).cast("int"))

@@ -145,7 +145,7 @@ def km_summary(df: DataFrame, spec: SurvSpec, by: Sequence[str] = ()) -> DataFra
     """Records, events, max n at risk, n at risk at the first event, restricted
     mean up to the largest time over all groups (S = 1 from 0 to the first event),
     median = first event time with S <= 0.5, and its 95 % limits from the CI band
-    (first times where the upper / lower limit reaches 0.5).  se(rmean)^2 = sum over
+    (first times where the lower / upper limit reaches 0.5, so lcl <= median <= ucl).  se(rmean)^2 = sum over
     event times of A_i^2 d_i / (n_i (n_i - d_i)), A_i = area under S from t_i to the
     upper limit, expanded into group sums so no per-row join is needed."""
     by = list(by)
@@ -163,8 +163,8 @@ def km_summary(df: DataFrame, spec: SurvSpec, by: Sequence[str] = ()) -> DataFra
                                F.max_by("surv", "time").alias("_s_last"),
                                F.min_by("n_risk", "time").alias("n_start"),
                                F.min(F.when(F.col("surv") <= 0.5, F.col("time"))).alias("median"),
-                               F.min(F.when(F.col("upper") <= 0.5, F.col("time"))).alias("median_lcl"),
-                               F.min(F.when(F.coalesce(F.col("lower"), F.lit(0.0)) <= 0.5, F.col("time"))).alias("median_ucl"))
+                               F.min(F.when(F.coalesce(F.col("lower"), F.lit(0.0)) <= 0.5, F.col("time"))).alias("median_lcl"),
+                               F.min(F.when(F.col("upper") <= 0.5, F.col("time"))).alias("median_ucl"))
     counts = k.groupBy(*by).agg(F.sum("n_exit").alias("records"), F.sum("n_event").alias("events"),
                                 F.max("n_risk").alias("n_max"))
     tau = k.agg(F.max("time").alias("_tau")).withColumn("_one", F.lit(1))  # one row

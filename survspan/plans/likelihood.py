@@ -160,6 +160,19 @@ def _decrement(g: np.ndarray, H: np.ndarray) -> float:
     return float(v @ v)
 
 
+def _full_step(g: np.ndarray, H: np.ndarray) -> np.ndarray:
+    try:
+        return np.linalg.solve(-H, g)
+    except np.linalg.LinAlgError:
+        return np.full(len(g), np.inf)
+
+
+def _settled(step: np.ndarray, theta: np.ndarray) -> bool:
+    """Whether the full Newton step is small. Where the likelihood rises towards infinity (a
+    level without events), the gradient vanishes but the step stays near 1."""
+    return bool(np.all(np.isfinite(theta)) and np.max(np.abs(step) / (1.0 + np.abs(theta)), initial=0.0) < 1e-2)
+
+
 def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float = 1e-10):
     """Driver-side Newton-Raphson with step halving; evalf(theta) -> (ll, g, H)."""
     theta = np.array(theta0, dtype=float)
@@ -183,7 +196,7 @@ def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float =
         step = np.linalg.solve(L.T, np.linalg.solve(L, g))
         dec = float(g @ step)
         if dec < tol and lam == 0.0:
-            converged = True
+            converged = _settled(step, theta)
             break
         t = 1.0
         accepted = False
@@ -206,7 +219,7 @@ def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float =
         # events) stops here and is reported as not converged
         flat = flat + 1 if abs(change) <= 1e-7 * (1.0 + abs(ll)) else 0
         if flat >= 2:
-            converged = _decrement(g, H) < 1e-5 and np.all(np.isfinite(theta))
+            converged = _decrement(g, H) < 1e-5 and _settled(_full_step(g, H), theta)
             break
     try:
         vcov = np.linalg.inv(-H)
@@ -372,7 +385,7 @@ def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarra
                 s["theta"], s["ll"], s["g"], s["H"] = s["cand"], ll, g, H
                 s["flat"] = s.get("flat", 0) + 1 if abs(change) <= 1e-7 * (1.0 + abs(ll)) else 0
                 if s["flat"] >= 2:  # relative log-likelihood tolerance
-                    s["done"], s["conv"] = True, _decrement(g, H) < 1e-5
+                    s["done"], s["conv"] = True, _decrement(g, H) < 1e-5 and _settled(_full_step(g, H), s["theta"])
                     continue
                 if not np.isfinite(ll):
                     s["done"] = True
@@ -383,7 +396,7 @@ def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarra
                     s["done"] = True  # no usable direction: recorded as a failed replicate
                     continue
                 if float(g @ step) < tol and lam == 0.0:
-                    s["done"], s["conv"] = True, True
+                    s["done"], s["conv"] = True, _settled(step, s["theta"])
                     continue
                 if s["it"] >= max_iter:
                     s["done"] = True

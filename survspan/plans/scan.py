@@ -274,29 +274,30 @@ def blocks_from_rank(df: DataFrame, rank_col: str, block_rows: int, block: str =
 
 
 TIME_BLOCK_ROWS = 1 << 20   # rows per time block of an ordered scan over a whole stratum
-MAX_TIME_BLOCKS = 100_000
 
 
 def blocks_from_quantiles(df: DataFrame, col: str, n_blocks: int | None = None, block: str = BLOCK,
-                          rel_err: float = 0.001, block_rows: int | None = None) -> DataFrame:
+                          rel_err: float | None = None, block_rows: int | None = None) -> DataFrame:
     """Block = bucket of ``col`` among global approximate quantile cuts.
 
     Used where every group is large by nature (strata of a curve): each block
     then holds about 1/n_blocks of all rows, whatever the skew between groups.
-    Without ``n_blocks`` the count is ceil(rows / block_rows), capped at
-    MAX_TIME_BLOCKS, so the cut list is bounded and each block fits one task;
-    callers pass checkpointed frames, so the count is cheap.  One block means
+    Without ``n_blocks`` the count is ceil(rows / block_rows), so the cut list
+    holds one number per million rows; the quantiles are taken to a quarter of a
+    block, so that a block of distinct values stays below twice its share.
+    Callers pass checkpointed frames, so the count is cheap.  One block means
     the plain single-pass scan.
     """
     from pyspark.ml.feature import Bucketizer
 
     if n_blocks is None:
         n = df.count()
-        n_blocks = min(MAX_TIME_BLOCKS, max(1, -(-n // int(block_rows or TIME_BLOCK_ROWS))))
+        n_blocks = max(1, -(-n // int(block_rows or TIME_BLOCK_ROWS)))
     if n_blocks <= 1:
         return mark_blocks(df.withColumn(block, F.lit(0).cast("long")), False, block)
     probs = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = df.select(F.col(col).cast("double").alias("_q")).na.drop().approxQuantile("_q", probs, rel_err)
+    cuts = df.select(F.col(col).cast("double").alias("_q")).na.drop().approxQuantile(
+        "_q", probs, min(0.001, 0.25 / n_blocks) if rel_err is None else rel_err)
     splits = sorted(set(float(c) for c in cuts))
     if not splits:
         return mark_blocks(df.withColumn(block, F.lit(0).cast("long")), False, block)
@@ -331,38 +332,28 @@ def blocks_like(df: DataFrame, col: str, ref: DataFrame, block: str = BLOCK) ->
 
 
 def blocks_for_hot_groups(df: DataFrame, keys: Sequence[str], order_col: str, block_rows: int,
-                          block: str = BLOCK, max_hot: int = 10_000) -> DataFrame:
-    """Block 0 for normal groups; hot groups (more than ``block_rows`` rows) are
-    cut at approximate quantiles of ``order_col`` taken over hot rows only.
-
-    The hot-group list is bounded: at most ``rows / block_rows`` groups can be
-    hot, and ``max_hot`` caps it by raising the threshold (never by dropping rows).
+                          block: str = BLOCK) -> DataFrame:
+    """Block 0 for normal groups; the rows of hot groups (more than ``block_rows``
+    rows) are cut into ranges of (keys, order) of about ``block_rows`` rows each,
+    so a group gets as many blocks as its own rows need.
+
+    Hot keys stay a DataFrame, however many there are; whether there is any is the
+    only thing the driver learns.  Normal rows are neither shuffled by order
+    nor checkpointed.  Null order values form the first range of their group.
+    Rows that tie in ``order_col`` share a block.
     """
     keys = list(keys)
     counts = df.groupBy(*keys).count()
     hot = counts.filter(F.col("count") > block_rows)
-    hot_rows = hot.orderBy(F.desc("count")).limit(max_hot + 1).collect()
-    if not hot_rows:
+    n_hot = hot.agg(F.sum("count")).first()[0]
+    if not n_hot:
         return mark_blocks(df.withColumn(block, F.lit(0).cast("long")), False, block)
-    if len(hot_rows) > max_hot:
-        # too many hot groups for one cut list: raise the threshold to the
-        # max_hot-th largest group, still bounded, still exact results
-        block_rows = int(hot_rows[max_hot - 1]["count"])
-        hot_rows = [r for r in hot_rows if r["count"] > block_rows]
-    n_hot = sum(int(r["count"]) for r in hot_rows)
-    hot_df = df.sparkSession.createDataFrame([tuple(r[k] for k in keys) for r in hot_rows],
-                                             schema=df.select(*keys).schema)
-    hot_df = hot_df.withColumn("_hot", F.lit(True))
-    tagged = df.join(F.broadcast(hot_df), on=keys, how="left")
-    n_blocks = min(max(2, -(-n_hot // block_rows)), 100_000)
-    hot_part = tagged.filter(F.col("_hot"))
-    from pyspark.ml.feature import Bucketizer
-
-    probs = [i / n_blocks for i in range(1, n_blocks)]
-    cuts = hot_part.select(F.col(order_col).cast("double").alias("_q")).na.drop().approxQuantile("_q", probs, 0.001)
-    splits = [float("-inf")] + sorted(set(float(c) for c in cuts)) + [float("inf")]
-    b = Bucketizer(splits=splits, inputCol="_bq_in", outputCol="_bh", handleInvalid="keep")
-    out = b.transform(tagged.withColumn("_bq_in", F.col(order_col).cast("double")))
-    out = out.withColumn(block, F.when(F.col("_hot"), F.coalesce(F.col("_bh"), F.lit(float(len(splits)))) + 1)
-                         .otherwise(F.lit(0)).cast("long"))
-    return mark_blocks(out.drop("_hot", "_bh", "_bq_in"), True, block)
+    tags = hot.select(*[F.col(k).alias(f"_h_{k}") for k in keys], F.lit(True).alias("_hot"))
+    same = [F.col(k).eqNullSafe(F.col(f"_h_{k}")) for k in keys]
+    tagged = df.join(tags, on=same, how="left").drop(*[f"_h_{k}" for k in keys])
+    ranges = max(2, -(-int(n_hot) // block_rows))
+    cut = tagged.filter(F.col("_hot")).drop("_hot").repartitionByRange(ranges, *keys, order_col)
+    # The range number is fixed with the rows: both are read back from one checkpoint.
+    cut = materialize(cut.withColumn(block, (F.spark_partition_id() + 1).cast("long")))
+    normal = tagged.filter(F.col("_hot").isNull()).drop("_hot").withColumn(block, F.lit(0).cast("long"))
+    return mark_blocks(normal.unionByName(cut), True, block)

@@ -42,14 +42,16 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
-    """Return the shared checkpoint folder; create a private one only when unset."""
+    """Return the shared checkpoint folder. Only a local master may go without: it gets a private one."""
     sc = spark.sparkContext
     current = sc.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if not sc.getCheckpointDir():
             sc.setCheckpointDir(current)
         return current
-    # Unset: local run or test.  A fresh folder per session, never reused.
+    if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+    # Local run or test.  A fresh folder per session, never reused.
     path = tempfile.mkdtemp(prefix="survspan-ckpt-", dir=os.environ.get("SURVSPAN_SCRATCH", "/tmp"))
     sc.setCheckpointDir(path)
     return path

@@ -1,6 +1,7 @@
 """Model fits: likelihood identities, brute-force Cox, bootstrap determinism."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from conftest import SF001
@@ -152,9 +153,38 @@ def test_boot_covariance_matches_numpy(spark):
     from survspan.operators.infer import FITS_SCHEMA
     rng = np.random.default_rng(5)
     B = rng.normal(size=(40, 3))
-    rows_ = [(f"m#{i}", ["mu:a", "mu:b", "mu:c"], [float(x) for x in B[i]], None, None, None, 3, 10, 1.0, True)
+    rows_ = [(f"m#{i}", ["mu:a", "mu:b", "mu:c"], [float(x) for x in B[i]], None, None, None, 3, 10, 1.0, True, "density")
              for i in range(40)]
     reps = spark.createDataFrame(rows_, FITS_SCHEMA)
     names, cov, n = resample.boot_covariance(reps)
     assert names == ["mu:a", "mu:b", "mu:c"] and n == 40
     assert np.allclose(cov, np.cov(B, rowvar=False), atol=1e-12)
+
+
+def test_level_without_events_is_not_converged(spark):
+    rng = np.random.default_rng(5)
+    rows = [(0.0, float(t), int(g == 0), float(g)) for g in (0, 1) for t in rng.weibull(1.5, 200) + 0.01]
+    df = spark.createDataFrame(rows, "start double, stop double, ev int, g1 double")
+    spec = SurvSpec("start", "stop", "ev")
+    assert not aft.aft(df, spec, ["g1"], "weibull").converged
+    assert not cox.cox(df, spec, ["g1"]).converged
+    assert aft.aft(df.where("g1 = 0"), spec, [], "weibull").converged
+
+
+def test_stratified_residuals_stay_in_their_stratum(spark):
+    rng = np.random.default_rng(6)
+    rows = [(0.0, float(np.ceil(4 * t)), int(e), float(x), int(s)) for t, e, x, s in zip(
+        rng.weibull(1.2, 300) + 0.01, rng.integers(0, 2, 300), rng.normal(size=300), rng.integers(0, 3, 300))]
+    rows += [(5.0, 5.0, 1, 0.0, 0)]  # not a valid interval
+    df = spark.createDataFrame(rows, "start double, stop double, ev int, x double, s int")
+    spec = SurvSpec("start", "stop", "ev")
+    fit = cox.fixed_fit(df, spec, ["x"], [0.3], strata="s")
+    r = cox.schoenfeld(fit, df, spec, keep=["s"]).toPandas()
+    assert len(r) == sum(e for _, _, e, _, _ in rows[:-1])
+    one = cox.fixed_fit(df.where("s = 1"), spec, ["x"], [0.3])
+    alone = cox.schoenfeld(one, df.where("s = 1"), spec).toPandas()
+    assert np.allclose(sorted(r[r.s == 1].r_x), sorted(alone.r_x))
+    cs = cox.cox_snell(fit, df, spec, keep=["s"]).toPandas()
+    assert len(cs) == 300 and abs(cs.cs_resid.sum() - cs.event.sum()) < 1e-6 * 300
+    with pytest.raises(ValueError, match="terms"):
+        cox.cox_snell(fit, df.drop("x"), spec)

@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from conftest import SF001, rows
 from survspan.operators import cohort, periods
-from survspan.plans.scan import is_hot, ordered_scan, blocks_from_quantiles, mark_blocks
+from survspan.plans.scan import blocks_for_hot_groups, blocks_from_quantiles, is_hot, mark_blocks, ordered_scan
 from survspan.sources.person_period import PP_COLUMNS, events_person_periods
 
 
@@ -85,3 +85,44 @@ def test_time_blocked_curves_equal_plain(spark, monkeypatch):
     assert plain_at == rows(survival.km_at(d, spec, [5.0, 10.0, 20.0], ["sbp_group"]))
     hot_cox = cox.cox(d, spec, ["sbp_group2", "lbw"])
     assert abs(hot_cox.loglik - plain_cox.loglik) < 1e-9 and np.allclose(hot_cox.params, plain_cox.params, atol=1e-9)
+
+
+def _groups(spark, sizes, null_order=False):
+    rows = [(f"g{i}", None if null_order else float(j % 7 if i == 0 else j), i * 1000 + j) for i, n in enumerate(sizes) for j in range(n)]
+    return spark.createDataFrame(rows, "k string, t double, u long")
+
+
+def test_many_tied_hot_groups_get_blocks_of_their_own_size(spark):
+    df = blocks_for_hot_groups(_groups(spark, [20] * 20 + [3] * 50), ["k"], "t", block_rows=10)
+    sizes = df.groupBy("_blk").count().toPandas().set_index("_blk")["count"]
+    assert sizes[0] == 150 and sizes.drop(0).sum() == 400 and len(sizes) <= 45
+    got = ordered_scan(df, ["k"], ["t", "u"], row_number="rn", cumsum={"s": "u"})
+    want = _groups(spark, [20] * 20 + [3] * 50).toPandas().sort_values(["k", "t", "u"])
+    want["rn"] = want.groupby("k").cumcount() + 1
+    want["s"] = want.groupby("k")["u"].cumsum()
+    assert sorted(map(tuple, got.select("k", "u", "rn", "s").collect())) == sorted(
+        want[["k", "u", "rn", "s"]].itertuples(index=False, name=None))
+
+
+def test_hot_group_with_null_order_column(spark):
+    df = blocks_for_hot_groups(_groups(spark, [50, 2], null_order=True), ["k"], "t", block_rows=10)
+    got = ordered_scan(df, ["k"], ["t", "u"], row_number="rn")
+    assert sorted(r.rn for r in got.where("k = 'g0'").collect()) == list(range(1, 51))
+
+
+def test_quantile_cuts_reach_the_block_size(spark):
+    df = spark.range(100_000).select((F.col("id") * 7919 % 100_003).cast("double").alias("v"))
+    out = blocks_from_quantiles(df, "v", n_blocks=2000)
+    assert out.groupBy("_blk").count().agg(F.max("count")).first()[0] <= 100
+
+
+def test_clusters_must_name_a_shared_checkpoint_folder():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from survspan.session import ensure_checkpoint_dir
+    fake = SimpleNamespace(conf=SimpleNamespace(get=lambda *_: None),
+                           sparkContext=SimpleNamespace(master="spark://host:7077", getCheckpointDir=lambda: None))
+    with pytest.raises(ValueError, match="checkpoint"):
+        ensure_checkpoint_dir(fake)
