@@ -9,6 +9,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
+from corpus_rows import empty, hard, small  # noqa: F401  (fixtures)
 from survspan.llm import (
     license_scan,
     mixing,

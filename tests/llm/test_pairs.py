@@ -6,6 +6,7 @@ import re
 import numpy as np
 import pytest
 
+from corpus_rows import empty, hard, small  # noqa: F401  (fixtures)
 from survspan.llm import exact_topk, jaccard_join, suffix_dedup
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
