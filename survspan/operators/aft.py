@@ -107,8 +107,9 @@ def _equations(kind, terms, lnsigma, kappa):
 
 def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "weibull",
         lnsigma: Sequence[str] = (), kappa: Sequence[str] = (), weight: str | None = None,
-        max_iter: int = 50, start: FitResult | None = None, name: str | None = None) -> FitResult:
+        max_iter: int = 50, start: FitResult | None = None, name: str | None = None, tol: float = 1e-10) -> FitResult:
     """Fit an AFT model; returns a FitResult (driver handle of one fits-table row).
+    ``tol`` bounds the scaled gradient at which Newton's method stops.
 
     With ``start`` from a fit of the same data, its checkpointed design is reused."""
     if dist not in FAMILIES:
@@ -134,7 +135,7 @@ def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "w
             if nm in start.names:
                 theta0[i] = start.params[start.names.index(nm)]
     (theta, ll, g, H, vcov, conv, it), used = fit_distributed(design, family_model(dist), eqs, theta0, weight,
-                                                              max_iter=max_iter, checkpoint=False)
+                                                              max_iter=max_iter, checkpoint=False, tol=tol)
     return FitResult(name or dist, eqs, theta, vcov, float(ll), int(N), D, conv, it,
                      extra={"dist": dist, "loglik_logtime": float(ll) + SLT, "scale": "density",
                             "design": used, "design_cols": cols, "weight": weight})

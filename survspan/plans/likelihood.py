@@ -229,11 +229,11 @@ def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float =
 
 
 def fit_distributed(design: DataFrame, model: RowModel, equations, theta0, weight: str | None = None,
-                    max_iter: int = 50, checkpoint: bool = True):
+                    max_iter: int = 50, checkpoint: bool = True, tol: float = 1e-10):
     """Newton fit over ``design``; returns ((theta, ll, g, H, vcov, converged, iterations), design_used)."""
     if checkpoint:
         design = materialize(design, spread=True)
-    return newton(lambda th: evaluate(design, model, equations, th, weight), theta0, max_iter=max_iter), design
+    return newton(lambda th: evaluate(design, model, equations, th, weight), theta0, max_iter=max_iter, tol=tol), design
 
 
 def fit_local(pdf: pd.DataFrame, model: RowModel, equations, theta0, weight: str | None = None, max_iter: int = 50):
