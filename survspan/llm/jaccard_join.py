@@ -42,11 +42,12 @@ from .components import components
 
 SHINGLE = 5
 PERCENT = 75
-PER_FRAGMENT = 4_000_000      # n-grams in a fragment
+PER_FRAGMENT = 3_000_000      # n-grams in a fragment
 PER_BUCKET = 2_000_000        # shared n-grams in a bucket of classes
 LOCAL_HOT = 64                # holders in one batch that make an n-gram frequent
 VERIFY_FRAGMENTS = 16
 KEY = 12                      # bytes of a class key
+SKETCH_WORDS = 8
 HOT = 255                     # frequency mark of the frequent n-grams
 
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
@@ -268,7 +269,7 @@ def prefix_length(n: np.ndarray, percent: int = PERCENT) -> np.ndarray:
     return n - -(-n * percent // 100) + 1
 
 
-ALIKE = "key binary, n long, held array<long>, prefix array<long>"
+ALIKE = "key binary, n long, held array<long>, prefix array<long>, sketch array<long>"
 
 
 def survivors(dealt: DataFrame) -> DataFrame:
@@ -295,17 +296,14 @@ def survivors(dealt: DataFrame) -> DataFrame:
             a, b = bounds[i], bounds[i + 1]
             g = grams[a:b]
             prefix = g[np.lexsort((g, freqs[a:b]))[:need[i]]]
-            out.append((who[i].tobytes(), n[i], g.view("<i8"), prefix.view("<i8")))
-        return pd.DataFrame(out, columns=["key", "n", "held", "prefix"])
+            bits = np.zeros(64 * SKETCH_WORDS, bool)
+            bits[(g % np.uint64(len(bits))).astype(np.int64)] = True
+            out.append((who[i].tobytes(), n[i], g.view("<i8"), prefix.view("<i8"), np.packbits(bits).view("<i8")))
+        return pd.DataFrame(out, columns=["key", "n", "held", "prefix", "sketch"])
 
     return dealt.groupBy("bucket").applyInPandas(merge, ALIKE)
 
 
-def _overlap_needed(a, b, percent: int):
-    """Least overlap of two similar sets of sizes a and b, times 100 + percent."""
-    return (a + b) * percent
-
-
 def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Pairs (a, b) that are similar: partial overlaps per fragment, summed per pair."""
     parts = sets.select("key", "n", F.explode(F.transform(
@@ -317,41 +315,69 @@ def verified(pairs: DataFrame, sets: DataFrame, percent: int = PERCENT) -> DataF
     partial = pairs.join(left, "b").join(right, ["a", "f"]).select(
         "a", "b", "n_a", "n_b", F.size(F.array_intersect("seg_a", "seg_b")).cast("long").alias("part"))
     return (partial.groupBy("a", "b", "n_a", "n_b").agg(F.sum("part").alias("both"))
-            .where(F.col("both") * (100 + percent) >= _overlap_needed(F.col("n_a"), F.col("n_b"), percent))
+            .where(F.col("both") * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent)
             .select("a", "b"))
 
 
-def _possible(a: str, b: str, percent: int):
-    """Size and shared-part bounds that every similar pair meets."""
-    n_a, n_b, h_a, h_b = (F.col(f"{c}_{x}") for c in ("n", "h") for x in (a, b))
-    return ((F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent)
-            & (F.least(h_a, h_b) * (100 + percent) >= _overlap_needed(n_a, n_b, percent)))
+def _reaches(overlap, percent: int):
+    """Whether an overlap of sets a and b would make them similar."""
+    return overlap * (100 + percent) >= (F.col("n_a") + F.col("n_b")) * percent
+
+
+def _possible(percent: int):
+    """Bounds that every similar pair meets: sizes, and the shared parts."""
+    return ((F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * percent)
+            & _reaches(F.least("h_a", "h_b"), percent))
+
+
+def _not_ruled_out(percent: int):
+    """More bounds on the overlap: of a pair that meets at its first common n-gram, and by the bits of only one side."""
+    first = 1 + F.least(F.col("n_a") - F.col("at_a"), F.col("n_b") - F.col("at_b"))
+
+    def own(x, y):  # n-grams that x has and y cannot have
+        bits = [F.bit_count(F.get(f"sketch_{x}", F.lit(i)).bitwiseAND(F.bitwise_not(F.get(f"sketch_{y}", F.lit(i)))))
+                for i in range(SKETCH_WORDS)]
+        return F.col(f"n_{x}") - F.col(f"h_{x}") + sum(bits[1:], bits[0])
+
+    return (_possible(percent) & _reaches(first, percent)
+            & _reaches(F.least(F.col("n_a") - own("a", "b"), F.col("n_b") - own("b", "a")), percent))
+
+
+def _named_as(df: DataFrame, side: str) -> DataFrame:
+    return df.select("g", F.col("key").alias(side), *[F.col(c).alias(f"{c}_{side}") for c in ("n", "h", "at", "root", "sketch")])
 
 
 def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, root) of the classes that have a similar partner; root is the component's smallest key."""
-    posts = durable(sets.select(F.explode("prefix").alias("g"), "key", "n", F.size("held").alias("h")))
-    many = posts.groupBy("g").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("key", "n", "h")).alias("hub")).where("m > 1")
+    posts = sets.select(F.posexplode("prefix").alias("r", "g"), "key", "n", F.size("held").cast("long").alias("h")).withColumn(
+        "at", F.col("n") - F.col("h") + F.col("r") + 1).drop("r")
+    posts = durable(posts)
+    # The hub is the member with the least n-grams of its own: of edited copies, the original.
+    central = F.max(F.struct((F.col("h") / F.col("n")).alias("c"), "n", "h", "key")).alias("hub")
+    many = posts.groupBy("g").agg(F.count(F.lit(1)).alias("m"), central).where("m > 1").drop("m")
     posts = durable(posts.join(many, "g"))
     first = posts.where(F.col("key") != F.col("hub.key")).select(
-        F.col("hub.key").alias("a"), F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"),
-        F.col("hub.n").alias("n_a"), F.col("hub.h").alias("h_a")).where(_possible("a", "b", percent)).select("a", "b").distinct()
+        F.col("hub.key").alias("a"), F.col("hub.n").alias("n_a"), F.col("hub.h").alias("h_a"),
+        F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"))
+    first = durable(first.where(_possible(percent)).select("a", "b").distinct())
     links = durable(verified(first, sets, percent))
     roots = components(links)
-    placed = posts.join(roots, posts["key"] == roots["node"], "left").select(
-        "g", "key", "n", "h", F.coalesce("root", "key").alias("root"))
-    placed = durable(placed)
+    placed = durable(posts.drop("hub").join(roots, posts["key"] == roots["node"], "left").select(
+        "g", "key", "n", "h", "at", F.coalesce("root", "key").alias("root")))
     # In each group, all but the members of its largest component meet the members outside their own.
     held = placed.groupBy("g", "root").agg(F.count(F.lit(1)).alias("m"))
     giant = held.groupBy("g").agg(F.max(F.struct("m", "root")).alias("giant"), F.count(F.lit(1)).alias("roots")).where("roots > 1")
-    open_ = placed.join(giant.select("g", F.col("giant.root").alias("giant")), "g")
-    some = open_.where(F.col("root") != F.col("giant")).select(
-        "g", F.col("key").alias("a"), F.col("n").alias("n_a"), F.col("h").alias("h_a"), F.col("root").alias("root_a"))
-    other = open_.select("g", F.col("key").alias("b"), F.col("n").alias("n_b"), F.col("h").alias("h_b"), F.col("root").alias("root_b"))
-    second = (some.join(other, "g").where((F.col("root_a") != F.col("root_b")) & _possible("a", "b", percent))
-              .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-              .join(first, ["a", "b"], "left_anti"))
-    more = durable(verified(second, sets, percent))
+    open_ = durable(placed.join(giant.select("g", F.col("giant.root").alias("giant")), "g").join(sets.select("key", "sketch"), "key"))
+    # a is the smaller set; it is met at one of its first n-grams only.
+    early = F.col("at") * (100 + percent) <= F.col("n") * (100 - percent) + (100 + percent)
+    outside = F.col("root") != F.col("giant")
+    ordered = F.struct("n_a", "a") < F.struct("n_b", "b")
+    met = [_named_as(open_.where(early & x), "a").join(_named_as(open_.where(y), "b"), "g").where(
+        ordered & (F.col("root_a") != F.col("root_b")) & _not_ruled_out(percent))
+        for x, y in ((outside, F.lit(True)), (~outside, outside))]
+    second = met[0].union(met[1]).select("a", "b").distinct()
+    done = first.union(first.select("b", "a"))
+    more = durable(verified(second.join(done, ["a", "b"], "left_anti"), sets, percent))
     return components(links.union(more))
 
 
