@@ -18,6 +18,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -28,39 +30,99 @@ CAPACITY = 2048
 END_ID = 1
 DOCS_PER_GROUP = 4096
 TOKENIZER = "word_bpe_49k.json"
+MARKS = ".,;:!?"
 
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, deal long"
 PACKED = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
 class ChunkedTokenizer:
-    """Ids of whole texts, tokenising every distinct chunk between blanks once per batch.
+    """Ids of whole texts, tokenising every distinct chunk between blanks once.
 
     White space never becomes part of an id in this vocabulary, so that ids of
     chunks between ASCII blanks concatenate to the ids of the text.
     """
 
-    def __init__(self, path: str, memory: int = 1 << 19):
+    def __init__(self, path: str, memory: int = 600_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
         self.memory = memory
-        self.known: dict[str, list[int]] = {}
-
-    def ids(self, text: str) -> np.ndarray:
-        chunks = text.replace("\n", " ").split(" ")
-        new = [c for c in dict.fromkeys(chunks) if c not in self.known]
-        if new:
-            if len(self.known) + len(new) > self.memory:
-                self.known = {}
-                new = list(dict.fromkeys(chunks))
-            for c, e in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.known[c] = e.ids
-        known = self.known
-        out: list[int] = []
-        for c in chunks:
-            out += known[c]
-        return np.array(out, dtype="<u4")
+        self.clear()
+
+    def clear(self):
+        self.known: dict[str, int] = {}
+        self.flat = np.zeros(0, "<u4")
+        self.ends = np.zeros(0, np.int64)
+
+    def learn(self, chunks: list[str]):
+        """Give every chunk a number; its ids are flat[ends[number - 1]:ends[number]]."""
+        new = [c for c in chunks if c not in self.known]
+        if len(self.known) + len(new) > self.memory and self.known:
+            self.clear()
+            new = chunks
+        if not new:
+            return
+        # A mark after a letter is always split off, so that "word" and "word," share their ids.
+        # (Letters past U+024F, and those whose lower case ends in a combining mark, are left alone.)
+        stems = {c: c[:-1] if len(c) > 1 and c[-1] in MARKS and c[-2] < "\u0250" and c[-2].lower()[-1].isalpha() else c
+                 for c in new}
+        ids = self._ids_of([*dict.fromkeys([*stems.values(), *MARKS])])
+        made = [ids[s] if len(s) == len(c) else ids[s] + ids[c[-1]] for c, s in stems.items()]
+        self.known.update(zip(new, range(len(self.known), len(self.known) + len(new))))
+        self.flat = np.concatenate([self.flat, np.fromiter((i for x in made for i in x), "<u4")])
+        self.ends = np.concatenate([self.ends, (self.ends[-1] if len(self.ends) else 0) + np.cumsum([len(x) for x in made])])
+
+    def _ids_of(self, stems: list[str]) -> dict[str, list[int]]:
+        """A run of ASCII letters is one piece for the model; others pass the whole tokenizer."""
+        out, others, known, flat, ends = {}, [], self.known, self.flat, self.ends
+        for s in stems:
+            at = known.get(s)
+            if at is not None:
+                out[s] = flat[ends[at - 1] if at else 0:ends[at]].tolist()
+            elif s.isascii() and s.isalpha():
+                out[s] = [t.id for t in self.model.tokenize(s.lower())]
+            else:
+                others.append(s)
+        out.update(zip(others, (e.ids for e in self.tokenizer.encode_batch_fast(others, add_special_tokens=False))))
+        return out
+
+    def ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text, with the end id."""
+        split = pc.split_pattern(pc.replace_substring(pa.array(texts, pa.large_string()), "\n", " "), " ")
+        coded = split.flatten().dictionary_encode()
+        names = coded.dictionary.to_pylist()
+        self.learn(names)
+        number = np.array([self.known[c] for c in names], np.int64)[coded.indices.to_numpy()]
+        begin = np.concatenate([[0], self.ends])[number]
+        count = self.ends[number] - begin
+        after = np.cumsum(count)
+        at = np.repeat(begin - after + count, count) + np.arange(after[-1] if len(after) else 0)
+        bounds = np.concatenate([[0], after])[split.offsets.to_numpy()]
+        ids = self.flat[at]
+        return [np.append(ids[i:j], np.uint32(END_ID)).astype("<u4") for i, j in zip(bounds[:-1].tolist(), bounds[1:].tolist())]
+
+
+_TOKENIZERS: dict[str, ChunkedTokenizer] = {}  # one per worker process and vocabulary
+
+
+def _tokenizer(vocabulary: str) -> ChunkedTokenizer:
+    import public_tokenizers
+
+    path = public_tokenizers.path(vocabulary)
+    if path not in _TOKENIZERS:
+        _TOKENIZERS[path] = ChunkedTokenizer(path)
+    return _TOKENIZERS[path]
+
+
+def _slices(texts: list[str], most: int = 1 << 22) -> Iterator[tuple[int, int]]:
+    begin, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size > most or i == len(texts) - 1:
+            yield begin, i + 1
+            begin, size = i + 1, 0
 
 
 def tokenised(docs: DataFrame, vocabulary: str = TOKENIZER, capacity: int = CAPACITY) -> DataFrame:
@@ -68,18 +130,19 @@ def tokenised(docs: DataFrame, vocabulary: str = TOKENIZER, capacity: int = CAPA
     ship_code(docs.sparkSession)
 
     def pieces(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import public_tokenizers
+        from survspan.llm.packing import _tokenizer  # the worker's own, kept between tasks
 
-        tokenizer = ChunkedTokenizer(public_tokenizers.path(vocabulary))
+        tokenizer = _tokenizer(vocabulary)
         for batch in batches:
-            rows = []
-            for doc_id, text, deal in zip(batch["doc_id"], batch["text"], batch["deal"]):
-                ids = np.append(tokenizer.ids(text), np.uint32(END_ID)).astype("<u4")
-                for start in range(0, len(ids), capacity):
-                    piece = ids[start:start + capacity]
-                    rows.append((doc_id, start, len(piece), zlib.crc32(piece.tobytes()), len(ids), deal))
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"]).astype(
-                {"doc_id": "Int64"})
+            texts, doc_ids, deals = batch["text"].tolist(), batch["doc_id"].tolist(), batch["deal"].tolist()
+            for a, b in _slices(texts):
+                rows = []
+                for doc_id, deal, ids in zip(doc_ids[a:b], deals[a:b], tokenizer.ids(texts[a:b])):
+                    for start in range(0, len(ids), capacity):
+                        piece = ids[start:start + capacity]
+                        rows.append((doc_id, start, len(piece), zlib.crc32(piece), len(ids), deal))
+                yield pd.DataFrame(rows, columns=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "deal"]).astype(
+                    {"doc_id": "Int64"})
 
     dealt = docs.select("doc_id", text_or_empty().alias("text")).withColumn("deal", F.xxhash64("doc_id", "text"))
     return dealt.mapInPandas(pieces, PIECES)
