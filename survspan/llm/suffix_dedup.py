@@ -39,8 +39,8 @@ from .jaccard_join import _mix
 
 LENGTH = 100
 GRAM = 24
-POSITION_BITS = 23            # a buffer holds at most 2^23 bytes
-ANCHORS_PER_FRAGMENT = 2_000_000
+POSITION_BITS = 18            # a buffer holds less than 2^18 bytes: some 40 MB of arrays
+ANCHORS_PER_FRAGMENT = 400_000
 PIECES_PER_BUCKET = 20_000
 LOCAL_HOT = 64
 HOT_PIECES = 4096
@@ -53,15 +53,15 @@ _BYTES = _mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
 def block_hashes(raw: np.ndarray, sizes: tuple[int, ...]) -> list[np.ndarray]:
     """Hashes of the blocks of the given sizes (sums of two powers of two at most) at every position."""
     at = {1: _BYTES[raw]}
+    parts = {s: (1 << (s.bit_length() - 1), s - (1 << (s.bit_length() - 1))) for s in sizes}
+    kept = {p for pair in parts.values() for p in pair}
     size, i = 1, 0
     while size * 2 <= max(sizes):
-        h = at[size]
+        h = at[size] if size in kept else at.pop(size)
         at[size * 2] = h[:max(0, len(h) - size)] * _P[i] + h[size:]
         size, i = size * 2, i + 1
-    for s in sizes:
-        if s not in at:
-            big = 1 << (s.bit_length() - 1)
-            small = s - big
+    for s, (big, small) in parts.items():
+        if small:
             n = max(0, len(raw) - s + 1)
             at[s] = at[big][:n] * _P[small.bit_length() - 1] + at[small][big:big + n]
     return [at[s] for s in sizes]
@@ -224,6 +224,25 @@ def _decided(did, lo, n, gram, kind) -> pd.DataFrame:
 PIECES = "bucket long, did binary, lo binary, n binary, text binary"
 
 
+def _packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, did, z): texts compressed, for the two shuffles that carry them."""
+    def squeeze(batches):
+        import zstandard
+
+        z = zstandard.ZstdCompressor(level=3)
+        for batch in batches:
+            yield batch[["doc_id", "did"]].assign(z=[None if t is None else z.compress(t.encode()) for t in batch["text"]]).astype(
+                {"doc_id": "Int64"})
+
+    return docs.select("doc_id", "did", "text").mapInPandas(squeeze, "doc_id long, did long, z binary")
+
+
+def _unpacked(z):
+    import zstandard
+
+    return b"" if z is None else zstandard.ZstdDecompressor().decompress(z)
+
+
 def undecided_texts(docs: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
     """Texts of the undecided pieces by bucket: of the anchor, or of the content of single strings where it is frequent."""
     asked = (told.where(F.col("kind") != WHOLE).groupBy("did").agg(F.collect_list(F.struct("lo", "n", "gram", "kind")).alias("p"))
@@ -233,8 +252,8 @@ def undecided_texts(docs: DataFrame, told: DataFrame, buckets: int) -> DataFrame
         for batch in batches:
             rows: dict[int, list] = {}
             strings: dict[bytes, tuple[int, int]] = {}
-            for did, text, los, ns, grams, kinds in batch.itertuples(index=False):
-                raw = text.encode()
+            for did, z, los, ns, grams, kinds in batch.itertuples(index=False):
+                raw = _unpacked(z)
                 for lo, n, gram, kind in zip(los.tolist(), ns.tolist(), grams.tolist(), kinds.tolist()):
                     if lo + n - 1 + LENGTH > len(raw):  # of another row with this doc_id
                         continue
@@ -256,8 +275,8 @@ def undecided_texts(docs: DataFrame, told: DataFrame, buckets: int) -> DataFrame
                                  b"".join(x[3] for x in r)) for b, r in rows.items()],
                                columns=["bucket", "did", "lo", "n", "text"])
 
-    rows = docs.select("did", "text").join(asked, "did").select("did", "text", "lo", "n", "gram", "kind")
-    return rows.where("text is not null").mapInPandas(cut, PIECES)
+    rows = _packed_texts(docs).select("did", "z").join(asked, "did").select("did", "z", "lo", "n", "gram", "kind")
+    return rows.mapInPandas(cut, PIECES)
 
 
 def repeated_starts(raw: np.ndarray, start: np.ndarray, rank: np.ndarray, length: int = LENGTH) -> np.ndarray:
@@ -348,13 +367,13 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     def finish(batches):
         for batch in batches:
             out = []
-            for doc_id, text, los, ns in batch.itertuples(index=False):
-                raw = b"" if text is None else text.encode()
+            for doc_id, z, los, ns in batch.itertuples(index=False):
+                raw = _unpacked(z)
                 kept, removed, spans = _cut_out(raw, los, ns)
                 out.append((doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
-    return rows.join(repeats, "did", "left").select("doc_id", "text", "lo", "n").mapInPandas(finish, KEPT)
+    return _packed_texts(rows).join(repeats, "did", "left").select("doc_id", "z", "lo", "n").mapInPandas(finish, KEPT)
 
 
 def op9_suffix_dedup(docs: DataFrame) -> DataFrame:
