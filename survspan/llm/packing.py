@@ -43,7 +43,7 @@ class ChunkedTokenizer:
     chunks between ASCII blanks concatenate to the ids of the text.
     """
 
-    def __init__(self, path: str, memory: int = 600_000):
+    def __init__(self, path: str, memory: int = 1_000_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
