@@ -4,14 +4,17 @@ Every text is searched for candidate credentials. The hash of each candidate's
 value is counted over the whole corpus by distinct owners and repositories:
 values that several owners hold are copied examples; values that a single owner
 holds and that look random are treated as live. The base kinds are always
-reported. The further kinds (private-key headers, web tokens, prefixed tokens,
-opaque random runs) are reported only where the frequency says live.
+reported. The further kinds (private keys, web tokens, prefixed tokens, opaque
+random runs) are reported only where the frequency says live. A private key is its
+whole block: to its END line, or without one as far as its base64 lines go, or else
+the header alone. Its value is the key's body without line breaks and
+indentation, so that each key counts its own owners.
 
 The documents' `source` is the owner and (`source`, `lang`) the repository;
 both are parameters.
 
 Defined cases: a null text is empty; a null owner or repository counts as one
-owner of that name; overlapping spans of different base kinds are all reported;
+owner of that name; overlapping spans of different base kinds, and of base kinds and private keys, are all reported;
 repeated rows get equal results; a document without candidates has empty spans;
 an empty table gives an empty result. Only doc_id, text, owner and repository
 columns are read, so other columns cannot clash.
@@ -29,7 +32,11 @@ ASSIGN_RE = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["'
 ACCESS_RE = r"AKIA[A-Z0-9]{14,}"  # AKIA[A-Z0-9]+ of 18 and more characters
 HEX_RE = r"[0-9a-f]{16,}"
 # Further kinds, as one pattern; the kind is read off the match.
-MORE_RE = (r"-----BEGIN [A-Z ]*PRIVATE KEY-----|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
+KEY_BEGIN, KEY_END = r"-----BEGIN [A-Z ]*PRIVATE KEY-----", r"-{5,}+END [A-Z ]*PRIVATE KEY-----"
+GAP = r"(?:\s|\\[nrt])*+"  # also as written in string literals
+KEY_RE = (KEY_BEGIN + r"(?:[^-]*+(?:-{1,4}+[^-]++)*+" + KEY_END  # possessive: a text is passed once
+          + "|(?:" + GAP + r"(?:Proc-Type|DEK-Info): [^\n\\]*+)*+(?:" + GAP + "[A-Za-z0-9+/=]{32,}+)++)?")
+MORE_RE = (KEY_RE + r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}"
            r"|gh[pousr]_[A-Za-z0-9]{20,}|xox[abprs]-[A-Za-z0-9-]{10,}|[A-Za-z0-9+/_-]{24,}")
 KINDS = ("assign", "access", "hex", "pem", "jwt", "github", "slack", "opaque")
 BASE = 3
@@ -68,11 +75,18 @@ def _candidates(text: Column) -> Column:
     base = F.concat(
         spans(_found(text, ASSIGN_RE), 0, lambda m: F.regexp_extract(m, ASSIGN_RE, 1), lambda s: F.char_length(s["value"]) >= 12),
         spans(_found(text, ACCESS_RE), 1), spans(_found(text, HEX_RE), 2))
-    more = spans(_found(text, MORE_RE), kind, wanted=lambda s: (s["rank"] < 7) | _random(s["value"]))
-    return let(base, lambda b: F.array_sort(F.concat(b, F.filter(more, lambda s: ~F.exists(
+    more = spans(_found(text, MORE_RE), kind, _value, wanted=lambda s: (s["rank"] < 7) | _random(s["value"]))
+    return let(base, lambda b: F.array_sort(F.concat(b, F.filter(more, lambda s: (s["rank"] == 3) | ~F.exists(
         b, lambda x: (x["start"] < s["end"]) & (s["start"] < x["end"]))))))
 
 
+def _value(match: Column) -> Column:
+    """What is counted by owner: of a private key its body, the header where it has none."""
+    body = F.regexp_replace(F.regexp_replace(match, f"^{KEY_BEGIN}|{KEY_END}$", ""), r"\\[nrt]|[^A-Za-z0-9+/=]", "")
+    key = let(body, lambda b: F.when(b == "", F.regexp_extract(match, KEY_BEGIN, 0)).otherwise(b))
+    return F.when(match.startswith("-----BEGIN"), key).otherwise(match)
+
+
 def _random(value: Column) -> Column:
     """Digits, both cases, and at least ten different characters."""
     return (value.rlike("[0-9]") & value.rlike("[a-z]") & value.rlike("[A-Z]")
@@ -80,7 +94,7 @@ def _random(value: Column) -> Column:
 
 
 def _looks_live(rank: Column, value: Column) -> Column:
-    """At least eight different characters and a digit; headers of private keys always."""
+    """At least eight different characters and a digit; private keys always."""
     return (rank == 3) | (value.rlike("[0-9]") & (F.size(F.array_distinct(F.split(value, ""))) >= 8))
 
 

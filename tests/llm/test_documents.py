@@ -196,6 +196,31 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert secret_scan.mask_live(docs).columns == docs.columns
 
 
+def test_private_keys_count_their_own_owners(spark):
+    def lines(i):
+        d = "".join(hashlib.sha512(f"{i}{k}".encode()).hexdigest().upper() for k in range(3))
+        return [d[k:k + 64] for k in range(0, 320, 64)]
+
+    def pem(i, gap="\n", more=""):
+        return f"-----BEGIN RSA PRIVATE KEY-----{gap}{more}" + "".join(x + gap for x in lines(i)) + "-----END RSA PRIVATE KEY-----"
+
+    info = "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-128-CBC,0123456789abcdef0123\n\n"
+    cut = "-----BEGIN RSA PRIVATE KEY-----\n" + "\n".join(lines(8))
+    rows = [(i, f"my {pem(i)} end", f"owner{i}", "en") for i in range(4)] + [
+        (10 + i, f"see {pem(9, ['\n', '\\n', '\r\n'][i])} end", f"owner{i}", "en") for i in range(3)] + [
+        (20, f"my {pem(7, more=info)} end", "owner0", "en"), (21, f"my {cut}", "owner1", "en"),
+        *((30 + i, "it says -----BEGIN RSA PRIVATE KEY----- on top", f"owner{i}", "en") for i in range(3)),
+        (40, "-----BEGIN RSA PRIVATE KEY-----" * 300, "owner0", "en")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string").withColumn("n_chars", F.lit(0).cast("long"))
+    got = {r.doc_id: r.spans for r in secret_scan.op8_secret_scan(docs).collect()}
+    assert all(got[i] == f"pem:3:{3 + len(pem(i))}" for i in range(4))
+    assert all(got[i] == "" for i in (10, 11, 12, 30, 31, 32, 40))
+    assert got[20].startswith(f"pem:3:{3 + len(pem(7, more=info))},hex:") and got[21] == f"pem:3:{3 + len(cut)}"
+    masked = {r.doc_id: r.text for r in secret_scan.mask_live(docs).collect()}
+    assert all(masked[i] == "my [SECRET] end" for i in (0, 1, 2, 3, 20)) and masked[21] == "my [SECRET]"
+    assert all(masked[d] == t for d, t, _, _ in rows if 10 <= d < 20 or d >= 30)
+
+
 def test_licenses(spark, hard, empty, small, monkeypatch):
     rows = [(1, "Intro.\nLicensed under the Apache License, Version 2.0.", "apache"), (2, "Released under the MIT License.\nText.", "mit"),
             (3, "This work is licensed under the GNU General Public License, version 3.", "gpl"), (4, "Licensed under CC BY-NC 4.0.", "cc-by-nc"),
