@@ -19,8 +19,8 @@ gets the mark once, and its pieces meet by the content of their single strings,
 each once; so no task gathers the surroundings of a frequent passage.
 
 Defined cases: null texts are empty; texts shorter than `length` keep all bytes; rows
-that share a doc_id count as one document and do not remove each other at equal starts, a null doc_id is the
-smallest; an empty table gives an empty result. Only doc_id and text are read.
+that share a doc_id count as one place in the order and do not remove each other at equal starts, a null doc_id is the
+smallest; what repeats in one row is cut from that row only (`row`, a hash of the text, tells rows of one doc_id apart); an empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -124,8 +124,8 @@ def _buffer(parts, own, base):
             np.array(own, np.int64), np.array(base, np.int64))
 
 
-ANCHORS = "frag long, did binary, lo binary, n binary, gram binary, content binary, hot binary"
-REPEATS = "did long, lo long, n long, gram long, kind int"
+ANCHORS = "frag long, did binary, row binary, lo binary, n binary, gram binary, content binary, hot binary"
+REPEATS = "did long, row long, lo long, n long, gram long, kind int"
 
 
 def _texts(batch: pd.DataFrame) -> list[bytes]:
@@ -136,45 +136,57 @@ def anchors(docs: DataFrame, fragments: int) -> DataFrame:
     """Anchors for the fragments. Rows past the last fragment hold decisions that a batch could make by itself."""
     def find(batches):
         for batch in batches:
-            for raw, bounds, own, base in _buffers(batch["did"].to_numpy(), _texts(batch)):
-                yield _batch_anchors(raw, bounds, own, base, fragments)
+            dids, keys = batch["did"].to_numpy(), batch["row"].to_numpy()
+            for raw, bounds, own, base in _buffers(np.arange(len(batch)), _texts(batch)):
+                yield _batch_anchors(raw, bounds, dids[own], keys[own], base, fragments)
 
-    return docs.select("did", "text").mapInPandas(find, ANCHORS)
+    return docs.select("did", "row", "text").mapInPandas(find, ANCHORS)
 
 
-def _batch_anchors(raw, bounds, own, base, fragments):
+def _ordered(did, row, lo, n, gram, content):
+    """Pieces by anchor, content and place; which have the anchor of the one before, are new in content, equal an
+    earlier one, or come twice from one row."""
+    order = np.lexsort((row, lo, did, content, gram))
+    did, row, lo, n, gram, content = (x[order] for x in (did, row, lo, n, gram, content))
+
+    def same(*columns):
+        return np.concatenate([[False], np.logical_and.reduce([x[1:] == x[:-1] for x in columns])])[:len(gram)]
+
+    later = same(gram, content)
+    first = np.maximum.accumulate(np.where(later, 0, np.arange(len(gram))))
+    # The same place of rows that share a doc_id is one place.
+    whole = later & ((did != did[first]) | (lo != lo[first]))
+    return (did, row, lo, n, gram, content), same(gram), ~later, whole, same(gram, content, did, lo, row)
+
+
+def _batch_anchors(raw, bounds, own, keys, base, fragments):
     text, lo, n, gram, content = pieces_of(raw, bounds)
-    did, lo = own[text], lo - bounds[text] + base[text]
     # Equal pieces of a batch: the first stands for all.
-    order = np.lexsort((lo, did, content, gram))
-    did, lo, n, gram, content = did[order], lo[order], n[order], gram[order], content[order]
-    same_gram = np.concatenate([[False], gram[1:] == gram[:-1]])[:len(gram)]
-    later = same_gram & np.concatenate([[False], content[1:] == content[:-1]])[:len(gram)]
-    # The same place of rows that share a doc_id is one place.
-    place = later & np.concatenate([[False], (did[1:] == did[:-1]) & (lo[1:] == lo[:-1])])[:len(gram)]
+    (did, row, lo, n, gram, content), same_gram, fresh, whole, copy = _ordered(
+        own[text], keys[text], lo - bounds[text] + base[text], n, gram, content)
     group = np.cumsum(~same_gram) - 1
-    kinds = np.bincount(group[~later], minlength=int(group[-1]) + 1 if len(group) else 0)
+    kinds = np.bincount(group[fresh], minlength=int(group[-1]) + 1 if len(group) else 0)
     hot = (kinds > LOCAL_HOT)[group] if len(group) else np.zeros(0, bool)
     rows = []
-    decided = (later & ~place) | (hot & ~later)
+    decided = (whole | hot) & ~copy
     if decided.any():
-        kind = np.where(later, WHOLE, HOT).astype(np.uint8)[decided]
-        rows.append((fragments + int(did[0]) % fragments, did[decided].tobytes(), lo[decided].astype(np.uint64).tobytes(),
+        kind = np.where(whole, WHOLE, HOT).astype(np.uint8)[decided]
+        rows.append((fragments + int(did[0]) % fragments, did[decided].tobytes(), row[decided].tobytes(), lo[decided].astype(np.uint64).tobytes(),
                      n[decided].astype(np.uint8).tobytes(), gram[decided].tobytes(), kind.tobytes(), b""))
-    sent = ~later & ~hot
+    sent = ~whole & ~hot & ~copy
     marks = np.unique(gram[hot])
     frag, mark_frag = _fragment(gram[sent], fragments), _fragment(marks, fragments)
     cuts, mark_cuts = (np.searchsorted(f, np.arange(fragments + 1)) for f in (frag, mark_frag))
-    columns = [did[sent], lo[sent].astype(np.uint32 if lo.max(initial=0) < 1 << 32 else np.uint64), n[sent].astype(np.uint8),
+    columns = [did[sent], row[sent], lo[sent].astype(np.uint32 if lo.max(initial=0) < 1 << 32 else np.uint64), n[sent].astype(np.uint8),
                gram[sent], content[sent]]
     for f in range(fragments):
         a, b = cuts[f], cuts[f + 1]
         marked = marks[mark_cuts[f]:mark_cuts[f + 1]]
         if b > a or len(marked):
-            d, start, count, g, c = (x[a:b] for x in columns)
-            rows.append((f, d.tobytes(), start.astype(np.uint64).tobytes() if start.dtype.itemsize == 8 else start.tobytes(),
+            d, key, start, count, g, c = (x[a:b] for x in columns)
+            rows.append((f, d.tobytes(), key.tobytes(), start.astype(np.uint64).tobytes() if start.dtype.itemsize == 8 else start.tobytes(),
                          count.tobytes(), g.tobytes(), c.tobytes(), marked.tobytes()))
-    return pd.DataFrame(rows, columns=["frag", "did", "lo", "n", "gram", "content", "hot"])
+    return pd.DataFrame(rows, columns=["frag", "did", "row", "lo", "n", "gram", "content", "hot"])
 
 
 def _fragment(gram: np.ndarray, fragments: int) -> np.ndarray:
@@ -194,47 +206,43 @@ def _starts(rows: pd.DataFrame) -> np.ndarray:
 def decisions(found: DataFrame, fragments: int) -> DataFrame:
     """Pieces that repeat wholly, and the undecided ones."""
     def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        did, lo, n = _column(rows["did"], np.int64), _starts(rows), _column(rows["n"], np.uint8)
+        did, row, lo, n = _column(rows["did"], np.int64), _column(rows["row"], np.int64), _starts(rows), _column(rows["n"], np.uint8)
         gram = _column(rows["gram"], np.uint64)
         if int(key[0]) >= fragments:
-            return _decided(did, lo, n, gram, _column(rows["content"], np.uint8))
+            return _decided(did, row, lo, n, gram, _column(rows["content"], np.uint8))
         content, marks = _column(rows["content"], np.uint64), np.unique(_column(rows["hot"], np.uint64))
-        order = np.lexsort((lo, did, content, gram))
-        did, lo, n, gram, content = did[order], lo[order], n[order], gram[order], content[order]
         if not len(gram):
-            return _decided(did, lo, n, gram, np.zeros(0, np.uint8))
-        same_gram = np.concatenate([[False], gram[1:] == gram[:-1]])
-        later = same_gram & np.concatenate([[False], content[1:] == content[:-1]])
-        place = later & np.concatenate([[False], (did[1:] == did[:-1]) & (lo[1:] == lo[:-1])])
+            return _decided(did, row, lo, n, gram, np.zeros(0, np.uint8))
+        (did, row, lo, n, gram, content), same_gram, fresh, whole, copy = _ordered(did, row, lo, n, gram, content)
         group = np.cumsum(~same_gram) - 1
-        kinds = np.bincount(group[~later])[group]
+        kinds = np.bincount(group[fresh])[group]
         hot = np.isin(gram, marks) | (kinds > HOT_PIECES)
-        kind = np.where(later, WHOLE, np.where(hot, HOT, EDGE)).astype(np.uint8)
-        told = ~place & (later | hot | (kinds > 1))
-        return _decided(did[told], lo[told], n[told], gram[told], kind[told])
+        kind = np.where(whole, WHOLE, np.where(hot, HOT, EDGE)).astype(np.uint8)
+        told = ~copy & (whole | hot | (kinds > 1))
+        return _decided(did[told], row[told], lo[told], n[told], gram[told], kind[told])
 
     return found.groupBy("frag").applyInPandas(decide, REPEATS)
 
 
-def _decided(did, lo, n, gram, kind) -> pd.DataFrame:
-    return pd.DataFrame({"did": did, "lo": lo.astype(np.int64), "n": n.astype(np.int64), "gram": gram.view(np.int64),
+def _decided(did, row, lo, n, gram, kind) -> pd.DataFrame:
+    return pd.DataFrame({"did": did, "row": row, "lo": lo.astype(np.int64), "n": n.astype(np.int64), "gram": gram.view(np.int64),
                          "kind": kind.astype(np.int32)})
 
 
-PIECES = "bucket long, did binary, lo binary, n binary, text binary"
+PIECES = "bucket long, did binary, row binary, lo binary, n binary, text binary"
 
 
 def _packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, did, z): texts compressed, for the two shuffles that carry them."""
+    """(doc_id, did, row, z): texts compressed, for the two shuffles that carry them."""
     def squeeze(batches):
         import zstandard
 
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield batch[["doc_id", "did"]].assign(z=[None if t is None else z.compress(t.encode()) for t in batch["text"]]).astype(
+            yield batch[["doc_id", "did", "row"]].assign(z=[None if t is None else z.compress(t.encode()) for t in batch["text"]]).astype(
                 {"doc_id": "Int64"})
 
-    return docs.select("doc_id", "did", "text").mapInPandas(squeeze, "doc_id long, did long, z binary")
+    return docs.select("doc_id", "did", "row", "text").mapInPandas(squeeze, "doc_id long, did long, row long, z binary")
 
 
 def _unpacked(z):
@@ -245,37 +253,38 @@ def _unpacked(z):
 
 def undecided_texts(docs: DataFrame, told: DataFrame, buckets: int) -> DataFrame:
     """Texts of the undecided pieces by bucket: of the anchor, or of the content of single strings where it is frequent."""
-    asked = (told.where(F.col("kind") != WHOLE).groupBy("did").agg(F.collect_list(F.struct("lo", "n", "gram", "kind")).alias("p"))
-             .select("did", *[F.col(f"p.{c}").alias(c) for c in ("lo", "n", "gram", "kind")]))
+    asked = (told.where(F.col("kind") != WHOLE).groupBy("did", "row").agg(F.collect_list(F.struct("lo", "n", "gram", "kind")).alias("p"))
+             .select("did", "row", *[F.col(f"p.{c}").alias(c) for c in ("lo", "n", "gram", "kind")]))
 
     def cut(batches):
         for batch in batches:
             rows: dict[int, list] = {}
-            strings: dict[bytes, tuple[int, int]] = {}
-            for did, z, los, ns, grams, kinds in batch.itertuples(index=False):
+            strings: dict[bytes, tuple[int, int, tuple]] = {}
+            for did, key, z, los, ns, grams, kinds in batch.itertuples(index=False):
                 raw = _unpacked(z)
                 for lo, n, gram, kind in zip(los.tolist(), ns.tolist(), grams.tolist(), kinds.tolist()):
-                    if lo + n - 1 + LENGTH > len(raw):  # of another row with this doc_id
-                        continue
                     if kind == EDGE:
-                        rows.setdefault(gram % buckets, []).append((did, lo, n, raw[lo:lo + n - 1 + LENGTH]))
+                        rows.setdefault(gram % buckets, []).append((did, key, lo, n, raw[lo:lo + n - 1 + LENGTH]))
                         continue
                     for s in range(lo, lo + n):
                         string = raw[s:s + LENGTH]
-                        first = strings.setdefault(string, (did, s))
-                        if first != (did, s):  # both are told; the earlier one may be the first of the corpus
-                            early, late = min(first, (did, s)), max(first, (did, s))
-                            strings[string] = early
-                            rows.setdefault(-1, []).append((*late, 1, b""))
-            for string, (did, s) in strings.items():
+                        d, at, keys = strings.setdefault(string, (did, s, (key,)))
+                        if (d, at) == (did, s):  # rows that share a doc_id: all are told with the first
+                            if key not in keys:
+                                strings[string] = (d, at, (*keys, key))
+                        elif (d, at) < (did, s):  # both are told; the earlier one may be the first of the corpus
+                            rows.setdefault(-1, []).append((did, key, s, 1, b""))
+                        else:
+                            strings[string] = (did, s, (key,))
+                            rows.setdefault(-1, []).extend((d, k, at, 1, b"") for k in keys)
+            for string, (did, s, keys) in strings.items():
                 b = int.from_bytes(hashlib.blake2b(string, digest_size=8).digest(), "little") % buckets
-                rows.setdefault(b, []).append((did, s, 1, string))
-            yield pd.DataFrame([(b if b >= 0 else buckets + r[0][0] % buckets, np.array([x[0] for x in r], np.int64).tobytes(),
-                                 np.array([x[1] for x in r], np.int64).tobytes(), np.array([x[2] for x in r], np.uint8).tobytes(),
-                                 b"".join(x[3] for x in r)) for b, r in rows.items()],
-                               columns=["bucket", "did", "lo", "n", "text"])
+                rows.setdefault(b, []).extend((did, k, s, 1, string) for k in keys)
+            yield pd.DataFrame([(b if b >= 0 else buckets + r[0][0] % buckets, *[np.array([x[i] for x in r], np.int64).tobytes() for i in range(3)],
+                                 np.array([x[3] for x in r], np.uint8).tobytes(), b"".join(x[4] for x in r)) for b, r in rows.items()],
+                               columns=["bucket", "did", "row", "lo", "n", "text"])
 
-    rows = _packed_texts(docs).select("did", "z").join(asked, "did").select("did", "z", "lo", "n", "gram", "kind")
+    rows = _packed_texts(docs).select("did", "row", "z").join(asked, ["did", "row"]).select("did", "row", "z", "lo", "n", "gram", "kind")
     return rows.mapInPandas(cut, PIECES)
 
 
@@ -309,10 +318,11 @@ def repeated_starts(raw: np.ndarray, start: np.ndarray, rank: np.ndarray, length
 
 def decided_pieces(texts: DataFrame, buckets: int) -> DataFrame:
     def decide(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        did, lo, n = _column(rows["did"], np.int64), _column(rows["lo"], np.int64), _column(rows["n"], np.uint8).astype(np.int64)
+        did, row, lo = (_column(rows[c], np.int64) for c in ("did", "row", "lo"))
+        n = _column(rows["n"], np.uint8).astype(np.int64)
         none = np.zeros(len(did), np.uint64)
         if int(key[0]) >= buckets:
-            return _decided(did, lo, n, none, np.zeros(len(did), np.uint8))
+            return _decided(did, row, lo, n, none, np.zeros(len(did), np.uint8))
         raw = np.frombuffer(b"".join(rows["text"]), np.uint8)
         begin = np.cumsum(np.concatenate([[0], n - 1 + LENGTH]))[:-1]
         inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -322,12 +332,16 @@ def decided_pieces(texts: DataFrame, buckets: int) -> DataFrame:
         rank = np.empty(len(own), np.int64)
         rank[order] = np.cumsum(new) - 1
         again = repeated_starts(raw, np.repeat(begin, n) + inside, rank)
-        # Runs of repeated starts.
-        order = order[again[order] & new]
-        own, start = own[order], start[order]
-        first = np.flatnonzero(np.concatenate([[True], (own[1:] != own[:-1]) | (start[1:] != start[:-1] + 1)])[:len(own)])
+        # Runs of repeated starts, by row.
+        key, order = np.repeat(row, n), np.flatnonzero(again)
+        order = order[np.lexsort((start[order], key[order], own[order]))]
+        own, key, start = own[order], key[order], start[order]
+        same = np.concatenate([[False], (own[1:] == own[:-1]) & (key[1:] == key[:-1])])[:len(own)]
+        new = ~(same & np.concatenate([[False], start[1:] == start[:-1]])[:len(own)])
+        own, key, start, same = own[new], key[new], start[new], same[new]
+        first = np.flatnonzero(~(same & np.concatenate([[False], start[1:] == start[:-1] + 1])[:len(own)]))
         count = np.diff(np.append(first, len(own)))
-        return _decided(own[first], start[first], count, np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint8))
+        return _decided(own[first], key[first], start[first], count, np.zeros(len(first), np.uint64), np.zeros(len(first), np.uint8))
 
     return texts.groupBy("bucket").applyInPandas(decide, REPEATS)
 
@@ -354,15 +368,15 @@ def _cut_out(text: bytes, los, ns) -> tuple[bytes, int, int]:
 def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans, the digest of what is left, and (with_text) the bytes left."""
     ship_code(docs.sparkSession)
-    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), "text")
+    rows = docs.select("doc_id", F.coalesce("doc_id", F.lit(-(1 << 63))).alias("did"), F.xxhash64("text").alias("row"), "text")
     size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     fragments = max(8, blocks(size // 40, ANCHORS_PER_FRAGMENT))
     told = durable(decisions(anchors(rows, fragments), fragments))
     weight = F.when(F.col("kind") == HOT, F.col("n")).otherwise(F.when(F.col("kind") == EDGE, 1).otherwise(0))
     buckets = max(8, blocks(told.agg(F.sum(weight)).first()[0] or 0, PIECES_PER_BUCKET))
     edges = durable(decided_pieces(undecided_texts(rows, told, buckets), buckets))
-    repeats = (told.where(F.col("kind") == WHOLE).select("did", "lo", "n").union(edges.select("did", "lo", "n"))
-               .groupBy("did").agg(F.collect_list(F.struct("lo", "n")).alias("r")).select("did", F.col("r.lo").alias("lo"), F.col("r.n").alias("n")))
+    repeats = (told.where(F.col("kind") == WHOLE).select("did", "row", "lo", "n").union(edges.select("did", "row", "lo", "n"))
+               .groupBy("did", "row").agg(F.collect_list(F.struct("lo", "n")).alias("r")).select("did", "row", F.col("r.lo").alias("lo"), F.col("r.n").alias("n")))
 
     def finish(batches):
         for batch in batches:
@@ -373,7 +387,7 @@ def deduplicated(docs: DataFrame, with_text: bool = True) -> DataFrame:
                 out.append((doc_id, len(raw), removed, spans, hashlib.sha256(kept).hexdigest(), kept if with_text else None))
             yield pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"]).astype({"doc_id": "Int64"})
 
-    return _packed_texts(rows).join(repeats, "did", "left").select("doc_id", "z", "lo", "n").mapInPandas(finish, KEPT)
+    return _packed_texts(rows).join(repeats, ["did", "row"], "left").select("doc_id", "z", "lo", "n").mapInPandas(finish, KEPT)
 
 
 def op9_suffix_dedup(docs: DataFrame) -> DataFrame:

@@ -97,6 +97,22 @@ def test_repeats_match_brute_force(hard, small, hot, buffer, monkeypatch):
         assert repeats(docs) == brute_repeats(rows)
 
 
+@pytest.mark.parametrize("hot", [64, 1])
+def test_repeats_are_cut_from_their_own_row(spark, hot, monkeypatch):
+    """Rows that share a doc_id, or have none, with different texts: what one repeats stays in the other."""
+    for name, value in (("LOCAL_HOT", hot), ("HOT_PIECES", 4096 if hot > 1 else 2)):
+        monkeypatch.setattr(suffix_dedup, name, value)
+    def prose(k):
+        return " ".join(f"{k}w{i * i % 89}x{i}" for i in range(120))
+
+    rows = [(None, prose("a")), (None, prose("b")[:400] + prose("a")[50:500] + prose("c")), (None, prose("d")),
+            (None, "zz " + prose("e")), (None, "yy " + prose("e")[:600]), (None, "ww " + prose("e")[:600]),
+            (3, prose("f")), (7, prose("f")[:700] + prose("g")), (7, prose("h")), (7, prose("f")[:700] + prose("i")), (7, prose("h")),
+            (8, prose("e")[200:] + prose("j")), (8, prose("k")), (9, prose("h")[100:600] + prose("k")[:400])]
+    for parts in (1, 5):
+        assert repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)) == brute_repeats(rows)
+
+
 def test_repeats_of_nothing(empty):
     assert repeats(empty) == []
 
