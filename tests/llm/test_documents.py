@@ -236,6 +236,16 @@ def test_licenses(spark, hard, empty, small, monkeypatch):
     assert license_scan.op4_license_scan(empty).count() == 0
 
 
+def test_unknown_licences_need_not_resemble_a_notice(spark, small):
+    unknown = ["This file is covered by the CeCILL licence agreement.", "License: WTFPL", "License: GPLv2", "This library uses the SIL Open Font License.",
+               "Subject to the Elastic License 2.0.", "Source available; see the Business Source License 1.1 for terms."]
+    none = ["He lost his driving licence.", "My sister lost her license.", "The warranty of my phone ran out.", "She studied copyright in Paris."]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(unknown + none)], "doc_id long, text string")
+    rest = small.select((F.col("doc_id") + 100).alias("doc_id"), "text")
+    got = {r.doc_id: r.family for r in license_scan.op4_license_scan(docs.unionByName(rest)).collect() if r.doc_id < 100}
+    assert [got[i] for i in range(len(got))] == ["unknown"] * len(unknown) + ["none"] * len(none)
+
+
 def test_quality_classifier(spark, small, hard, empty):
     labels = spark.read.parquet("/root/testdata/sf0.1/labels.parquet")
     docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
