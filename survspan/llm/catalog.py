@@ -10,6 +10,7 @@ import corpus_pipeline
 
 from . import (
     byte_bpe,
+    collocations,
     exact_topk,
     hard_negatives,
     jaccard_join,
@@ -42,6 +43,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_suffix_dedup": _on_documents(suffix_dedup.op9_suffix_dedup),
         "op10_quality_classifier": lambda spark, sf_dir: quality_classifier.op10_quality_classifier(
             documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet")),
+        "op11_collocations": _on_documents(collocations.op11_collocations),
         "op12_hard_negatives": lambda spark, sf_dir: hard_negatives.op12_hard_negatives(
             spark.read.parquet(f"{sf_dir}/embeddings.parquet")),
         "op13_byte_bpe": _on_documents(byte_bpe.op13_byte_bpe),
@@ -54,5 +56,6 @@ def oracle_sql() -> dict[str, str]:
         "op1_quality_rules": quality_rules.ORACLE_SQL,
         "op5_mixing": mixing.ORACLE_SQL,
         "op6_exact_topk": exact_topk.ORACLE_SQL,
+        "op11_collocations": collocations.ORACLE_SQL,
         "op12_hard_negatives": hard_negatives.ORACLE_SQL,
     }
