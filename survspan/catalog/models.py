@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..operators import aft, clean, cohort, cox, infer, periods, survival
 from ..plans.likelihood import CONS, evaluate
+from ..plans.risksets import risk_sets, risk_stats
 from ..plans.scan import materialize
 from ..sources.person_period import person_periods
 from .registry import r6, register, sql_r6
@@ -16,6 +17,7 @@ S = periods.PP
 SPEC = survival.SurvSpec("t_start", "t_stop", "outcome")
 GROUPS = ["sbp_group2", "sbp_group3", "sbp_group4"]
 ADJUST = GROUPS + ["race_recode2", "race_recode3", "lbw", "income_recode2", "income_recode3", "income_recode4"]
+RACES = ["race_recode2", "race_recode3"]  # identified at every size of the data
 # Fixed values of the reference: group-1 Weibull parameters of the crude final model,
 # used to evaluate the likelihood at a known point, and the time-varying cut 16.
 WEIBULL_MU, WEIBULL_SIGMA = 3.262489, 0.5965208
@@ -56,6 +58,12 @@ def fit_named(spark, sf, key: str):
             return aft.aft_ggamma(d, SPEC, ADJUST, name=key)
         if key == "gg_saturated":
             return aft.aft_ggamma(d, SPEC, GROUPS, lnsigma=GROUPS, kappa=GROUPS, name=key)
+        if key == "gg_race":
+            return aft.aft_ggamma(d, SPEC, RACES, name=key)
+        if key == "gg_race_saturated":
+            return aft.aft_ggamma(d, SPEC, RACES, lnsigma=RACES, kappa=RACES, name=key)
+        if key == "cox_race":
+            return cox.cox(d, SPEC, RACES, name=key)
         if key == "ammag_crude":
             return aft.aft(d, SPEC, GROUPS, "ammag", name=key)
         if key == "gamma_crude":
@@ -285,9 +293,9 @@ def q_cox_score0(spark, sf):
     """X1 building block: Breslow score vector and information diagonal at beta = 0
     (risk-set prefix sums, delayed entry)."""
     d = design_frame(spark, sf)
-    design = materialize(cox.cox_design(d, SPEC, _SCORE_TERMS), spread=True)
-    ll, u, info = cox.cox_stats(design, _SCORE_TERMS, np.zeros(len(_SCORE_TERMS)))
-    rows = [(t, float(u[i]), float(info[i, i])) for i, t in enumerate(_SCORE_TERMS)]
+    sets = risk_sets(cox.cox_design(d, SPEC, _SCORE_TERMS), _SCORE_TERMS)
+    _ll, u, info = risk_stats(sets, np.zeros(len(_SCORE_TERMS)))
+    rows = [(t, float(u[0, i]), float(info[0, i, i])) for i, t in enumerate(_SCORE_TERMS)]
     return spark.createDataFrame(rows, "term string, score double, information double") \
         .select("term", r6("score"), r6("information"))
 
@@ -369,6 +377,80 @@ def q_base_hazard(spark, sf):
     return b.select("time", r6("H0"))
 
 
+_NEWTON_ROUNDS = 8
+
+
+def _cox_newton_sql(x, y):
+    """Newton's method for two covariates, one chain of CTEs per round; risk sets as joins of rows and event times."""
+    ctes = [f"base AS (SELECT t_start, t_stop, CASE WHEN outcome = 1 THEN 1.0 ELSE 0.0 END AS d, CAST({x} AS DOUBLE) AS x, "
+            f"CAST({y} AS DOUBLE) AS y FROM sd3 WHERE t_stop > t_start)",
+            "cell AS (SELECT e.t_stop AS time, b.x, b.y, CAST(count(*) AS DOUBLE) AS n FROM (SELECT DISTINCT t_stop FROM base WHERE d > 0) e "
+            "JOIN base b ON b.t_start < e.t_stop AND b.t_stop >= e.t_stop GROUP BY ALL)",
+            "ev AS (SELECT t_stop AS time, sum(d) AS d, sum(d * x) AS dx, sum(d * y) AS dy FROM base WHERE d > 0 GROUP BY 1)",
+            "b0 AS (SELECT 0.0 AS p, 0.0 AS q, 0.0 AS v11, 0.0 AS v12, 0.0 AS v22)"]
+    for i in range(_NEWTON_ROUNDS):
+        ctes += [f"s{i} AS (SELECT time, sum(n * exp(p * x + q * y)) AS s, sum(x * n * exp(p * x + q * y)) AS sx, "
+                 f"sum(y * n * exp(p * x + q * y)) AS sy, sum(x * x * n * exp(p * x + q * y)) AS sxx, "
+                 f"sum(x * y * n * exp(p * x + q * y)) AS sxy, sum(y * y * n * exp(p * x + q * y)) AS syy FROM cell, b{i} GROUP BY time)",
+                 f"g{i} AS (SELECT sum(dx - d * sx / s) AS u1, sum(dy - d * sy / s) AS u2, sum(d * (sxx / s - sx * sx / s / s)) AS a, "
+                 f"sum(d * (sxy / s - sx * sy / s / s)) AS b, sum(d * (syy / s - sy * sy / s / s)) AS c FROM s{i} JOIN ev USING (time))",
+                 f"b{i + 1} AS (SELECT p + (c * u1 - b * u2) / (a * c - b * b) AS p, q + (a * u2 - b * u1) / (a * c - b * b) AS q, "
+                 f"c / (a * c - b * b) AS v11, -b / (a * c - b * b) AS v12, a / (a * c - b * b) AS v22 FROM b{i}, g{i})"]
+    return ctes, f"b{_NEWTON_ROUNDS}"
+
+
+def _with_sd3(body, extra=()):
+    sd3 = ("sd3 AS (SELECT *, CAST(CASE WHEN race_recode = 2 THEN 1 ELSE 0 END AS INT) AS race_recode2, "
+           "CAST(CASE WHEN race_recode = 3 THEN 1 ELSE 0 END AS INT) AS race_recode3 FROM sd)")
+    return with_ctes(body, "sd", extra=[sd3, *extra])
+
+
+def _cox_race_sql():
+    ctes, last = _cox_newton_sql(*RACES)
+    z = infer.Z975
+    rows = (f"SELECT '{RACES[0]}' AS term, p AS b, sqrt(v11) AS se FROM {last} UNION ALL SELECT '{RACES[1]}', q, sqrt(v22) FROM {last}")
+    cols = [sql_r6("b", "coef"), sql_r6("se", "coef_se"), sql_r6("b / se", "z"), sql_r6("exp(b)", "hr"), sql_r6("exp(b) * se", "hr_se"),
+            sql_r6(f"exp(b - {z} * se)", "lo"), sql_r6(f"exp(b + {z} * se)", "hi")]
+    return _with_sd3(f"SELECT term, {', '.join(cols)} FROM ({rows})", ctes)
+
+
+@register("cox_race", _cox_race_sql())
+def q_cox_race(spark, sf):
+    """A whole Cox fit by race: log hazard ratios and hazard ratios with se and limits (oracle: Newton in SQL)."""
+    fits = infer.fits_table(spark, [fit_named(spark, sf, "cox_race")])
+    plain = infer.coef_long(fits).select("term", r6("coef"), r6("se", "coef_se"), r6("z"))
+    ratio = infer.coef_long(fits, exponentiate=True).select("term", r6("coef", "hr"), r6("se", "hr_se"), r6("lo"), r6("hi"))
+    return plain.join(ratio, "term")
+
+
+_TVC_BETA = (0.3, -0.2, 0.05, -0.04)
+
+
+def _tvc_fixed_sql():
+    b1, b2, c1, c2 = _TVC_BETA
+    g = f"(time - {TVC_CUT}) * CASE WHEN time <= {TVC_CUT} THEN 1.0 ELSE 0.0 END"
+    return _with_sd3(
+        f"SELECT {sql_r6('sum(dx * b1 + dy * b2 - d * ln(s))', 'loglik')}, {sql_r6('sum(dx - d * sx / s)', 'score_race2')}, "
+        f"{sql_r6('sum(dy - d * sy / s)', 'score_race3')}, {sql_r6('sum(g * (dx - d * sx / s))', 'score_race2_t')}, "
+        f"{sql_r6('sum(g * (dy - d * sy / s))', 'score_race3_t')} FROM rs JOIN ev USING (time)", [
+            f"base AS (SELECT t_start, t_stop, CASE WHEN outcome = 1 THEN 1.0 ELSE 0.0 END AS d, CAST({RACES[0]} AS DOUBLE) AS x, "
+            f"CAST({RACES[1]} AS DOUBLE) AS y FROM sd3 WHERE t_stop > t_start)",
+            f"ev AS (SELECT *, {b1} + {c1} * g AS b1, {b2} + {c2} * g AS b2 FROM (SELECT time, d, dx, dy, {g} AS g FROM "
+            "(SELECT t_stop AS time, sum(d) AS d, sum(d * x) AS dx, sum(d * y) AS dy FROM base WHERE d > 0 GROUP BY 1)))",
+            "rs AS (SELECT ev.time, sum(exp(b1 * x + b2 * y)) AS s, sum(x * exp(b1 * x + b2 * y)) AS sx, "
+            "sum(y * exp(b1 * x + b2 * y)) AS sy FROM ev JOIN base b ON b.t_start < ev.time AND b.t_stop >= ev.time GROUP BY ev.time)"])
+
+
+@register("cox_tvc_fixed", _tvc_fixed_sql())
+def q_cox_tvc_fixed(spark, sf):
+    """X5 at fixed coefficients: log partial likelihood and score of effects by race that vary with time."""
+    sets = risk_sets(cox.cox_design(design_frame(spark, sf), SPEC, RACES), RACES, RACES, texp_cut)
+    ll, u, _ = risk_stats(sets, np.array(_TVC_BETA))
+    names = ["loglik", "score_race2", "score_race3", "score_race2_t", "score_race3_t"]
+    df = spark.createDataFrame([(float(ll[0]), *map(float, u[0]))], ", ".join(f"{n} double" for n in names))
+    return df.select(*[r6(n) for n in names])
+
+
 # ------------------------------------------------------------------ inference
 _ALL = ["weibull_crude", "lognormal_crude", "gg_crude", "gg_saturated", "ammag_crude", "gamma_crude"]
 
@@ -470,9 +552,9 @@ def q_cox_loglik_fixed(spark, sf):
     """X1 building block at a fixed beta: Breslow log partial likelihood and score
     (risk-set moment prefix sums with delayed entry, one distributed pass)."""
     d = design_frame(spark, sf)
-    design = materialize(cox.cox_design(d, SPEC, _SCORE_TERMS), spread=True)
-    ll, u, _ = cox.cox_stats(design, _SCORE_TERMS, np.array(_FIXED_BETA))
-    row = [float(ll)] + [float(x) for x in u]
+    sets = risk_sets(cox.cox_design(d, SPEC, _SCORE_TERMS), _SCORE_TERMS)
+    ll, u, _ = risk_stats(sets, np.array(_FIXED_BETA))
+    row = [float(ll[0])] + [float(x) for x in u[0]]
     names = ["loglik"] + [f"score_{t}" for t in _SCORE_TERMS]
     df = spark.createDataFrame([tuple(row)], ", ".join(f"{n} double" for n in names))
     return df.select(*[r6(n) for n in names])

@@ -1,6 +1,10 @@
 """Cox proportional hazards with delayed entry (X1-X9), Breslow or Efron ties.
 
-One Newton iteration is one Spark job over the (checkpointed) design:
+A Newton iteration reads a design that is range-partitioned by (stratum, time), sorted and
+checkpointed once (plans/risksets.py): two scans in place, no shuffle of rows. Coefficients
+that vary with time use the same scans, with sums kept per covariate pattern.
+
+Curves (baseline hazard, residuals) at given coefficients build a time table instead:
 
 1. every row gives an entry record at ``start`` and an exit record at
    ``stop`` carrying w e^{x b} (1, x, x x'), plus event sums at ``stop``;
@@ -28,6 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.likelihood import FitResult, newton
+from ..plans.risksets import RiskSets, TooManyPatterns, risk_sets, risk_stats
 from ..plans.scan import blocks_from_quantiles, blocks_like, materialize, ordered_scan
 from .survival import SurvSpec
 
@@ -40,14 +45,14 @@ def _xb(terms: Sequence[str], beta: np.ndarray) -> Column:
 
 
 def cox_design(df: DataFrame, spec: SurvSpec, terms: Sequence[str], strata: str | None = None,
-               weight: str | None = None) -> DataFrame:
+               weight: str | None = None, keep: Sequence[str] = ()) -> DataFrame:
     st = F.coalesce(F.col(spec.start).cast("double"), F.lit(0.0))
     ev = F.col(spec.event)
     cols = [st.alias("t0"), F.col(spec.stop).cast("double").alias("t"),
             F.when(ev.isNotNull() & (ev != 0), 1.0).otherwise(0.0).alias("d"),
             (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"),
             (F.col(strata) if strata else F.lit(0)).alias("_stratum")]
-    cols += [F.col(t).cast("double").alias(t) for t in terms]
+    cols += [F.col(t).cast("double").alias(t) for t in terms] + [F.col(c) for c in keep]
     d = df.select(*cols).filter(F.col("t").isNotNull() & (F.col("t") > F.col("t0")))
     for t in terms:
         d = d.filter(F.col(t).isNotNull())
@@ -170,22 +175,36 @@ def cox(df: DataFrame, spec: SurvSpec, terms: Sequence[str], strata: str | None
     if ties == "efron" and weight:
         raise ValueError("efron ties are implemented for unit weights")
     terms = list(terms)
-    design = materialize(cox_design(df, spec, terms, strata, weight), spread=True)
-    ref = blocks_from_quantiles(design.select(F.col("t").alias("time")), "time")
-    cnt = design.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("d")).alias("D")).collect()[0]
-    seen: list = []  # Newton's first pass is at beta = 0: it gives the null log-likelihood
+    sets = risk_sets(cox_design(df, spec, terms, strata, weight), terms)
+    theta, ll, vcov, conv, it, ll0 = _maximum(sets, ties == "efron", max_iter)
+    return FitResult(name, [("xb", terms)], theta, vcov, ll, sets.n, sets.events, conv, it,
+                     extra={"dist": "cox", "ll0": ll0, "risk_sets": sets, "strata": strata, "ties": ties,
+                            "source": (df, spec, weight)})
+
+
+def _maximum(sets: RiskSets, efron: bool = False, max_iter: int = 50):
+    """Newton on the driver, every pass on Spark; the first pass, at 0, gives the null log-likelihood."""
+    seen: list = []
 
     def evalf(b):
-        ll_b, u, info = cox_stats(design, terms, b, ref, ties)
+        ll, u, info = risk_stats(sets, b, efron)
         if not seen:
-            seen.append(ll_b)
-        return ll_b, u, -info
+            seen.append(float(ll[0]))
+        return float(ll[0]), u[0], -info[0]
+
+    theta, ll, _g, _h, vcov, conv, it = newton(evalf, np.zeros(len(sets.names)), max_iter=max_iter)
+    return theta, ll, vcov, conv, it, seen[0]
+
 
-    theta, ll, g, H, vcov, conv, it = newton(evalf, np.zeros(len(terms)), max_iter=max_iter)
-    ll0 = seen[0]
-    fit = FitResult(name, [("xb", terms)], theta, vcov, ll, int(cnt["n"]), float(cnt["D"] or 0), conv, it,
-                    extra={"dist": "cox", "ll0": ll0, "design": design, "cuts": ref, "strata": strata, "ties": ties})
-    return fit
+def _time_blocks(fit: FitResult) -> tuple[DataFrame, DataFrame]:
+    """The fit's design and the cuts of its time blocks, made when a curve is asked for."""
+    if "design" not in fit.extra:
+        if "source" not in fit.extra:
+            raise ValueError(f"{fit.model}: a fit with coefficients that vary with time has no baseline curve here")
+        df, spec, weight = fit.extra["source"]
+        design = materialize(cox_design(df, spec, fit.equations[0][1], fit.extra["strata"], weight), spread=True)
+        fit.extra["design"], fit.extra["cuts"] = design, blocks_from_quantiles(design.select(F.col("t").alias("time")), "time")
+    return fit.extra["design"], fit.extra["cuts"]
 
 
 # ---------------------------------------------------------------- X6 episodes
@@ -259,35 +278,39 @@ def split_episodes_join(df: DataFrame, spec: SurvSpec, cuts: DataFrame, keep: Se
 
 
 def cox_tvc(df: DataFrame, spec: SurvSpec, terms: Sequence[str], tvc: Sequence[str],
-            texp: Callable[[Column], Column], keep: Sequence[str] = (), max_iter: int = 50,
+            texp: Callable[[Column], Column], strata: str | None = None, ties: str = "breslow", max_iter: int = 50,
             name: str = "cox_tvc") -> FitResult:
     """Coefficients varying with time: extra covariates tvc_j * texp(t).
 
-    Exact: intervals are split at the distinct event times (X6), so on each
-    episode (a, b] the only event time it is at risk for is b, and the time
-    function is evaluated there.  The event-time list is bounded (checked)."""
+    Exact, and no interval is split: risk-set sums are kept per distinct vector of the tvc
+    columns, and exp(c texp(t) z) multiplies them at each event time. Rows where a term or tvc column is null are
+    left out. tvc columns with more than 256 distinct vectors take the other exact
+    way: intervals split at the event times (binned equi-join), then an ordinary fit."""
+    terms, tvc = list(terms), list(tvc)
+    columns = list(dict.fromkeys(terms + tvc))
+    try:
+        sets = risk_sets(cox_design(df, spec, columns, strata), terms, tvc, texp)
+    except TooManyPatterns:
+        return _cox_tvc_split(df, spec, terms, tvc, texp, strata, ties, max_iter, name)
+    theta, ll, vcov, conv, it, ll0 = _maximum(sets, ties == "efron", max_iter)
+    return FitResult(name, [("xb", sets.names)], theta, vcov, ll, sets.n, sets.events, conv, it,
+                     extra={"dist": "cox", "ll0": ll0, "risk_sets": sets, "strata": strata, "ties": ties})
+
+
+def _cox_tvc_split(df, spec, terms, tvc, texp, strata, ties, max_iter, name) -> FitResult:
     ev = F.col(spec.event)
-    cut_df = df.filter(ev.isNotNull() & (ev != 0)).select(F.col(spec.stop).cast("double").alias("c")).distinct()
-    times = cut_df.limit(MAX_CUTS + 1).collect()
-    cols = list(dict.fromkeys(list(terms) + list(tvc) + list(keep)))
-    src = df.select(*cols, spec.start, spec.stop, spec.event)
-    if len(times) <= MAX_CUTS:  # small cut list: array lookup per row
-        ep = split_episodes(src, spec, [r["c"] for r in times], keep=cols)
-    else:                       # any size: binned equi-join
-        ep = split_episodes_join(src, spec, cut_df, keep=cols)
-    names = []
-    for z in tvc:
-        nm = f"{z}_t"
-        ep = ep.withColumn(nm, F.col(z).cast("double") * texp(F.col("e_stop")))
-        names.append(nm)
-    espec = SurvSpec("e_start", "e_stop", "e_event")
-    return cox(ep, espec, list(terms) + names, max_iter=max_iter, name=name)
+    cuts = df.filter(ev.isNotNull() & (ev != 0)).select(F.col(spec.stop).cast("double").alias("c")).distinct()
+    keep = list(dict.fromkeys(terms + tvc + ([strata] if strata else [])))
+    ep = split_episodes_join(df.select(*keep, spec.start, spec.stop, spec.event), spec, cuts, keep=keep)
+    ep = ep.withColumns({f"{z}_t": F.col(z).cast("double") * texp(F.col("e_stop")) for z in tvc})
+    return cox(ep, SurvSpec("e_start", "e_stop", "e_event"), terms + [f"{z}_t" for z in tvc], strata, ties=ties,
+               max_iter=max_iter, name=name)
 
 
 # ---------------------------------------------------------------- X7-X9
 def base_hazard(fit: FitResult) -> DataFrame:
     """Breslow baseline cumulative hazard H0(t) = sum over event times s <= t of D_s / S0(s)."""
-    design, ref = fit.extra["design"], fit.extra["cuts"]
+    design, ref = _time_blocks(fit)
     terms = fit.equations[0][1]
     tt, _ = risk_moments(design, terms, fit.params, ref)
     h = tt.withColumn("_dh", F.when(F.col("D") > 0, F.col("D") / F.col("S_v0")).otherwise(F.lit(0.0)))

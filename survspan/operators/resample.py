@@ -17,9 +17,10 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.likelihood import CONS, FitResult, newton_reps
+from ..plans.likelihood import CONS, FitResult, newton_lockstep, newton_reps
+from ..plans.risksets import risk_sets, risk_stats
 from ..plans.scan import materialize
-from . import aft
+from . import aft, cox
 from .infer import FITS_SCHEMA, Z975, p_normal
 from .survival import SurvSpec
 
@@ -39,6 +40,35 @@ def bootstrap_aft(df: DataFrame, spec: SurvSpec, key_cols: Sequence[str], start:
     design = materialize(design, spread=True)
     res = newton_reps(design, aft.family_model(dist), eqs, start.params, list(range(1, reps + 1)), seed,
                       max_iter=max_iter)
+    return _replicates(df.sparkSession, start, res, reps, "density")
+
+
+def bootstrap_cox(df: DataFrame, spec: SurvSpec, key_cols: Sequence[str], start: FitResult,
+                  reps: int = REPS, seed: int = SEED, max_iter: int = MAX_ITER) -> DataFrame:
+    """Bootstrap a Cox fit (Breslow ties); returns a replicate fits table (one row per draw).
+
+    The sorted risk-set records carry the row key; every scan draws the weights of a chunk of replicates and
+    keeps their sums side by side, so that a round of all replicates reads the records twice per chunk."""
+    terms = list(start.equations[0][1])
+    frame = df.withColumn("_rk", F.xxhash64(*key_cols))
+    design = cox.cox_design(frame, spec, terms, start.extra.get("strata"), keep=["_rk"])
+    sets = risk_sets(design, terms, key="_rk")
+    chunk = sets.replicates_at_once()
+
+    def evalr(active: dict) -> dict:
+        out, ids = {}, sorted(active)
+        for a in range(0, len(ids), chunk):
+            some = ids[a:a + chunk]
+            ll, u, info = risk_stats(sets, np.array([active[r] for r in some]), reps=np.array(some), seed=seed)
+            out |= {r: (float(ll[i]), u[i], -info[i]) for i, r in enumerate(some)}
+        return out
+
+    res = newton_lockstep(evalr, start.params, list(range(1, reps + 1)), max_iter=max_iter)
+    return _replicates(df.sparkSession, start, res, reps, "partial")
+
+
+def _replicates(spark: SparkSession, start: FitResult, res: dict, reps: int, scale: str) -> DataFrame:
+    """One row per draw; a draw that did not converge has no coefficients."""
     terms = [f"{e}:{t}" for e, t in start.names]
     rows = []
     for r in range(1, reps + 1):
@@ -47,8 +77,7 @@ def bootstrap_aft(df: DataFrame, spec: SurvSpec, key_cols: Sequence[str], start:
         rows.append((f"{start.model}#{r}", terms, [float(x) for x in theta] if ok else None,
                      [float(x) for x in np.asarray(vcov).ravel()] if ok and vcov is not None else None,
                      float(ll) if ok and ll is not None else None, None, int(start.k), int(start.n),
-                     float(start.events), ok, "density"))
-    spark = df.sparkSession
+                     float(start.events), ok, scale))
     out = spark.createDataFrame(rows, FITS_SCHEMA)
     return out.withColumn("rep", F.split("model", "#").getItem(1).cast("int"))
 
@@ -120,10 +149,13 @@ def boot_covariance(reps: DataFrame) -> tuple[list, np.ndarray, int]:
     return names, cov, n
 
 
-def boot_wald(reps: DataFrame, observed, terms: list) -> tuple[float, int, float, int]:
-    """Joint Wald chi-square of ``terms`` with the bootstrap covariance."""
+def boot_wald(reps: DataFrame, observed, terms: list) -> tuple[float | None, int, float | None, int]:
+    """Joint Wald chi-square of ``terms`` with the bootstrap covariance; null where fewer draws converged
+    than the test needs (one more than it has terms)."""
     from ..functions.special import chi2_sf
     names, cov, n = boot_covariance(reps)
+    if n <= len(terms):
+        return None, len(terms), None, n
     obs = [f"{e}:{t}" for e, t in observed.names]
     idx = [names.index(t) for t in terms]
     oi = [obs.index(t) for t in terms]

@@ -368,6 +368,13 @@ def _damped_step(g: np.ndarray, H: np.ndarray):
 def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarray, reps: list, seed: int,
                 max_iter: int = 50, tol: float = 1e-10, key_col: str = "_rk"):
     """All replicates' Newton iterations in lockstep: one Spark pass per round."""
+    return newton_lockstep(lambda active: evaluate_reps(design, model, equations, active, seed, key_col), theta0, reps,
+                           max_iter, tol)
+
+
+def newton_lockstep(evalr: Callable, theta0: np.ndarray, reps: list, max_iter: int = 50, tol: float = 1e-10):
+    """Newton's method for many replicates of one model; evalr({rep: theta}) -> {rep: (loglik, gradient, Hessian)}
+    is called once a round with the replicates still active."""
     st = {r: {"theta": np.array(theta0, float), "cand": np.array(theta0, float), "ll": None, "g": None, "H": None,
               "step": None, "t": 1.0, "it": 0, "done": False, "conv": False} for r in reps}
     rounds = 0
@@ -376,7 +383,7 @@ def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarra
         if not active or rounds >= 2 * max_iter:
             break
         rounds += 1
-        res = evaluate_reps(design, model, equations, active, seed, key_col)
+        res = evalr(active)
         for r in active:
             s = st[r]
             ll, g, H = res[r]
