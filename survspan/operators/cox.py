@@ -301,7 +301,8 @@ def _cox_tvc_split(df, spec, terms, tvc, texp, strata, ties, max_iter, name) ->
     ev = F.col(spec.event)
     cuts = df.filter(ev.isNotNull() & (ev != 0)).select(F.col(spec.stop).cast("double").alias("c")).distinct()
     keep = list(dict.fromkeys(terms + tvc + ([strata] if strata else [])))
-    ep = split_episodes_join(df.select(*keep, spec.start, spec.stop, spec.event), spec, cuts, keep=keep)
+    start = F.coalesce(F.col(spec.start).cast("double"), F.lit(0.0)).alias(spec.start)
+    ep = split_episodes_join(df.select(*keep, start, spec.stop, spec.event), spec, cuts, keep=keep)
     ep = ep.withColumns({f"{z}_t": F.col(z).cast("double") * texp(F.col("e_stop")) for z in tvc})
     return cox(ep, SurvSpec("e_start", "e_stop", "e_event"), terms + [f"{z}_t" for z in tvc], strata, ties=ties,
                max_iter=max_iter, name=name)

@@ -211,8 +211,8 @@ def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float =
             break
         change = ll2 - ll
         theta, ll, g, H = cand, ll2, g2, H2
-        if abs(change) < 1e-12 and np.max(np.abs(t * step)) < 1e-9:
-            converged = True
+        if abs(change) < 1e-12 and np.max(np.abs(t * step), initial=0.0) < 1e-9:
+            converged = bool(np.isfinite(_decrement(g, H)))  # not where the information is singular
             break
         # relative log-likelihood tolerance (1e-7, the common default of ML
         # packages): a coefficient running off to infinity (a group without
