@@ -83,7 +83,7 @@ def fit_named(spark, sf, key: str):
         if key == "cox_tvc":
             return cox.cox_tvc(d, SPEC, GROUPS, GROUPS, texp_cut, name=key)
         if key == "gg_by_group":
-            return aft.aft_by(d, SPEC, "sbp_group", "ggamma", levels=[1, 2, 3, 4])[0]
+            return aft.aft_by(d, SPEC, "sbp_group", "ggamma")
         raise KeyError(key)
     return _memo(spark, sf, key, make)
 
@@ -185,13 +185,22 @@ def q_aft_constrained_adjusted(spark, sf):
 
 @register("aft_by")
 def q_aft_by(spark, sf):
-    """M7: one GG per blood-pressure group, all groups fitted in the same passes."""
-    f = fit_named(spark, sf, "gg_by_group")
-    rows = [(int(p["group"]), float(p["mu"]), float(p["sigma"]), float(p["kappa"]), bool(f.converged))
-            for p in aft.by_params(f)]
-    df = spark.createDataFrame(rows, "sbp_group int, mu double, sigma double, kappa double, converged boolean")
-    return df.select("sbp_group", r6("mu"), r6("sigma"), r6("kappa"), "converged",
-                     aft.gg_taxonomy("sigma", "kappa").alias("shape"))
+    """M7: one GG per blood-pressure group, each with its own convergence flag."""
+    p = aft.by_params(fit_named(spark, sf, "gg_by_group"), "sbp_group")
+    return p.select("sbp_group", r6("mu"), r6("sigma"), r6("kappa"), "converged",
+                    F.when(F.col("converged"), aft.gg_taxonomy("sigma", "kappa")).alias("shape"))
+
+
+@register("exp_by_person", with_ctes(
+    f"SELECT id, {sql_r6('CASE WHEN d > 0 THEN ln(t / d) END', 'mu')}, {sql_r6('CASE WHEN d > 0 THEN 1 / sqrt(d) END', 'se')}, "
+    f"{sql_r6('CASE WHEN d > 0 THEN -d * ln(t / d) - d END', 'loglik')}, n, CAST(d AS BIGINT) AS events, d > 0 AS converged FROM lv",
+    "locf", extra=[
+        "lv AS (SELECT id, sum(t_stop - greatest(coalesce(t_start, 0.0), 0.0)) AS t, CAST(sum(CASE WHEN outcome <> 0 THEN 1 ELSE 0 END) AS DOUBLE) AS d, "
+        "count(*) AS n FROM locf WHERE t_stop > greatest(coalesce(t_start, 0.0), 0.0) GROUP BY id)"]))
+def q_exp_by_person(spark, sf):
+    """M7 with as many strata as subjects: an exponential fit per subject (closed-form oracle); none where no event."""
+    f = aft.aft_by(design_frame(spark, sf), SPEC, "id", "exponential", tol=1e-17)
+    return f.select("id", r6(F.element_at("beta", 1), "mu"), r6(F.sqrt(F.element_at("vcov", 1)), "se"), r6("loglik"), "n", "events", "converged")
 
 
 def _group_param_df(spark, fit):

@@ -22,6 +22,8 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.gengamma import gg_hazard, gg_log_density, gg_log_surv, gg_survival
 from ..plans.likelihood import CONS, FitResult, RowModel, fit_distributed
+from ..plans.scan import materialize
+from ..plans.strata import inverse, newton_by
 from .survival import SurvSpec
 
 FAMILIES = ("exponential", "weibull", "lognormal", "ggamma", "ammag", "gamma")
@@ -81,7 +83,8 @@ def family_model(kind: str) -> RowModel:
     return RowModel(kind, m, ("t0", "t", "d"), row_loglik(kind), derivs=derivs)
 
 
-def model_frame(df: DataFrame, spec: SurvSpec, columns: Sequence[str], weight: str | None = None) -> DataFrame:
+def model_frame(df: DataFrame, spec: SurvSpec, columns: Sequence[str], weight: str | None = None,
+                keep: Sequence[str] = ()) -> DataFrame:
     """Valid rows (0 <= entry < exit, times known) with t0, t, d and double covariates."""
     t0 = F.greatest(F.coalesce(F.col(spec.start).cast("double"), F.lit(0.0)), F.lit(0.0))
     t = F.col(spec.stop).cast("double")
@@ -90,6 +93,7 @@ def model_frame(df: DataFrame, spec: SurvSpec, columns: Sequence[str], weight: s
     cols += [F.col(c).cast("double").alias(c) for c in dict.fromkeys(columns)]
     if weight:
         cols.append(F.col(weight).cast("double").alias(weight))
+    cols += [F.col(c) for c in keep]
     d = df.select(*cols).filter(F.col("t").isNotNull() & (F.col("t") > F.col("t0")))
     for c in dict.fromkeys(columns):
         d = d.filter(F.col(c).isNotNull())
@@ -152,56 +156,61 @@ def aft_ggamma(df, spec, terms=(), lnsigma=(), kappa=(), weight=None, max_iter=5
 
 
 def materialize_cols(df, spec, cols, weight):
-    from ..plans.scan import materialize
     return materialize(model_frame(df, spec, cols, weight), spread=True)
 
 
-MAX_STRATA = 1000  # strata of one joint pass
-
-
-def aft_by(df: DataFrame, spec: SurvSpec, by: str, dist: str = "ggamma", levels: Sequence | None = None,
-           max_iter: int = 50) -> tuple[FitResult, list]:
-    """M7: one model per stratum, all strata in one job per iteration: parameters
-    are keyed by stratum (cell indicators), so the sums are grouped by stratum
-    inside the same pass.  Returns the joint fit and the stratum levels."""
-    if levels is None:
-        levels = sorted(r[0] for r in df.select(by).where(F.col(by).isNotNull()).distinct().limit(MAX_STRATA + 1).collect())
-        if len(levels) > MAX_STRATA:
-            raise ValueError(f"{by} has more than {MAX_STRATA} strata; name those to fit in `levels`")
-    levels = list(levels)
-    cells = [f"_{by}_{v}" for v in levels]
-    d = df.withColumns({c: (F.col(by) == F.lit(v)).cast("double") for c, v in zip(cells, levels)})
-    d = d.filter(F.col(by).isin(levels))
-    from ..plans.scan import materialize
-    design = materialize(model_frame(d, spec, cells), spread=True)
-    eqs = [("mu", cells)]
-    if dist != "exponential":
-        eqs.append(("lnsigma", cells))
-    if dist == "ggamma":
-        eqs.append(("kappa", cells))
-    stats = design.groupBy().agg(F.sum(F.col("t") - F.col("t0")).alias("T"), F.sum("d").alias("D"),
-                                 F.count(F.lit(1)).alias("N"), F.sum(F.col("d") * F.log("t")).alias("SLT")).collect()[0]
-    names = [(eq, t) for eq, ts in eqs for t in ts]
-    # Weibull first, then GG from it (kappa = 1)
-    theta0 = np.zeros(len(names))
-    mu0 = np.log(stats["T"] / stats["D"]) if stats["D"] else 0.0
-    for c in cells:
-        theta0[names.index(("mu", c))] = mu0
-    if dist == "ggamma":
-        w_eqs = [e for e in eqs if e[0] != "kappa"]
-        (tw, *_), design_ck = fit_distributed(design, family_model("weibull"), w_eqs, theta0[:2 * len(cells)],
-                                              max_iter=max_iter, checkpoint=False)
-        theta0[:2 * len(cells)] = tw
-        for c in cells:
-            theta0[names.index(("kappa", c))] = 1.0
-        (theta, ll, g, H, vcov, conv, it), _ = fit_distributed(design_ck, family_model(dist), eqs, theta0,
-                                                               max_iter=max_iter, checkpoint=False)
+def aft_by(df: DataFrame, spec: SurvSpec, by: str, dist: str = "ggamma", terms: Sequence[str] = (), lnsigma: Sequence[str] = (),
+           kappa: Sequence[str] = (), max_iter: int = 50, tol: float = 1e-10) -> DataFrame:
+    """M7: one model per stratum, however many strata: each has its own coefficients, covariance, log-likelihood and
+    convergence flag, and all are fitted in the same passes (plans/strata.py).
+
+    Returns by, terms, beta, vcov, loglik, n, events, converged, iterations. Rows whose stratum is null, or that the model
+    cannot use (see model_frame), are left out. A stratum without events has no fit: null coefficients, not converged."""
+    if dist not in FAMILIES:
+        raise ValueError(dist)
+    name, by = by, "_stratum"
+    cols = list(dict.fromkeys([*terms, *lnsigma, *kappa]))
+    eqs = _equations(dist, terms, lnsigma, kappa)
+    design = materialize(model_frame(df.withColumn(by, F.col(name)).where(F.col(by).isNotNull()), spec, cols, keep=[by]))
+    per = materialize(design.groupBy(by).agg(F.count(F.lit(1)).alias("n"), F.sum("d").alias("events"),
+                                             F.sum(F.col("t") - F.col("t0")).alias("_T")))
+    strata = per.count()
+
+    def start(eqs, known=None):
+        """Constant of mu ln(T / D), kappa 1, all else 0; or another fit's coefficients where it has them."""
+        values = []
+        for eq, ts in eqs:
+            for t in ts:
+                x = F.log(F.col("_T") / F.col("events")) if (eq, t) == ("mu", CONS) else F.lit(1.0 if (eq, t) == ("kappa", CONS) else 0.0)
+                if known is not None and eq != "kappa":
+                    x = F.element_at("theta", [(e, u) for e, us in known for u in us].index((eq, t)) + 1)
+                values.append(x.cast("double"))
+        return F.when((F.col("events") > 0) & (F.col("_T") > 0), F.array(*values))
+
+    def fit(kind, eqs, begin):
+        return newton_by(design, by, family_model(kind), eqs, begin, strata, max_iter, tol)
+
+    if dist == "ggamma":  # Weibull first
+        weibull = _equations("weibull", terms, lnsigma, ())
+        first = fit("weibull", weibull, per.select(by, start(weibull).alias("cand")))
+        state = fit(dist, eqs, per.join(first.select(by, "theta"), by).select(by, start(eqs, weibull).alias("cand")))
     else:
-        (theta, ll, g, H, vcov, conv, it), _ = fit_distributed(design, family_model(dist), eqs, theta0,
-                                                               max_iter=max_iter, checkpoint=False)
-    fit = FitResult(f"{dist}_by_{by}", eqs, theta, vcov, float(ll), int(stats["N"]), float(stats["D"]), conv, it,
-                    extra={"dist": dist, "loglik_logtime": float(ll) + float(stats["SLT"] or 0.0), "levels": levels})
-    return fit, levels
+        state = fit(dist, eqs, per.select(by, start(eqs).alias("cand")))
+    names = [f"{eq}:{t}" for eq, ts in eqs for t in ts]
+    done = inverse(state, by, len(names))
+    return per.join(done, by).select(F.col(by).alias(name), F.array(*map(F.lit, names)).alias("terms"), F.col("theta").alias("beta"), "vcov",
+                                     F.col("ll").alias("loglik"), "n", F.col("events").cast("long").alias("events"),
+                                     F.col("conv").alias("converged"), F.col("it").alias("iterations"))
+
+
+def by_params(fits: DataFrame, by: str, dist: str = "ggamma") -> DataFrame:
+    """by, mu, sigma, kappa, converged of aft_by fits without covariates; nulls where a stratum did not converge."""
+    at = {eq: F.when(F.col("converged"), F.element_at("beta", i + 1))
+          for i, (eq, _ts) in enumerate(_equations(dist, (), (), ()))}
+    sigma = F.exp(at["lnsigma"]) if "lnsigma" in at else F.when(F.col("converged"), F.lit(1.0))
+    kappa = {"ggamma": at.get("kappa"), "ammag": 1 / sigma, "gamma": sigma}.get(
+        dist, F.when(F.col("converged"), F.lit(0.0 if dist == "lognormal" else 1.0)))
+    return fits.select(by, at["mu"].alias("mu"), sigma.alias("sigma"), kappa.alias("kappa"), "converged")
 
 
 # ------------------------------------------------------------------ params per group
@@ -237,22 +246,6 @@ def group_params(fit: FitResult, groups: Sequence, group_terms: dict) -> list[di
     return out
 
 
-def by_params(fit: FitResult) -> list[dict]:
-    """(mu, sigma, kappa) per stratum of an aft_by fit."""
-    levels = fit.extra["levels"]
-    by_cells = fit.equations[0][1]
-    dist = fit.extra.get("dist")
-    out = []
-    for v, c in zip(levels, by_cells):
-        mu = fit.coef("mu", c)
-        sigma = float(np.exp(fit.coef("lnsigma", c))) if ("lnsigma", c) in fit.names else 1.0
-        kappa = fit.coef("kappa", c) if dist == "ggamma" else (1.0 if dist in ("weibull", "exponential") else
-                                                                 (0.0 if dist == "lognormal" else
-                                                                  (1 / sigma if dist == "ammag" else sigma)))
-        out.append({"group": v, "mu": mu, "sigma": sigma, "kappa": kappa})
-    return out
-
-
 # ------------------------------------------------------------------ M10, M12 columns
 @F.pandas_udf(DoubleType())
 def gg_survival_udf(t: pd.Series, mu: pd.Series, sigma: pd.Series, kappa: pd.Series) -> pd.Series:

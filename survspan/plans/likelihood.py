@@ -372,11 +372,46 @@ def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarra
                            max_iter, tol)
 
 
+def start_state(theta0: np.ndarray) -> dict:
+    return {"theta": np.array(theta0, float), "cand": np.array(theta0, float), "ll": None, "g": None, "H": None,
+            "step": None, "t": 1.0, "it": 0, "flat": 0, "done": False, "conv": False}
+
+
+def advance(s: dict, ll: float, g: np.ndarray, H: np.ndarray, max_iter: int, tol: float) -> None:
+    """One round of Newton's method for one replicate or stratum: takes or halves the step to its candidate,
+    given the log-likelihood, gradient and Hessian there, and sets the next candidate or the final flags."""
+    if s["ll"] is not None and not (np.isfinite(ll) and ll >= s["ll"] - 1e-12):
+        s["t"] /= 2
+        if s["t"] < 2 ** -10:
+            s["done"] = True
+        else:
+            s["cand"] = s["theta"] + s["t"] * s["step"]
+        return
+    change = np.inf if s["ll"] is None else ll - s["ll"]
+    s["theta"], s["ll"], s["g"], s["H"] = s["cand"], ll, g, H
+    s["flat"] = s["flat"] + 1 if abs(change) <= 1e-7 * (1.0 + abs(ll)) else 0
+    if s["flat"] >= 2:  # relative log-likelihood tolerance
+        s["done"], s["conv"] = True, _decrement(g, H) < 1e-5 and _settled(_full_step(g, H), s["theta"])
+        return
+    if not np.isfinite(ll):
+        s["done"] = True
+        return
+    s["it"] += 1
+    step, lam = _damped_step(g, H)
+    if step is None:
+        s["done"] = True  # no usable direction: recorded as failed
+    elif float(g @ step) < tol and lam == 0.0:
+        s["done"], s["conv"] = True, _settled(step, s["theta"])
+    elif s["it"] >= max_iter:
+        s["done"] = True
+    else:
+        s["step"], s["t"], s["cand"] = step, 1.0, s["theta"] + step
+
+
 def newton_lockstep(evalr: Callable, theta0: np.ndarray, reps: list, max_iter: int = 50, tol: float = 1e-10):
     """Newton's method for many replicates of one model; evalr({rep: theta}) -> {rep: (loglik, gradient, Hessian)}
     is called once a round with the replicates still active."""
-    st = {r: {"theta": np.array(theta0, float), "cand": np.array(theta0, float), "ll": None, "g": None, "H": None,
-              "step": None, "t": 1.0, "it": 0, "done": False, "conv": False} for r in reps}
+    st = {r: start_state(theta0) for r in reps}
     rounds = 0
     while True:
         active = {r: s["cand"] for r, s in st.items() if not s["done"]}
@@ -385,37 +420,7 @@ def newton_lockstep(evalr: Callable, theta0: np.ndarray, reps: list, max_iter: i
         rounds += 1
         res = evalr(active)
         for r in active:
-            s = st[r]
-            ll, g, H = res[r]
-            if s["ll"] is None or (np.isfinite(ll) and ll >= s["ll"] - 1e-12):
-                change = np.inf if s["ll"] is None else ll - s["ll"]
-                s["theta"], s["ll"], s["g"], s["H"] = s["cand"], ll, g, H
-                s["flat"] = s.get("flat", 0) + 1 if abs(change) <= 1e-7 * (1.0 + abs(ll)) else 0
-                if s["flat"] >= 2:  # relative log-likelihood tolerance
-                    s["done"], s["conv"] = True, _decrement(g, H) < 1e-5 and _settled(_full_step(g, H), s["theta"])
-                    continue
-                if not np.isfinite(ll):
-                    s["done"] = True
-                    continue
-                s["it"] += 1
-                step, lam = _damped_step(g, H)
-                if step is None:
-                    s["done"] = True  # no usable direction: recorded as a failed replicate
-                    continue
-                if float(g @ step) < tol and lam == 0.0:
-                    s["done"], s["conv"] = True, _settled(step, s["theta"])
-                    continue
-                if s["it"] >= max_iter:
-                    s["done"] = True
-                    continue
-                s["step"], s["t"] = step, 1.0
-                s["cand"] = s["theta"] + step
-            else:
-                s["t"] /= 2
-                if s["t"] < 2 ** -10:
-                    s["done"] = True
-                    continue
-                s["cand"] = s["theta"] + s["t"] * s["step"]
+            advance(st[r], *res[r], max_iter, tol)
     out = {}
     for r, s in st.items():
         try:
