@@ -38,12 +38,13 @@ SHARE = 50  # a phrase inside a longer one that has so many hundredths of its oc
 TOP = 2000
 SAMPLE_PERCENT = 25
 SAMPLE_COUNT = 2  # in the sample; the expected count of a just frequent phrase there is 2.5
-FILTER_BITS = 27
+FILTER_BITS = 26
+SLICE_WORDS = 1 << 14
 WINDOW_BYTES = 8 << 20
 SALTS = 8
 RANKED = 100_000  # rows that one task ranks
 
-COUNTS = "lang string, words int, phrase string, hash long, n long"
+COUNTS = "lang string, words int, phrase string, n long"
 
 # Letters A to Z go to lower case, these bytes end a piece, and a tab is a blank.
 _PIECE_ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -67,6 +68,30 @@ def _word_hashes(words: pa.Array, lang: str) -> np.ndarray:
     return _mixed(np.add.reduceat(terms, starts) + np.uint64(seed))
 
 
+def _longer(hashes: np.ndarray, last: np.ndarray, k: int) -> np.ndarray:
+    """Hashes of phrases of k words with one word more."""
+    return _mixed(hashes * np.uint64(0x9E3779B97F4A7C15) + last + np.uint64(k))
+
+
+def hashed(phrases: DataFrame) -> DataFrame:
+    """hash of each (lang, words, phrase), as the passes make it."""
+    ship_code(phrases.sparkSession)
+
+    def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        with np.errstate(over="ignore"):
+            for batch in batches:
+                for (lang, k), rows in batch.groupby(["lang", "words"]):
+                    split = rows["phrase"].str.split(" ", expand=True)
+                    names = pa.array(pd.unique(split.to_numpy().ravel()), pa.large_string()).cast(pa.large_binary())
+                    known = pd.Series(_word_hashes(names, lang), index=names.cast(pa.large_string()).to_pylist())
+                    out = known.loc[split[0]].to_numpy()
+                    for i in range(1, int(k)):
+                        out = _longer(out, known.loc[split[i]].to_numpy(), i)
+                    yield pd.DataFrame({"hash": out.view(np.int64)})
+
+    return phrases.select("lang", "words", "phrase").mapInPandas(work, "hash long")
+
+
 class PhraseFilter:
     """Bit array of proposed phrases; two bits per phrase hash."""
 
@@ -82,13 +107,24 @@ class PhraseFilter:
         return out
 
     def with_phrases(self, phrases: DataFrame) -> PhraseFilter:
-        """This filter and the phrases' bits: at most 2^(bits - 6) rows come to the driver."""
+        """This filter and the phrases' bits: they are joined in slices on the executors, and the slices come to the driver."""
         mask = F.lit((1 << self.bits) - 1).cast("long")
-        at = phrases.select(F.explode(F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(mask) for s in (0, 32)])).alias("at"))
+        at = hashed(phrases).select(F.explode(F.array(*[F.shiftrightunsigned("hash", s).bitwiseAND(mask) for s in (0, 32)])).alias("at"))
         words = at.groupBy(F.shiftright("at", 6).alias("word")).agg(
-            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits")).toPandas()
+            F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("at") % 64).cast("int"))).alias("bits"))
+
+        def joined(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+            part = np.zeros(SLICE_WORDS, np.int64)
+            part[rows["word"].to_numpy(np.int64) % SLICE_WORDS] = rows["bits"].to_numpy(np.int64)
+            return pd.DataFrame({"slice": [key[0]], "part": [part.tobytes()]})
+
+        ship_code(phrases.sparkSession)
         out = self.words.copy()
-        out[words["word"].to_numpy(np.int64)] |= words["bits"].to_numpy(np.int64).view(np.uint64)
+        for row in (words.groupBy((F.col("word") / SLICE_WORDS).cast("long").alias("slice"))
+                    .applyInPandas(joined, "slice long, part binary").collect()):  # 2^bits bits at most
+            begin = row["slice"] * SLICE_WORDS
+            part = np.frombuffer(row["part"], np.uint64)[:len(out) - begin]
+            out[begin:begin + len(part)] |= part
         return PhraseFilter(self.bits, out)
 
 
@@ -113,8 +149,8 @@ def windows(folded: bytes, size: int, overlap: int) -> Iterator[tuple[bytes, int
 
 
 def count_window(window: bytes, skip: int, lang: str, new: PhraseFilter | None, old: PhraseFilter | None,
-                 max_words: int) -> Iterator[tuple[int, pa.Array, np.ndarray, np.ndarray]]:
-    """(words, phrases, hashes, counts) of what a pass counts: first of all lengths by `new`, later what `old` left out."""
+                 max_words: int) -> Iterator[tuple[int, pa.Array, np.ndarray]]:
+    """(words, phrases, counts) of what a pass counts: at first all that `new` admits, later what `old` left out."""
     data = np.frombuffer(window, np.uint8)
     breaks = data == 10
     blank = breaks | (data == 32)
@@ -137,7 +173,7 @@ def count_window(window: bytes, skip: int, lang: str, new: PhraseFilter | None,
     for k in range(1, max_words + 1):
         fresh = np.flatnonzero(~seen & (n > 0))
         if len(fresh):
-            yield k, strings.take(pa.array(fresh)), hashes[fresh], n[fresh]
+            yield k, strings.take(pa.array(fresh)), n[fresh]
         if k == max_words or new is None:
             return
         held = new.holds(hashes)
@@ -148,13 +184,18 @@ def count_window(window: bytes, skip: int, lang: str, new: PhraseFilter | None,
             return
         pairs = code[left] * len(hashes) + code[left + 1]
         which, distinct = pd.factorize(pairs)
+        order = np.argsort(distinct)  # phrases of one beginning side by side: they compress better in the shuffle
+        distinct = distinct[order]
+        place = np.empty_like(order)
+        place[order] = np.arange(len(order))
+        which = place[which]
         first, second = np.divmod(distinct, len(hashes))
         last = np.empty(len(distinct), np.int64)
         last[which] = word[left + k]
         seen = held_before[first] & held_before[second]
         strings = pc.binary_join_element_wise(strings.take(pa.array(first)), names.take(pa.array(last)),
                                               pa.scalar(b" ", pa.large_binary()))
-        hashes = _mixed(hashes[first] * np.uint64(0x9E3779B97F4A7C15) + word_hashes[last] + np.uint64(k))
+        hashes = _longer(hashes[first], word_hashes[last], k)
         n = np.bincount(which[left + k >= skip], minlength=len(distinct))
         codes = np.full(len(code) - 1, -1, np.int64)
         codes[left] = which
@@ -162,8 +203,9 @@ def count_window(window: bytes, skip: int, lang: str, new: PhraseFilter | None,
 
 
 def count_phrases(docs: DataFrame, new: PhraseFilter | None, old: PhraseFilter | None = None,
-                  max_words: int = MAX_WORDS, window: int = WINDOW_BYTES) -> DataFrame:
-    """(lang, words, phrase, hash, n): one pass over docs (lang, raw). A first pass also gives each language's words: words = 0."""
+                  max_words: int = MAX_WORDS, window: int = WINDOW_BYTES):
+    """((lang, words, phrase, n), what was broadcast): one pass over docs (lang, raw). A first pass also gives
+    each language's words: words = 0."""
     ship_code(docs.sparkSession)
     sc = docs.sparkSession.sparkContext
     sent = sc.broadcast((new and (new.bits, new.words), old and (old.bits, old.words)))
@@ -174,8 +216,9 @@ def count_phrases(docs: DataFrame, new: PhraseFilter | None, old: PhraseFilter |
         filters = [x and PhraseFilter(*x) for x in sent.value]
         yield from counted_batches(batches, *filters, max_words, window)
 
-    return (docs.mapInArrow(work, COUNTS).groupBy("lang", "words", "phrase")
-            .agg(F.max("hash").alias("hash"), F.sum("n").alias("n")))
+    key = ["lang", "words", "phrase"]
+    # Windows are aggregated already: a second aggregate before the shuffle would only fill memory.
+    return docs.mapInArrow(work, COUNTS).repartition(*key).groupBy(*key).agg(F.sum("n").alias("n")), sent
 
 
 def counted_batches(batches, new, old, max_words, window) -> Iterator[pa.RecordBatch]:
@@ -197,18 +240,18 @@ def _counted(texts: dict[str, list[bytes]], new, old, max_words, window) -> Iter
         for lang in [*texts]:
             folded, total = b"\n".join(texts.pop(lang)).translate(_FOLD), 0
             for part, skip in windows(folded, window, max_words - 1):
-                for k, phrases, hashes, n in count_window(part, skip, lang, new, old, max_words):
+                for k, phrases, n in count_window(part, skip, lang, new, old, max_words):
                     total += int(n.sum()) if k == 1 else 0
-                    yield _rows(lang, k, phrases.cast(pa.binary()).cast(pa.string()), hashes.view(np.int64), n)
+                    yield _rows(lang, k, phrases.cast(pa.binary()).cast(pa.string()), n)
             if total:
-                yield _rows(lang, 0, pa.array([""]), np.zeros(1, np.int64), np.array([total]))
+                yield _rows(lang, 0, pa.array([""]), np.array([total]))
 
 
-def _rows(lang: str, k: int, phrases: pa.Array, hashes: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+def _rows(lang: str, k: int, phrases: pa.Array, n: np.ndarray) -> pa.RecordBatch:
     same = pa.DictionaryArray.from_arrays(pa.array(np.zeros(len(n), np.int32)), pa.array([lang])).cast(pa.string())
     return pa.RecordBatch.from_arrays(
-        [same, pa.array(np.full(len(n), k, np.int32)), phrases, pa.array(hashes), pa.array(n.astype(np.int64))],
-        names=["lang", "words", "phrase", "hash", "n"])
+        [same, pa.array(np.full(len(n), k, np.int32)), phrases, pa.array(n.astype(np.int64))],
+        names=["lang", "words", "phrase", "n"])
 
 
 def read(docs: DataFrame, text: str = "text", lang: str = "lang") -> DataFrame:
@@ -223,8 +266,9 @@ def proposed(docs: DataFrame, percent: int = SAMPLE_PERCENT, count: int = SAMPLE
     sample = docs.where(F.pmod(F.xxhash64("raw"), F.lit(100)) < percent)
     found, before = PhraseFilter(bits), None
     for k in range(1, max_words):
-        counts = count_phrases(sample, found, before, k, window)
+        counts, sent = count_phrases(sample, found, before, k, window)
         before, found = found, found.with_phrases(counts.where(f"words = {k} and n >= {count}"))
+        sent.unpersist()
     return found
 
 
@@ -234,7 +278,9 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     (words = 0); and the number of full passes. docs: (lang, raw) by read()."""
     new, old, found = proposed(docs, percent, sample_count, max_words, bits, window), None, []
     while True:
-        got = durable(count_phrases(docs, new, old, max_words, window).where((F.col("n") >= min_count) | (F.col("words") == 0)))
+        counts, sent = count_phrases(docs, new, old, max_words, window)
+        got = durable(counts.where((F.col("n") >= min_count) | (F.col("words") == 0)))
+        sent.unpersist()
         found.append(got)
         wider = new.with_phrases(got.where((F.col("words") > 0) & (F.col("words") < max_words)))
         if (wider.words == new.words).all():
@@ -243,7 +289,7 @@ def frequent_phrases(docs: DataFrame, min_count: int = MIN_COUNT, max_words: int
     out = found[0]
     for more in found[1:]:
         out = out.unionByName(more)
-    return out.drop("hash"), len(found)
+    return out, len(found)
 
 
 def scored(phrases: DataFrame, share: int = SHARE, max_words: int = MAX_WORDS, salts: int = SALTS) -> DataFrame:

@@ -37,7 +37,7 @@ NEGATIVES = 3
 LOWEST = 50  # a negative's score lies between these hundredths of the positive's
 HIGHEST = 95
 ANCHOR_BLOCK = 2048
-VECTOR_BLOCK = 4096
+VECTOR_BLOCK = 16384
 SCORES_AT_ONCE = 1 << 21
 MERGED = 20_000  # rows of partial lists that one task merges
 EXACT_BITS = 53

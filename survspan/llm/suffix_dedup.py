@@ -30,6 +30,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,7 +41,7 @@ from .jaccard_join import _mix
 LENGTH = 100
 GRAM = 24
 POSITION_BITS = 18            # a buffer holds less than 2^18 bytes: some 40 MB of arrays
-ANCHORS_PER_FRAGMENT = 400_000
+ANCHORS_PER_FRAGMENT = 200_000
 PIECES_PER_BUCKET = 20_000
 LOCAL_HOT = 64
 HOT_PIECES = 4096
@@ -125,22 +126,25 @@ def _buffer(parts, own, base):
 
 
 ANCHORS = "frag long, did binary, row binary, lo binary, n binary, gram binary, content binary, hot binary"
+ANCHOR_SCHEMA = pa.schema([("frag", pa.int64()), *((c, pa.binary()) for c in ("did", "row", "lo", "n", "gram", "content", "hot"))])
 REPEATS = "did long, row long, lo long, n long, gram long, kind int"
 
 
-def _texts(batch: pd.DataFrame) -> list[bytes]:
-    return [b"" if t is None else t.encode() for t in batch["text"]]
+def _texts(column: pa.Array) -> Iterator[bytes]:
+    """One text at a time: a batch is held once, as it came."""
+    return (t.as_py() or b"" for t in column)
 
 
 def anchors(docs: DataFrame, fragments: int) -> DataFrame:
     """Anchors for the fragments. Rows past the last fragment hold decisions that a batch could make by itself."""
     def find(batches):
         for batch in batches:
-            dids, keys = batch["did"].to_numpy(), batch["row"].to_numpy()
-            for raw, bounds, own, base in _buffers(np.arange(len(batch)), _texts(batch)):
-                yield _batch_anchors(raw, bounds, dids[own], keys[own], base, fragments)
+            dids, keys = batch.column("did").to_numpy(), batch.column("row").to_numpy()
+            for raw, bounds, own, base in _buffers(np.arange(batch.num_rows), _texts(batch.column("text"))):
+                yield pa.RecordBatch.from_pandas(_batch_anchors(raw, bounds, dids[own], keys[own], base, fragments),
+                                                 schema=ANCHOR_SCHEMA, preserve_index=False)
 
-    return docs.select("did", "row", "text").mapInPandas(find, ANCHORS)
+    return docs.select("did", "row", F.col("text").cast("binary").alias("text")).mapInArrow(find, ANCHORS)
 
 
 def _ordered(did, row, lo, n, gram, content):
@@ -239,10 +243,10 @@ def _packed_texts(docs: DataFrame) -> DataFrame:
 
         z = zstandard.ZstdCompressor(level=3)
         for batch in batches:
-            yield batch[["doc_id", "did", "row"]].assign(z=[None if t is None else z.compress(t.encode()) for t in batch["text"]]).astype(
-                {"doc_id": "Int64"})
+            packed = pa.array([z.compress(t.as_py()) if t.is_valid else None for t in batch.column("text")], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], packed], names=["doc_id", "did", "row", "z"])
 
-    return docs.select("doc_id", "did", "row", "text").mapInPandas(squeeze, "doc_id long, did long, row long, z binary")
+    return docs.select("doc_id", "did", "row", F.col("text").cast("binary").alias("text")).mapInArrow(squeeze, "doc_id long, did long, row long, z binary")
 
 
 def _unpacked(z):
