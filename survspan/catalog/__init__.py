@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import describe, exponential, models, prep, resampling, survival  # noqa: F401  (register)
+from . import describe, exponential, maximum, models, prep, resampling, survival  # noqa: F401  (register)
 from .registry import REGISTRY
 
 

@@ -58,6 +58,8 @@ def fit_named(spark, sf, key: str):
             return aft.aft_ggamma(d, SPEC, ADJUST, name=key)
         if key == "gg_saturated":
             return aft.aft_ggamma(d, SPEC, GROUPS, lnsigma=GROUPS, kappa=GROUPS, name=key)
+        if key == "weibull_race":
+            return aft.aft(d, SPEC, RACES, "weibull", name=key)
         if key == "gg_race":
             return aft.aft_ggamma(d, SPEC, RACES, name=key)
         if key == "gg_race_saturated":
