@@ -36,11 +36,11 @@ MIN_COUNT = 10
 MAX_WORDS = 3
 SHARE = 50  # a phrase inside a longer one that has so many hundredths of its occurrences is dropped
 TOP = 2000
-SAMPLE_PERCENT = 25
-SAMPLE_COUNT = 2  # in the sample; the expected count of a just frequent phrase there is 2.5
+SAMPLE_PERCENT = 10
+SAMPLE_COUNT = 2  # in the sample; a phrase of twice the least count is expected there as often
 FILTER_BITS = 26
 SLICE_WORDS = 1 << 14
-WINDOW_BYTES = 8 << 20
+WINDOW_BYTES = 16 << 20
 SALTS = 8
 RANKED = 100_000  # rows that one task ranks
 
