@@ -122,13 +122,14 @@ def test_top_k_matches_brute_force(spark):
     v = rng.normal(size=(700, 12)).round(1).astype("float32")
     rows = [(i, [float(x) for x in v[i]], "other") for i in range(700)]
     rows += [(700, None, ""), (701, [1.0, float("nan")], ""), (800, [float("inf")], ""), (900, [1.0, None], ""),
-             (1000, [], ""), (1100, [0.5, 0.25], ""), rows[5], rows[100]]
+             (1000, [], ""), (1100, [0.5, 0.25], ""), rows[5], rows[100], (None, rows[7][1], ""), (300, rows[8][1], "")]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, score string").repartition(4)
     good = [(i, np.floor(1024 * np.pad(np.array(e, float), (0, 12 - len(e)))).astype(int))
-            for i, e, _ in rows if e and all(x is not None and np.isfinite(x) for x in e)]
+            for i, e, _ in rows if e is not None and all(x is not None and np.isfinite(x) for x in e)]
     want = []
-    for q, e in {i: (i, e) for i, e in good if i % 100 == 0}.values():
-        best = sorted(((-int(e @ c), i) for i, c in good if i != q))[:10]
-        want += [(q, k + 1, i, -s) for k, (s, i) in enumerate(best)]
-    assert sorted(tuple(r) for r in exact_topk.op6_exact_topk(df).collect()) == sorted(want)
+    for at, (q, e) in enumerate(good):
+        if q is not None and q % 100 == 0:  # each row of a repeated id asks, and is found by the others
+            best = sorted((-int(e @ c), i is None, i or 0) for k, (i, c) in enumerate(good) if k != at)[:10]
+            want += [(q, k + 1, None if none else i, -s) for k, (s, none, i) in enumerate(best)]
+    assert sorted(map(tuple, exact_topk.op6_exact_topk(df).collect()), key=str) == sorted(want, key=str)
     assert exact_topk.op6_exact_topk(df.limit(0)).count() == 0
