@@ -72,6 +72,7 @@ def risk_sets(design: DataFrame, terms: Sequence[str], tvc: Sequence[str] = (),
 
     terms, tvc = list(terms), list(tvc)
     spark = design.sparkSession
+    design = materialize(design)  # counted, sampled for the ranges and shuffled from here
     stats = design.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("d")).alias("D"),
                        *[F.avg(t).alias(f"m{i}") for i, t in enumerate(terms)]).first()
     patterns = np.zeros((1, 0))
@@ -86,14 +87,12 @@ def risk_sets(design: DataFrame, terms: Sequence[str], tvc: Sequence[str] = (),
             pattern = (F.array_position(known, F.array(*[F.col(z).cast("double") for z in tvc])) - 1).cast("int")
         else:
             patterns = np.zeros((1, len(tvc)))
-    both = [("_time", "t", 1.0, F.col("d") * F.col("w")), ("_time", "t0", -1.0, F.lit(0.0))]
-    rows = None
-    for name, col, sign, events in both:
-        part = design.select("_stratum", F.col(col).alias(name), F.lit(sign).alias("_sign"), events.alias("_d"),
-                             F.col("w").alias("_w"), *terms, pattern.alias("_pattern"),
-                             (texp(F.col(col)) if tvc else F.lit(0.0)).cast("double").alias("_g"),
-                             (F.col(key) if key else F.lit(0)).cast("long").alias("_key"))
-        rows = part if rows is None else rows.unionByName(part)
+    ends = F.array(F.struct(F.col("t").alias("_time"), F.lit(1.0).alias("_sign"), (F.col("d") * F.col("w")).alias("_d")),
+                   F.struct(F.col("t0").alias("_time"), F.lit(-1.0).alias("_sign"), F.lit(0.0).alias("_d")))
+    rows = design.select("_stratum", F.explode(ends).alias("_end"), F.col("w").alias("_w"), *terms, pattern.alias("_pattern"),
+                         (F.col(key) if key else F.lit(0)).cast("long").alias("_key"))
+    rows = rows.select("_stratum", "_end.*", "_w", *terms, "_pattern", "_key")
+    rows = rows.withColumn("_g", (texp(F.col("_time")) if tvc else F.lit(0.0)).cast("double"))
     n = 2 * int(stats["n"])
     cores = spark.sparkContext.defaultParallelism
     parts = max(1, -(-n // rows_per_part), min(cores, n // LEAST_ROWS))
