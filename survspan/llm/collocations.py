@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import blocks, durable
+from .common import blocks, durable, release_memory
 
 MIN_COUNT = 10
 MAX_WORDS = 3
@@ -40,7 +40,7 @@ SAMPLE_PERCENT = 10
 SAMPLE_COUNT = 2  # in the sample; a phrase of twice the least count is expected there as often
 FILTER_BITS = 26
 SLICE_WORDS = 1 << 14
-WINDOW_BYTES = 16 << 20
+WINDOW_BYTES = 12 << 20
 SALTS = 8
 RANKED = 100_000  # rows that one task ranks
 
@@ -232,7 +232,9 @@ def counted_batches(batches, new, old, max_words, window) -> Iterator[pa.RecordB
             if size >= window:
                 yield from _counted(texts, new, old, max_words, window)
                 texts, size = {}, 0
+                release_memory()
     yield from _counted(texts, new, old, max_words, window)
+    release_memory()
 
 
 def _counted(texts: dict[str, list[bytes]], new, old, max_words, window) -> Iterator[pa.RecordBatch]:

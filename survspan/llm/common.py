@@ -22,6 +22,19 @@ def durable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: a Python worker lives on, beside the workers of the next stage."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not a GNU C library
+        pass
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value evaluated once per row, also where body is itself a lambda."""
     return F.transform(F.array(value), body)[0]

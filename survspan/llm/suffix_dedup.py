@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_code
-from .common import blocks, durable
+from .common import blocks, durable, release_memory
 from .jaccard_join import _mix
 
 LENGTH = 100
@@ -143,6 +143,8 @@ def anchors(docs: DataFrame, fragments: int) -> DataFrame:
             for raw, bounds, own, base in _buffers(np.arange(batch.num_rows), _texts(batch.column("text"))):
                 yield pa.RecordBatch.from_pandas(_batch_anchors(raw, bounds, dids[own], keys[own], base, fragments),
                                                  schema=ANCHOR_SCHEMA, preserve_index=False)
+            del batch
+            release_memory()
 
     return docs.select("did", "row", F.col("text").cast("binary").alias("text")).mapInArrow(find, ANCHORS)
 
