@@ -99,7 +99,8 @@ def pieces_of(raw: np.ndarray, bounds: np.ndarray, length: int = LENGTH):
     end = lo + count - 1 + length
     content = (halves[lo] * _P[3] + halves[np.minimum(lo + 64, end - 64)] * _P[5] + halves[end - 64]
                + (count + 256 * (a - lo)).astype(np.uint64) * _BYTES[7])
-    return text[new], lo, count, grams[a], _mix(content)
+    # Anchors are minima, so small hashes; mixed again they spread evenly over the fragments.
+    return text[new], lo, count, _mix(grams[a]), _mix(content)
 
 
 def _buffers(ids: np.ndarray, texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:

@@ -113,6 +113,15 @@ def test_repeats_are_cut_from_their_own_row(spark, hot, monkeypatch):
         assert repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(parts)) == brute_repeats(rows)
 
 
+def test_anchors_spread_evenly_over_fragments():
+    """Anchors are the smallest hashes of their windows; no fragment may gather them."""
+    raw = np.random.default_rng(5).integers(32, 127, 200_000).astype(np.uint8)
+    *_, gram, _ = suffix_dedup.pieces_of(raw, np.array([0, len(raw)]))
+    for fragments in (8, 64, 256):
+        held = np.bincount(suffix_dedup._fragment(gram, fragments).astype(np.int64), minlength=fragments)
+        assert held.min() > 0 and held.max() < 2.5 * held.mean()
+
+
 def test_repeats_of_nothing(empty):
     assert repeats(empty) == []
 
