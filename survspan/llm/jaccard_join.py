@@ -382,7 +382,10 @@ def linked(sets: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, row, n_shingles, component_id of every row."""
+    """doc_id, row, n_shingles, component_id and component of every row.
+
+    `component` tells components apart where no member has a doc_id; a row without a set has none.
+    """
     rows = durable(classes_of(docs))
     total = rows.agg(F.sum("n")).first()[0] or 0
     fragments, buckets = max(8, blocks(total, PER_FRAGMENT)), max(8, blocks(total, PER_BUCKET))
@@ -391,9 +394,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     first = rows.where("key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
     joined = first.join(roots, "key", "left").withColumn("root", F.coalesce("root", "key"))
     least = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_key = joined.join(least, "root").select("key", "component_id")
+    of_key = joined.join(least, "root").select("key", F.col("root").alias("component"), "component_id")
     return rows.join(of_key, "key", "left").select(
-        "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "row", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"), "component")
 
 
 def op3_jaccard_join(docs: DataFrame) -> DataFrame:
@@ -401,8 +404,15 @@ def op3_jaccard_join(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: of every component the row of its smallest doc_id stays; of equal rows, one."""
-    kept = near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        F.col("row").alias("_row")).distinct()
-    rows = docs.withColumn("_row", F.xxhash64("doc_id", "text")).join(kept, "_row", "left_semi")
-    return rows.groupBy("_row").agg(F.first(F.struct(*docs.columns)).alias("_d")).select("_d.*")
+    """Pipeline stage: of every component one row stays, that of the smallest doc_id (nulls last, ties by a hash of the text).
+
+    Rows without words are linked with nothing and stay; of rows equal in doc_id and text, one. Columns of any
+    name pass through.
+    """
+    alone = F.when(F.col("component").isNull(), F.col("row")).alias("alone")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "row")).alias("first")
+    kept = near_duplicates(docs).groupBy("component", alone).agg(first).select("first.row")
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    rows = docs.select(F.xxhash64("doc_id", "text").alias("row"), F.struct(*every).alias("kept"),
+                       F.xxhash64(*every).alias("tie")).join(kept, "row", "left_semi")
+    return rows.groupBy("row").agg(F.min_by("kept", "tie").alias("kept")).select("kept.*")

@@ -2,10 +2,10 @@
 
 Every text is searched for candidate credentials. The hash of each candidate's
 value is counted over the whole corpus by distinct owners and repositories:
-values that several owners hold are copied examples; values that a single owner
-holds and that look random are treated as live. The base kinds are always
+values that several owners hold, or two owners in several repositories, are copied
+examples; all others are live where they look random, else unclear. The base kinds are always
 reported. The further kinds (private keys, web tokens, prefixed tokens, opaque
-random runs) are reported only where the frequency says live. A private key is its
+random runs) are reported unless they are examples. A private key is its
 whole block: to its END line, or without one as far as its base64 lines go, or else
 the header alone. Its value is the key's body without line breaks and
 indentation, so that each key counts its own owners.
@@ -41,7 +41,7 @@ MORE_RE = (KEY_RE + r"|eyJ[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,}\.[A-Za-z0-9_-]{8,
 KINDS = ("assign", "access", "hex", "pem", "jwt", "github", "slack", "opaque")
 BASE = 3
 EXAMPLE_OWNERS = 3  # held by so many owners: an example
-LIVE_OWNERS = 1     # held by so few: owner-specific
+COPIED_OWNERS, COPIED_REPOS = 2, 4  # or by so many owners in so many repositories
 MASK = "[SECRET]"
 
 
@@ -107,7 +107,7 @@ def ownership(found: DataFrame) -> DataFrame:
 
 
 def _row(docs: DataFrame) -> Column:
-    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*docs.columns).cast("string"))
+    return F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns]).cast("string"))
 
 
 def scan(docs: DataFrame, owner: str = "source", repo: tuple = ("source", "lang")) -> DataFrame:
@@ -118,11 +118,11 @@ def scan(docs: DataFrame, owner: str = "source", repo: tuple = ("source", "lang"
     each = (seen.where(F.size("c") > 0).groupBy("_row", "owner", "repo").agg(F.first("c").alias("c"))
             .select("_row", "owner", "repo", F.explode("c").alias("s"))
             .withColumn("hash", F.sha2("s.value", 256)))
-    verdict = (F.when(F.col("n_owners") >= EXAMPLE_OWNERS, "example")
-               .when((F.col("n_owners") <= LIVE_OWNERS) & _looks_live(F.col("s.rank"), F.col("s.value")), "live")
-               .otherwise("unclear"))
+    copied = (F.col("n_owners") >= EXAMPLE_OWNERS) | (
+        (F.col("n_owners") >= COPIED_OWNERS) & (F.col("n_repos") >= COPIED_REPOS))
+    verdict = (F.when(copied, "example").when(_looks_live(F.col("s.rank"), F.col("s.value")), "live").otherwise("unclear"))
     judged = (each.join(ownership(each), "hash").withColumn("verdict", verdict)
-              .where((F.col("s.rank") < BASE) | (F.col("verdict") == "live"))
+              .where((F.col("s.rank") < BASE) | (F.col("verdict") != "example"))
               .groupBy("_row").agg(F.array_sort(F.collect_list(F.struct(
                   F.col("s.start").alias("start"), F.col("s.rank").alias("rank"), F.col("s.end").alias("end"),
                   F.col("verdict").alias("verdict")))).alias("found")))
@@ -146,21 +146,25 @@ def op8_secret_scan(docs: DataFrame) -> DataFrame:
         count("n_hex", lambda s: s["rank"] == 2),
         F.sha2(_joined(F.filter("found", lambda s: s["rank"] < BASE)), 256).alias("base_sha256"),
         _joined(F.col("found")).alias("spans"), count("n_live", lambda s: s["verdict"] == "live"),
-        count("n_example", lambda s: s["verdict"] == "example"))
+        count("n_example", lambda s: s["verdict"] == "example"), count("n_unclear", lambda s: s["verdict"] == "unclear"))
 
 
 def mask_live(docs: DataFrame) -> DataFrame:
-    """Pipeline stage: every document stays; spans judged live are replaced by a mask."""
-    live = (scan(docs).select("_row", F.filter("found", lambda s: s["verdict"] == "live").alias("_live"))
-            .where(F.size("_live") > 0).groupBy("_row").agg(F.first("_live").alias("_live")))
-    joined = docs.withColumn("_row", _row(docs)).join(live, "_row", "left")
-    text = F.col("text")
+    """Pipeline stage: every document stays; spans judged live are replaced by a mask.
+
+    Overlapping spans share one mask; a null text stays null. Columns of any name pass through, n_chars is counted again.
+    """
+    live = (scan(docs).select("_row", F.filter("found", lambda s: s["verdict"] == "live").alias("live"))
+            .where(F.size("live") > 0).groupBy("_row").agg(F.first("live").alias("live")))
+    every = [F.col(f"`{c}`") for c in docs.columns]
+    joined = docs.select(_row(docs).alias("_row"), F.struct(*every).alias("doc")).join(live, "_row", "left")
+    text = F.col("doc.text")
     begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    masked = F.aggregate("_live", begin, lambda a, s: F.struct(
+    masked = F.aggregate("live", begin, lambda a, s: F.struct(
         F.greatest(a["at"], s["end"]).alias("at"),
         F.when(s["start"] < a["at"], a["out"]).otherwise(
             F.concat(a["out"], text.substr(a["at"] + 1, s["start"] - a["at"]), F.lit(MASK))).alias("out")),
         lambda a: F.concat(a["out"], F.substring(text, a["at"] + 1, F.char_length(text))))
-    clean = joined.withColumn("_text", F.when(F.col("_live").isNull(), text).otherwise(masked))
-    made = {"text": F.col("_text"), "n_chars": F.char_length("_text").cast("long")}
-    return clean.select(*[made[c].alias(c) if c in made else c for c in docs.columns])
+    clean = joined.select("doc", F.when(F.col("live").isNull(), text).otherwise(masked).alias("clean"))
+    made = {"text": F.col("clean"), "n_chars": F.char_length("clean").cast("long")}
+    return clean.select(*[made.get(c, F.col(f"doc.`{c}`")).alias(c) for c in docs.columns])

@@ -196,6 +196,28 @@ def test_ownership_separates_examples_from_live_secrets(spark):
     assert secret_scan.mask_live(docs).columns == docs.columns
 
 
+def test_two_owners_are_live_unless_many_repositories_hold_the_value(spark):
+    def token(k):
+        return f"ghp_{k}1b2C3d4E5f6G7h8I9j0K1l2"
+
+    rows = [(i, f"a {token('A')}", "me", f"lang{i}") for i in range(6)]  # one owner, many repositories
+    rows += [(10 + i, f"b {token('B')}", f"owner{i}", "en") for i in range(2)]  # two owners, a repository each
+    rows += [(20 + i, f"c {token('C')}", f"owner{i % 2}", f"lang{i}") for i in range(4)]  # two owners, four repositories
+    rows += [(30, "password=correcthorsebattery", "me", "en"), (31, "xoxb-abcdefghij-abcdefghij", "me", "en"), (32, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    got = {r.doc_id: r for r in secret_scan.op8_secret_scan(docs).collect()}
+    assert all(got[i].spans == "github:2:30" and got[i].n_live == 1 for i in (*range(6), 10, 11))
+    assert all(got[i].spans == "" for i in (20, 21, 22, 23, 32))
+    assert (got[30].spans, got[30].n_unclear, got[30].n_live) == ("assign:0:28", 1, 0)
+    assert (got[31].spans, got[31].n_unclear) == ("slack:0:26", 1)
+    names = {c: F.lit(c) for c in ("_live", "_row", "_text", "live", "doc", "clean", "found", "a.b")}
+    more = secret_scan.mask_live(docs.withColumns(names))
+    assert more.columns == [*docs.columns, *names]
+    for r in more.collect():
+        assert r.text == ("a [SECRET]" if r.doc_id < 6 else "b [SECRET]" if r.doc_id < 12 else {d: t for d, t, _, _ in rows}[r.doc_id])
+        assert list(r)[4:] == list(names)
+
+
 def test_private_keys_count_their_own_owners(spark):
     def lines(i):
         d = "".join(hashlib.sha512(f"{i}{k}".encode()).hexdigest().upper() for k in range(3))
@@ -283,6 +305,7 @@ def test_pipeline_against_brute_force(spark, small, hard, empty, tmp_path):
         components = brute_components([(r.doc_id, r.text) for r in clean])
         assert sorted({str(r.doc_id) for r in single}) == sorted({str(d) for d, _, c in components if d == c})
         assert len(single) == len({(r.doc_id, r.text) for r in single})
+        assert len({c for _, n, c in components if n}) == sum(bool(WORD.search(r.text or "")) for r in single)  # one row per component
         assert sorted(str(r.doc_id) for r in masked) == sorted(str(r.doc_id) for r in single)
         before = {(r.doc_id, r.source): r.text for r in single}
         assert all(r.text == before[r.doc_id, r.source] or secret_scan.MASK in r.text for r in masked)

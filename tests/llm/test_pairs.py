@@ -63,6 +63,25 @@ def test_join_on_nothing(empty):
     assert near(empty) == []
 
 
+def test_one_row_of_every_component_stays(spark):
+    """Components without any doc_id, rows that share the smallest doc_id, rows without words, clashing columns."""
+    def text(k, tail="same end"):
+        return " ".join(f"{k}{i}" for i in range(60)) + " " + tail
+
+    names = ["_row", "row", "kept", "tie", "component", "key", "d.e"]
+    rows = [(None, text("a")), (None, text("a", "other end")), (3, text("b")), (3, text("b", "other end")), (3, text("b", "a third end")),
+            (5, text("b")), (None, text("b")), (7, text("c")), (7, text("c")), (8, "one two"), (9, "one two"), (10, ""), (11, None),
+            (None, None), (None, None), (12, text("d"))]
+    docs = spark.createDataFrame([(*r, *names) for r in rows], ["doc_id", "text", *names]).repartition(3)
+    got = jaccard_join.keep_one(docs)
+    assert got.columns == docs.columns
+    out = got.collect()
+    assert all(list(r)[2:] == names for r in out)
+    groups = sorted((r.doc_id if r.doc_id is not None else -1, (r.text or "")[:2]) for r in out)
+    assert groups == [(-1, ""), (-1, "a0"), (3, "b0"), (7, "c0"), (8, "on"), (10, ""), (11, ""), (12, "d0")]
+    assert sorted(map(str, out)) == sorted(map(str, jaccard_join.keep_one(docs.repartition(7)).collect()))
+
+
 def brute_repeats(rows, length=100):
     order = sorted(range(len(rows)), key=lambda i: (rows[i][0] is not None, rows[i][0] or 0))
     first = {}
