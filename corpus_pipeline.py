@@ -5,6 +5,10 @@ of spark.checkpoint.dir. Rules that reject a document drop it and its failing li
 one document of each group of near duplicates stays; live-looking secrets
 are masked; the mix repeats or leaves out documents by their source's target; packing
 returns the pieces with their places.
+
+Defined cases: null and empty texts fail the quality rules and go; a near-duplicate group keeps its smallest
+doc_id, nulls last, ties by a hash of the text; rows equal in doc_id and text count once there; a null owner or source is
+one of that name; an empty table gives no pieces. Columns that the stages do not read pass through to packing.
 """
 
 from __future__ import annotations
