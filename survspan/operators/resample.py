@@ -2,9 +2,9 @@
 
 Rows are resampled with Poisson(1) weights drawn from a hash of
 (row key, replicate, seed): no copies of the data, identical draws under any
-partitioning, and every Newton round of every active replicate shares one
-scan of the (checkpointed) design.  Only replicate x parameter sums are
-shuffled.  Replicates that do not converge within the iteration cap are kept
+partitioning.  The weights of AFT rows are gathered on time nodes once
+(plans/condense.py); every Newton round of every active replicate shares one
+scan of these.  Only replicate x parameter sums are shuffled.  Replicates that do not converge within the iteration cap are kept
 as rows with missing coefficients (never dropped), like the reference's
 failed draws.
 """
@@ -19,7 +19,6 @@ from pyspark.sql import functions as F
 
 from ..plans.likelihood import CONS, FitResult, newton_lockstep, newton_reps
 from ..plans.risksets import risk_sets, risk_stats
-from ..plans.scan import materialize
 from . import aft, cox
 from .infer import FITS_SCHEMA, Z975, p_normal
 from .survival import SurvSpec
@@ -37,7 +36,6 @@ def bootstrap_aft(df: DataFrame, spec: SurvSpec, key_cols: Sequence[str], start:
     cols = list(dict.fromkeys(t for _e, ts in eqs for t in ts if t != CONS))
     design = aft.model_frame(df.withColumn("_rk", F.xxhash64(*key_cols)), spec, cols + ["_rk"])
     design = design.withColumn("_rk", F.col("_rk").cast("long"))
-    design = materialize(design, spread=True)
     res = newton_reps(design, aft.family_model(dist), eqs, start.params, list(range(1, reps + 1)), seed,
                       max_iter=max_iter)
     return _replicates(df.sparkSession, start, res, reps, "density")

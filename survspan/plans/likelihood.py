@@ -258,25 +258,47 @@ def _poisson1_cdf():
 
 
 def _splitmix64(x: np.ndarray) -> np.ndarray:
+    """Of an array that the caller does not need any more."""
     with np.errstate(over="ignore"):
-        x = x + np.uint64(0x9E3779B97F4A7C15)
-        z = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-        return z ^ (z >> np.uint64(31))
+        x += np.uint64(0x9E3779B97F4A7C15)
+        x ^= x >> np.uint64(30)
+        x *= np.uint64(0xBF58476D1CE4E5B9)
+        x ^= x >> np.uint64(27)
+        x *= np.uint64(0x94D049BB133111EB)
+        x ^= x >> np.uint64(31)
+        return x
+
+
+_POIS_BITS = 12  # the draw is read from the leading bits, unless a step of the distribution lies among what they leave open
+_POIS_TABLE = None
+
+
+def _poisson1_table():
+    global _POIS_TABLE
+    if _POIS_TABLE is None:
+        edges = np.arange((1 << _POIS_BITS) + 1) / (1 << _POIS_BITS)
+        low = np.searchsorted(_poisson1_cdf(), edges[:-1], side="right")
+        high = np.searchsorted(_poisson1_cdf(), np.nextafter(edges[1:], 0.0), side="right")
+        _POIS_TABLE = np.where(low == high, low, np.nan)
+    return _POIS_TABLE
 
 
 def poisson_weights(row_keys: np.ndarray, reps: np.ndarray, seed: int) -> np.ndarray:
     """(n, R) Poisson(1) bootstrap weights from a hash of (row key, replicate, seed):
     the same row gets the same weight in a replicate whatever the partitioning."""
     rk = np.asarray(row_keys).astype(np.int64).view(np.uint64)[:, None]
-    rp = np.asarray(reps, dtype=np.uint64)[None, :]
+    rp = np.array(reps, dtype=np.uint64)[None, :]
     with np.errstate(over="ignore"):
         mixed = _splitmix64(rk ^ _splitmix64(rp * np.uint64(0x632BE59BD9B4E019) + np.uint64(seed & 0xFFFFFFFFFFFFFFFF)))
-    u = (mixed >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
-    return np.searchsorted(_poisson1_cdf(), u, side="right").astype(np.float64)
+    out = _poisson1_table()[mixed >> np.uint64(64 - _POIS_BITS)]
+    open_ = np.isnan(out)
+    u = (mixed[open_] >> np.uint64(11)).astype(np.float64) * (1.0 / 9007199254740992.0)
+    out[open_] = np.searchsorted(_poisson1_cdf(), u, side="right")
+    return out
 
 
 REP_CHUNK = 64  # replicates evaluated together in one kernel call
+ROW_TILE = 256  # rows evaluated together: the kernel's arrays stay in the cache
 
 
 def batch_stats_reps(model: RowModel, equations, thetas: np.ndarray, pdf: pd.DataFrame, W: np.ndarray):
@@ -288,47 +310,62 @@ def batch_stats_reps(model: RowModel, equations, thetas: np.ndarray, pdf: pd.Dat
     n, R = W.shape
     m = len(Xs)
     eta = np.stack([Xs[j] @ thetas[:, offs[j]:offs[j + 1]].T for j in range(m)], axis=-1)  # (n, R, m)
-    data = {c: np.repeat(pdf[c].to_numpy(dtype=float), R) for c in model.data_cols}
-    f0, g, H = _eta_derivs(model, eta.reshape(n * R, m), data)
-    f0 = f0.reshape(n, R)
-    g = g.reshape(n, R, m)
-    H = H.reshape(n, R, m, m)
+    on = np.flatnonzero(W)  # rows that a replicate has not drawn are not evaluated
+    data = {c: pdf[c].to_numpy(dtype=float)[on // R] for c in model.data_cols}
+    f0, g, H = _eta_derivs(model, eta.reshape(n * R, m)[on], data)
+    w = W.ravel()[on]
+    wf, wg, wH = np.zeros(n * R), np.zeros((n * R, m)), np.zeros((n * R, m, m))
     with np.errstate(invalid="ignore"):
-        wf = np.where(W > 0, W * f0, 0.0)
-        wg = np.where(W[..., None] > 0, W[..., None] * g, 0.0)
-        wH = np.where(W[..., None, None] > 0, W[..., None, None] * H, 0.0)
+        wf[on], wg[on], wH[on] = w * f0, w[:, None] * g, w[:, None, None] * H
+    wf, wg, wH = wf.reshape(n, R), wg.reshape(n, R, m), wH.reshape(n, R, m, m)
     p = offs[-1]
     ll = wf.sum(axis=0)
     grad = np.zeros((R, p))
     hess = np.zeros((R, p, p))
     for a in range(m):
-        grad[:, offs[a]:offs[a + 1]] = np.einsum("ni,nr->ri", Xs[a], wg[:, :, a])
+        grad[:, offs[a]:offs[a + 1]] = wg[:, :, a].T @ Xs[a]
         for b in range(m):
-            hess[:, offs[a]:offs[a + 1], offs[b]:offs[b + 1]] = np.einsum("ni,nr,nk->rik", Xs[a], wH[:, :, a, b], Xs[b])
+            both = (Xs[a][:, :, None] * Xs[b][:, None, :]).reshape(n, -1)
+            hess[:, offs[a]:offs[a + 1], offs[b]:offs[b + 1]] = (wH[:, :, a, b].T @ both).reshape(R, sizes[a], sizes[b])
     return ll, grad, hess
 
 
-def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, seed: int, key_col: str = "_rk"):
-    """One Spark job: (loglik, grad, hess) for every replicate in ``thetas`` (rep -> theta)."""
+def drawn_weights(pdf: pd.DataFrame, masses: np.ndarray | None, reps: np.ndarray, columns: np.ndarray, seed: int, key_col: str) -> np.ndarray:
+    """(n, R): a condensed design's masses where a row has them, else the row's draws with its sign."""
+    W = poisson_weights(pdf[key_col].to_numpy(), reps, seed)
+    if "_sign" in pdf:
+        W *= pdf["_sign"].to_numpy(float)[:, None]
+    if masses is not None:
+        node = pdf["_mass"].notna().to_numpy()
+        W[node] = masses[:, columns]
+    return W
+
+
+def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, seed: int, key_col: str = "_rk",
+                  drawn: Sequence[int] | None = None):
+    """One Spark job: (loglik, grad, hess) for every replicate in ``thetas`` (rep -> theta). ``drawn``: the replicates
+    that a condensed design has masses of."""
     reps = np.array(sorted(thetas), dtype=np.int64)
     th = np.array([thetas[r] for r in reps], dtype=float)
     p = th.shape[1]
+    columns = np.searchsorted(np.array(sorted(drawn)), reps) if drawn is not None else reps
 
     def part(it):
         acc = np.zeros((len(reps), 1 + p + p * p))
         seen = False
-        for pdf in it:
-            if len(pdf) == 0:
-                continue
-            keys = pdf[key_col].to_numpy()
-            for c0 in range(0, len(reps), REP_CHUNK):
-                sl = slice(c0, c0 + REP_CHUNK)
-                W = poisson_weights(keys, reps[sl], seed)
-                ll, g, H = batch_stats_reps(model, equations, th[sl], pdf, W)
-                acc[sl, 0] += ll
-                acc[sl, 1:1 + p] += g
-                acc[sl, 1 + p:] += H.reshape(H.shape[0], -1)
-            seen = True
+        for batch in it:
+            for r0 in range(0, len(batch), ROW_TILE):
+                pdf = batch.iloc[r0:r0 + ROW_TILE]
+                masses = pdf["_mass"].dropna() if "_mass" in pdf else ()
+                masses = np.stack(masses.to_list()) if len(masses) else None
+                for c0 in range(0, len(reps), REP_CHUNK):
+                    sl = slice(c0, c0 + REP_CHUNK)
+                    W = drawn_weights(pdf, masses, reps[sl], columns[sl], seed, key_col)
+                    ll, g, H = batch_stats_reps(model, equations, th[sl], pdf, W)
+                    acc[sl, 0] += ll
+                    acc[sl, 1:1 + p] += g
+                    acc[sl, 1 + p:] += H.reshape(H.shape[0], -1)
+                seen = True
         if seen:
             rr = np.repeat(reps, acc.shape[1])
             kk = np.tile(np.arange(acc.shape[1]), len(reps))
@@ -367,8 +404,10 @@ def _damped_step(g: np.ndarray, H: np.ndarray):
 
 def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarray, reps: list, seed: int,
                 max_iter: int = 50, tol: float = 1e-10, key_col: str = "_rk"):
-    """All replicates' Newton iterations in lockstep: one Spark pass per round."""
-    return newton_lockstep(lambda active: evaluate_reps(design, model, equations, active, seed, key_col), theta0, reps,
+    """All replicates' Newton iterations in lockstep: one Spark pass per round over the condensed design (AFT rows)."""
+    from .condense import condense
+    design = condense(design, [t for _e, ts in equations for t in ts if t != CONS], reps, seed, key_col)
+    return newton_lockstep(lambda active: evaluate_reps(design, model, equations, active, seed, key_col, reps), theta0, reps,
                            max_iter, tol)
 
 
