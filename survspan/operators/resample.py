@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.likelihood import CONS, FitResult, newton_lockstep, newton_reps
-from ..plans.risksets import risk_sets, risk_stats
+from ..plans.risksets import replicate_sets, risk_stats
 from . import aft, cox
 from .infer import FITS_SCHEMA, Z975, p_normal
 from .survival import SurvSpec
@@ -46,18 +46,20 @@ def bootstrap_cox(df: DataFrame, spec: SurvSpec, key_cols: Sequence[str], start:
     """Bootstrap a Cox fit (Breslow ties); returns a replicate fits table (one row per draw).
 
     The sorted risk-set records carry the row key; every scan draws the weights of a chunk of replicates and
-    keeps their sums side by side, so that a round of all replicates reads the records twice per chunk."""
+    keeps their sums side by side, so that a round of all replicates reads the records twice per chunk (once after
+    the first round where covariate vectors are few)."""
     terms = list(start.equations[0][1])
     frame = df.withColumn("_rk", F.xxhash64(*key_cols))
     design = cox.cox_design(frame, spec, terms, start.extra.get("strata"), keep=["_rk"])
-    sets = risk_sets(design, terms, key="_rk")
+    sets = replicate_sets(design, terms, "_rk")
     chunk = sets.replicates_at_once()
+    kept: dict = {}
 
     def evalr(active: dict) -> dict:
         out, ids = {}, sorted(active)
         for a in range(0, len(ids), chunk):
             some = ids[a:a + chunk]
-            ll, u, info = risk_stats(sets, np.array([active[r] for r in some]), reps=np.array(some), seed=seed)
+            ll, u, info = risk_stats(sets, np.array([active[r] for r in some]), reps=np.array(some), seed=seed, kept=kept)
             out |= {r: (float(ll[i]), u[i], -info[i]) for i, r in enumerate(some)}
         return out
 

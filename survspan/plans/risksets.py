@@ -17,13 +17,15 @@ Coefficients that vary with time, e^{xb + g(t) z c}, need no splitting of interv
 z (a pattern), and e^{g(t) z c} multiplies them at each event time, when the sums are already formed.
 
 Bootstrap replicates share the scans: a row's Poisson(1) weights come from a hash of (row key, replicate,
-seed), and the sums carry one more axis, for the replicates of a chunk.
+seed), and the sums carry one more axis, for the replicates of a chunk. Where there are few distinct covariate vectors
+(FEW_PATTERNS), all effects are taken as those of patterns, with g = 1: the sums over records are then sums of weights by
+pattern, without covariates or exponentials, and the first scan, the same at any coefficients, is made once.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -39,6 +41,8 @@ MAX_PATTERNS = 256     # distinct covariate vectors with time-varying effects
 CHUNK_NUMBERS = 1 << 21  # numbers per chunk of records inside a task
 DRIVER_NUMBERS = 1 << 22  # numbers that all partitions together send to the driver in one scan
 EFRON_ROWS = 1 << 15
+MAX_REPLICATES = 256   # in one scan
+FEW_PATTERNS = 16      # distinct covariate vectors up to which replicates keep sums by pattern
 
 
 @dataclass
@@ -58,7 +62,7 @@ class RiskSets:
 
     def replicates_at_once(self) -> int:
         """So many that the partitions' vectors stay below DRIVER_NUMBERS."""
-        return int(max(1, min(64, DRIVER_NUMBERS // (self.parts * len(self.patterns) * _widths(len(self.terms), False)[0]))))
+        return int(max(1, min(MAX_REPLICATES, DRIVER_NUMBERS // (self.parts * len(self.patterns) * _widths(len(self.terms), False)[0]))))
 
 
 class TooManyPatterns(ValueError):
@@ -66,11 +70,12 @@ class TooManyPatterns(ValueError):
 
 
 def risk_sets(design: DataFrame, terms: Sequence[str], tvc: Sequence[str] = (), texp: Callable[[Column], Column] | None = None,
-              key: str | None = None, rows_per_part: int = ROWS_PER_PART) -> RiskSets:
+              key: str | None = None, rows_per_part: int = ROWS_PER_PART, most_patterns: int | None = None) -> RiskSets:
     """design: t0, t, d, w, _stratum, the terms and tvc columns (see cox_design), and a row key for replicates."""
     from .scan import materialize
 
     terms, tvc = list(terms), list(tvc)
+    most_patterns = MAX_PATTERNS if most_patterns is None else most_patterns
     spark = design.sparkSession
     design = materialize(design)  # counted, sampled for the ranges and shuffled from here
     stats = design.agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("w") * F.col("d")).alias("D"),
@@ -78,9 +83,9 @@ def risk_sets(design: DataFrame, terms: Sequence[str], tvc: Sequence[str] = (),
     patterns = np.zeros((1, 0))
     pattern = F.lit(0)
     if tvc:
-        found = design.select(*[F.col(z).cast("double").alias(f"z{i}") for i, z in enumerate(tvc)]).distinct().limit(MAX_PATTERNS + 1).collect()
-        if len(found) > MAX_PATTERNS:
-            raise TooManyPatterns(f"more than {MAX_PATTERNS} distinct vectors of {tvc}")
+        found = design.select(*[F.col(z).cast("double").alias(f"z{i}") for i, z in enumerate(tvc)]).distinct().limit(most_patterns + 1).collect()
+        if len(found) > most_patterns:
+            raise TooManyPatterns(f"more than {most_patterns} distinct vectors of {tvc}")
         patterns = np.array(sorted(tuple(r) for r in found), float).reshape(len(found), len(tvc))
         if len(found):
             known = F.array(*[F.array(*[F.lit(float(x)) for x in row]) for row in patterns])
@@ -104,6 +109,18 @@ def risk_sets(design: DataFrame, terms: Sequence[str], tvc: Sequence[str] = (),
     return RiskSets(records, terms, tvc, patterns, centre, parts, int(stats["n"]), float(stats["D"] or 0.0))
 
 
+def replicate_sets(design: DataFrame, terms: Sequence[str], key: str) -> RiskSets:
+    """Risk sets for replicates: by pattern where covariate vectors are few."""
+    from .scan import materialize
+
+    design = materialize(design)  # read twice where patterns are many
+    try:
+        sets = risk_sets(design, [], terms, lambda _: F.lit(1.0), key=key, most_patterns=FEW_PATTERNS)
+    except TooManyPatterns:
+        return risk_sets(design, terms, key=key)
+    return replace(sets, patterns=sets.patterns - sets.patterns.mean(axis=0))  # centred: the same likelihood, no overflow
+
+
 # ------------------------------------------------------------------ inside a task
 def _widths(p: int, efron: bool) -> tuple[int, int]:
     """(numbers of a risk sum, numbers summed per group): the sum, events and their covariates, with Efron the tied events' own sum."""
@@ -142,7 +159,7 @@ class Kernel:
         if self.reps is not None:
             drawn = poisson_weights(pdf["_key"].to_numpy(), self.reps, self.seed)
             w, d = w * drawn, d * drawn
-        r = w * np.exp(x @ self.theta[:, :self.p].T)
+        r = w * (np.exp(x @ self.theta[:, :self.p].T) if self.p else np.ones((1, len(self.theta))))
         covariates = np.column_stack([np.ones(len(x)), x, x[:, self.upper[0]] * x[:, self.upper[1]]])
         out = np.empty((len(x), len(self.theta), self.width))
         out[:, :, :self.q] = (sign * r)[:, :, None] * covariates[:, None, :]
@@ -157,93 +174,112 @@ class Kernel:
             for a in range(0, len(pdf), step):
                 yield pdf.iloc[a:a + step]
 
-    def groups(self, pdf: pd.DataFrame) -> list[Group]:
-        """The chunk's groups in order."""
+    def summed(self, pdf: pd.DataFrame, of: np.ndarray, n: int) -> np.ndarray:
+        """(n, patterns, replicates, numbers): sums over the records by ``of``, which never falls."""
+        k = len(self.patterns)
+        cell = of * k + (pdf["_pattern"].to_numpy(int) if k > 1 else 0)
+        order = np.argsort(cell, kind="stable")
+        cell = cell[order]
+        first = np.flatnonzero(np.concatenate([[True], cell[1:] > cell[:-1]]))
+        pdf = pdf.iloc[order] if k > 1 else pdf
+        if self.reps is not None and not self.p and not self.efron:  # weights alone; few records have events
+            drawn = poisson_weights(pdf["_key"].to_numpy(), self.reps, self.seed)
+            sums = np.zeros((self.width, n * k, len(self.reps)))
+            d = pdf["_d"].to_numpy(float)
+            at = np.flatnonzero(d)
+            if len(at):
+                begin = np.flatnonzero(np.concatenate([[True], cell[at][1:] > cell[at][:-1]]))
+                sums[1, cell[at][begin]] = np.add.reduceat(d[at, None] * drawn[at], begin, axis=0)
+            drawn *= (pdf["_sign"].to_numpy(float) * pdf["_w"].to_numpy(float))[:, None]
+            sums[0, cell[first]] = np.add.reduceat(drawn, first, axis=0)
+            return np.moveaxis(sums, 0, -1).reshape(n, k, len(self.reps), self.width)
+        values = self.rows(pdf)
+        sums = np.zeros((n * k, *values.shape[1:]))
+        sums[cell[first]] = np.add.reduceat(values, first, axis=0)
+        return sums.reshape(n, k, *values.shape[1:])
+
+    def segments(self, pdf: pd.DataFrame) -> tuple[list, np.ndarray, np.ndarray, np.ndarray]:
+        """(strata, times, g, sums) of the chunk's first and last group, and between them of its groups with events, each
+        together with the groups without events that precede it in its stratum (the last of a stratum may have none)."""
         s, t = pdf["_stratum"], pdf["_time"].to_numpy(float)
-        before = s.shift()
-        changed = (s.ne(before) & ~(s.isna() & before.isna())).to_numpy(bool)
+        changed = self.changes(s)
         new = changed.copy()
         new[0] = True
         new[1:] |= t[1:] != t[:-1]
         begin = np.flatnonzero(new)
-        group = np.cumsum(new) - 1
-        values = self.rows(pdf)
-        k = len(self.patterns)
-        if k == 1:
-            sums = np.add.reduceat(values, begin, axis=0)[:, None]
-        else:
-            cell = group * k + pdf["_pattern"].to_numpy(int)
-            order = np.argsort(cell, kind="stable")
-            first = np.flatnonzero(np.concatenate([[True], np.diff(cell[order]) > 0]))
-            sums = np.zeros((len(begin) * k, *values.shape[1:]))
-            sums[cell[order][first]] = np.add.reduceat(values[order], first, axis=0)
-            sums = sums.reshape(len(begin), k, *values.shape[1:])
-        strata, g = s.iloc[begin].tolist(), pdf["_g"].to_numpy(float)[begin]
-        return [Group(a, b, c, d) for a, b, c, d in zip(strata, t[begin].tolist(), g.tolist(), sums)]
+        ends = np.logical_or.reduceat(pdf["_d"].to_numpy(float) != 0, begin)
+        ends[0] = ends[-1] = ends[-2:][0] = True
+        ends[:-1] |= changed[begin[1:]]
+        last = np.flatnonzero(ends)
+        of = np.searchsorted(last, np.cumsum(new) - 1)
+        at = begin[last]
+        return s.iloc[at].tolist(), t[at], pdf["_g"].to_numpy(float)[at], self.summed(pdf, of, len(last))
+
+    @staticmethod
+    def changes(s: pd.Series) -> np.ndarray:
+        before = s.shift()
+        return (s.ne(before) & ~(s.isna() & before.isna())).to_numpy(bool)
 
     def totals(self, batches) -> dict | None:
         """First and last group, and the sum over the last stratum."""
         out, total = None, None
         for pdf in self.chunks(batches):
-            for x in self.groups(pdf):
-                if out is None:
-                    out = {"part": int(pdf["_part"].iloc[0]), "first": (x.stratum, x.time), "one_stratum": True, "one_group": True}
-                elif not same(x.stratum, out["last"][0]):
-                    out["one_stratum"], total = False, None
-                if (not same(x.stratum, out["first"][0])) or x.time != out["first"][1]:
-                    out["one_group"] = False
-                out["last"] = (x.stratum, x.time)
-                total = x.sums[..., :self.q] + (0.0 if total is None else total)
+            s, t = pdf["_stratum"], pdf["_time"]
+            first, last = ((s.iloc[i:][:1].tolist()[0], float(t.iloc[i])) for i in (0, len(pdf) - 1))
+            if out is None:
+                out = {"part": int(pdf["_part"].iloc[0]), "first": first, "last": first, "one_stratum": True}
+            inside = np.flatnonzero(self.changes(s)[1:]) + 1
+            if len(inside) or not same(first[0], out["last"][0]):
+                out["one_stratum"], total = False, None
+            out["last"] = last
+            rest = pdf.iloc[inside[-1]:] if len(inside) else pdf
+            total = self.summed(rest, np.zeros(len(rest), np.int64), 1)[0][..., :self.q] + (0.0 if total is None else total)
         return out and out | {"total": total}
 
     def scan(self, batches, inherited: np.ndarray, first_shared: bool, last_shared: bool):
         """(log-likelihood, score, information) per replicate, and the groups that other partitions share."""
         acc, shared = None, []
-        open_, base, base_of = None, inherited, None
+        open_, base = None, inherited  # the last group, and what is at risk above it
         leading = True
 
-        def close(groups: list[Group], bases: list[np.ndarray]):
+        def close(g: np.ndarray, sums: np.ndarray, bases: np.ndarray):
             nonlocal acc
-            kept = [(x, b) for x, b in zip(groups, bases) if x.sums[..., self.q].any()]
-            if kept:
-                got = self.contributions([x for x, _ in kept], np.stack([b for _, b in kept]))
+            kept = sums[..., self.q].any(axis=(1, 2))
+            if kept.any():
+                got = self.contributions(g[kept], sums[kept], bases[kept])
                 acc = got if acc is None else [a + b for a, b in zip(acc, got)]
 
         for pdf in self.chunks(batches):
-            groups = self.groups(pdf)
+            strata, times, g, sums = self.segments(pdf)
             if open_ is not None:
-                head = groups[0]
-                if same(open_.stratum, head.stratum) and open_.time == head.time:
-                    head.sums = head.sums + open_.sums
+                if same(open_.stratum, strata[0]) and open_.time == times[0]:
+                    sums[0] += open_.sums
                 else:
-                    groups.insert(0, open_)
-            done, bases = [], []
-            for x in groups:
-                if base_of is not None and not same(x.stratum, base_of[0]):
-                    base = np.zeros_like(base)
-                base_of = (x.stratum,)
-                bases.append(base)
-                base = base + x.sums[..., :self.q]
-                done.append(x)
-            open_ = done.pop()
-            base = bases.pop()
-            if leading and done:
+                    strata, times, g = [open_.stratum, *strata], np.append(open_.time, times), np.append(open_.g, g)
+                    sums = np.concatenate([open_.sums[None], sums])
+            begin = [0, *(i for i in range(1, len(strata)) if not same(strata[i], strata[i - 1])), len(strata)]
+            bases = np.zeros_like(sums[..., :self.q])
+            bases[0] = base
+            for a, b in zip(begin, begin[1:]):
+                bases[a + 1:b] = bases[a] + np.cumsum(sums[a:b - 1, ..., :self.q], axis=0)
+            open_, base = Group(strata[-1], float(times[-1]), float(g[-1]), sums[-1].copy()), bases[-1].copy()
+            lo, hi = 0, len(strata) - 1
+            if leading and hi:
                 leading = False
                 if first_shared:
-                    shared.append((done.pop(0), bases.pop(0)))
-            close(done, bases)
+                    shared.append((Group(strata[0], float(times[0]), float(g[0]), sums[0].copy()), bases[0].copy()))
+                    lo = 1
+            close(g[lo:hi], sums[lo:hi], bases[lo:hi])
         if open_ is not None:
             if last_shared or (leading and first_shared):
                 shared.append((open_, base))
             else:
-                close([open_], [base])
+                close(np.array([open_.g]), open_.sums[None], base[None])
         return acc, shared
 
-    def contributions(self, groups: list[Group], bases: np.ndarray):
-        """Sums over groups; bases: what is at risk above them in time, (groups, patterns, replicates, numbers)."""
+    def contributions(self, g: np.ndarray, sums: np.ndarray, bases: np.ndarray):
+        """Sums over groups; sums: theirs, bases: what is at risk above them in time, (groups, patterns, replicates, numbers)."""
         p, q, z, theta = self.p, self.q, self.patterns, self.theta
-        sums = np.stack([x.sums for x in groups])
-        g = np.array([x.g for x in groups])
         at_risk = bases + sums[..., :q]
         effect = theta[:, p:]
         factor = np.exp(g[:, None, None] * (z @ effect.T)[None]) if z.shape[1] else np.ones((len(g), 1, 1))
@@ -377,13 +413,23 @@ def pass_frames(sets: RiskSets, theta: np.ndarray, efron: bool = False, reps: np
     return kernel, totals, second_scan
 
 
-def risk_stats(sets: RiskSets, theta: np.ndarray, efron: bool = False, reps: np.ndarray | None = None, seed: int = 0):
-    """(log-likelihood (r,), score (r, P), information (r, P, P)) at each replicate's coefficients."""
+def risk_stats(sets: RiskSets, theta: np.ndarray, efron: bool = False, reps: np.ndarray | None = None, seed: int = 0,
+               kept: dict | None = None):
+    """(log-likelihood (r,), score (r, P), information (r, P, P)) at each replicate's coefficients.
+
+    ``kept`` holds the partitions' totals of replicates by pattern between passes: they are the same at any coefficients."""
     kernel, totals, second_scan = pass_frames(sets, theta, efron, reps, seed)
     r, k, size = len(kernel.theta), len(sets.patterns), kernel.theta.shape[1]
     shape = (k, r, kernel.q)
-    found = [{"part": x["part"], "first": (x["first_stratum"], x["first_time"]), "last": (x["last_stratum"], x["last_time"]),
-              "one_stratum": x["one_stratum"], "total": np.array(x["total"]).reshape(shape)} for x in totals.collect()]
+    by_pattern = kept is not None and kernel.p == 0 and reps is not None
+    if by_pattern and all(int(x) in kept for x in reps):
+        found = [x | {"total": np.stack([kept[int(i)][x["part"]] for i in reps], axis=1)} for x in kept["parts"]]
+    else:
+        found = [{"part": x["part"], "first": (x["first_stratum"], x["first_time"]), "last": (x["last_stratum"], x["last_time"]),
+                  "one_stratum": x["one_stratum"], "total": np.array(x["total"]).reshape(shape)} for x in totals.collect()]
+        if by_pattern:
+            kept["parts"] = found
+            kept |= {int(i): {x["part"]: x["total"][:, j].copy() for x in found} for j, i in enumerate(reps)}
     acc = np.zeros(r * (1 + size + size * size))
     shared = []
     for x in second_scan(_inherited(found, shape)).collect():
@@ -404,6 +450,6 @@ def risk_stats(sets: RiskSets, theta: np.ndarray, efron: bool = False, reps: np.
             bases.append(raw[1:cut].reshape(shape))
     for x, base in zip(groups, bases):
         if x.sums[..., kernel.q].any():
-            a, b, c = kernel.contributions([x], base[None])
+            a, b, c = kernel.contributions(np.array([x.g]), x.sums[None], base[None])
             ll, u, info = ll + a, u + b, info + c
     return ll, u, info
