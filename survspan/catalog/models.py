@@ -33,6 +33,12 @@ def design_frame(spark, sf):
     return d
 
 
+def fit_frame(spark, sf):
+    """The columns of design_frame that fits and their replicates read, prepared once for all of them."""
+    return _memo(spark, sf, "fit_frame", lambda: materialize(design_frame(spark, sf).select(
+        "id", "visit", "t_start", "t_stop", "outcome", "sbp_group", *ADJUST)))
+
+
 def _memo(spark, sf, key, fn):
     k = (spark.sparkContext.applicationId, sf, key)
     if k not in _FITS:
@@ -43,7 +49,7 @@ def _memo(spark, sf, key, fn):
 def fit_named(spark, sf, key: str):
     """All fitted models of the reference's analysis, by name (memoised per application)."""
     def make():
-        d = design_frame(spark, sf)
+        d = fit_frame(spark, sf)
         if key == "weibull_crude":
             return aft.aft(d, SPEC, GROUPS, "weibull", name=key)
         if key == "weibull_adjusted":
