@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import contrast, infer, resample
-from .models import RACES, SPEC, _memo, fit_frame, fit_named
+from .models import RACES, SPEC, _memo, design_frame, fit_frame, fit_named
 from .registry import r6, register
 
 # Race has events in every class at every size of the data, so that all groups' effects are identified.
@@ -16,7 +16,7 @@ def _reps(spark, sf, model: str = "gg_race_saturated"):
     """Replicates of a crude generalized gamma (seed, count and cap of the reference)."""
     def make():
         start = fit_named(spark, sf, model)
-        return resample.bootstrap_aft(fit_frame(spark, sf), SPEC, ["id", "visit"], start)
+        return resample.bootstrap_aft(design_frame(spark, sf), SPEC, ["id", "visit"], start)
     return _memo(spark, sf, f"boot_{model}", make)
 
 

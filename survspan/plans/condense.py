@@ -58,7 +58,6 @@ def condense(design: DataFrame, cols: Sequence[str], reps: Sequence[int], seed:
     points = design.select(*cols, key, F.explode(ends).alias("_end")).where(F.col("_end").isNotNull()).select(*cols, key, "_end.*")
     lt = F.log("t")
     points = points.withColumn("_cell", F.when((lt > -1e6) & (lt < 1e6), F.floor(lt / CELL).cast("double")))
-    points = materialize(points)  # counted, sampled for the ranges and shuffled from here
     n = points.count()
     parts = max(1, -(-n // POINTS_PER_PART), min(spark.sparkContext.defaultParallelism, n // 4096))
     order = [*cols, "d", "_cell"]
