@@ -67,9 +67,9 @@ def fit_named(spark, sf, key: str):
         if key == "weibull_race":
             return aft.aft(d, SPEC, RACES, "weibull", name=key)
         if key == "gg_race":
-            return aft.aft_ggamma(d, SPEC, RACES, name=key)
+            return aft.aft_ggamma(d, SPEC, RACES, name=key, prepared=True)
         if key == "gg_race_saturated":
-            return aft.aft_ggamma(d, SPEC, RACES, lnsigma=RACES, kappa=RACES, name=key)
+            return aft.aft_ggamma(d, SPEC, RACES, lnsigma=RACES, kappa=RACES, name=key, prepared=True)
         if key == "cox_race":
             return cox.cox(d, SPEC, RACES, name=key)
         if key == "ammag_crude":

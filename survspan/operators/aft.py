@@ -21,11 +21,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from ..functions.gengamma import gg_hazard, gg_log_density, gg_log_surv, gg_survival
-from ..plans.likelihood import CONS, FitResult, RowModel, fit_distributed
+from ..plans.condense import CELL, NODES, gather_once
+from ..plans.likelihood import CONS, SMALL_DESIGN, FitResult, RowModel, fit_distributed
 from ..plans.scan import materialize
 from ..plans.strata import inverse, newton_by
 from .survival import SurvSpec
 
+# Rows per covariate vector from which a fit gathers them on time nodes: two event flags, cells of 15 in ln t, at half their nodes' number.
+PATTERN_ROWS = int(2 * 15 / CELL * NODES * 2)
 FAMILIES = ("exponential", "weibull", "lognormal", "ggamma", "ammag", "gamma")
 
 
@@ -111,11 +114,14 @@ def _equations(kind, terms, lnsigma, kappa):
 
 def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "weibull",
         lnsigma: Sequence[str] = (), kappa: Sequence[str] = (), weight: str | None = None,
-        max_iter: int = 50, start: FitResult | None = None, name: str | None = None, tol: float = 1e-10) -> FitResult:
+        max_iter: int = 50, start: FitResult | None = None, name: str | None = None, tol: float = 1e-10,
+        prepared: bool = False) -> FitResult:
     """Fit an AFT model; returns a FitResult (driver handle of one fits-table row).
     ``tol`` bounds the scaled gradient at which Newton's method stops.
 
-    With ``start`` from a fit of the same data, its checkpointed design is reused."""
+    With ``start`` from a fit of the same data, its design is reused. A large design is gathered on time nodes, so that
+    rounds do not grow with the rows; ``prepared`` says that ``df`` is a checkpoint, from which the few passes that are
+    left read the design without writing it again."""
     if dist not in FAMILIES:
         raise ValueError(dist)
     if dist != "ggamma" and kappa:
@@ -123,11 +129,12 @@ def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "w
     cols = list(dict.fromkeys(list(terms) + list(lnsigma) + list(kappa)))
     reuse = start is not None and start.extra.get("design") is not None and \
         set(cols) <= set(start.extra.get("design_cols", ())) and start.extra.get("weight") == weight
-    design = start.extra["design"] if reuse else materialize_cols(df, spec, cols, weight)
+    design = start.extra["design"] if reuse else (model_frame if prepared else materialize_cols)(df, spec, cols, weight)
     eqs = _equations(dist, terms, lnsigma, kappa)
     wcol = F.col(weight) if weight else F.lit(1.0)
     stats = design.agg(F.sum(wcol * (F.col("t") - F.col("t0"))).alias("T"), F.sum(wcol * F.col("d")).alias("D"),
-                       F.sum(wcol).alias("N"), F.sum(wcol * F.col("d") * F.log("t")).alias("SLT")).collect()[0]
+                       F.sum(wcol).alias("N"), F.sum(wcol * F.col("d") * F.log("t")).alias("SLT"), F.count(F.lit(1)).alias("rows"),
+                       F.approx_count_distinct(F.struct(*cols) if cols else F.lit(1)).alias("patterns")).collect()[0]
     T, D, N, SLT = (float(stats[k] or 0.0) for k in ("T", "D", "N", "SLT"))
     names = [(eq, t) for eq, ts in eqs for t in ts]
     theta0 = np.zeros(len(names))
@@ -138,21 +145,28 @@ def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "w
         for i, nm in enumerate(names):
             if nm in start.names:
                 theta0[i] = start.params[start.names.index(nm)]
-    (theta, ll, g, H, vcov, conv, it), used = fit_distributed(design, family_model(dist), eqs, theta0, weight,
-                                                              max_iter=max_iter, checkpoint=False, tol=tol)
+    model = family_model(dist)
+    smooth = model.derivs is not None  # differences of sums over nodes would lose digits
+    gathered = start.extra.get("gathered") if reuse and smooth and set(cols) == set(start.extra["design_cols"]) else None
+    if gathered is None and smooth and stats["rows"] > max(SMALL_DESIGN, stats["patterns"] * PATTERN_ROWS):
+        gathered = gather_once(design, cols, weight)
+    if gathered is None and prepared and not reuse:
+        design = materialize(design, spread=True)
+    (theta, ll, g, H, vcov, conv, it), used = fit_distributed(design, model, eqs, theta0, weight, max_iter=max_iter, checkpoint=False,
+                                                              tol=tol, gathered=gathered)
     return FitResult(name or dist, eqs, theta, vcov, float(ll), int(N), D, conv, it,
                      extra={"dist": dist, "loglik_logtime": float(ll) + SLT, "scale": "density",
-                            "design": used, "design_cols": cols, "weight": weight})
+                            "design": used, "design_cols": cols, "weight": weight, "gathered": gathered, "prepared": prepared})
 
 
-def aft_ggamma(df, spec, terms=(), lnsigma=(), kappa=(), weight=None, max_iter=50, name=None) -> FitResult:
+def aft_ggamma(df, spec, terms=(), lnsigma=(), kappa=(), weight=None, max_iter=50, name=None, prepared=False) -> FitResult:
     """GG fit started from the Weibull fit of the same mean terms (kappa = 1)."""
     cols = list(dict.fromkeys(list(terms) + list(lnsigma) + list(kappa)))
-    w = aft(df, spec, terms, "weibull", lnsigma=lnsigma, weight=weight, max_iter=max_iter)
-    w.extra["design"] = materialize_cols(df, spec, cols, weight) if set(cols) - set(w.extra["design_cols"]) else w.extra["design"]
-    w.extra["design_cols"] = cols
+    w = aft(df, spec, terms, "weibull", lnsigma=lnsigma, weight=weight, max_iter=max_iter, prepared=prepared)
+    if set(cols) - set(w.extra["design_cols"]):
+        w.extra |= {"design": materialize_cols(df, spec, cols, weight), "design_cols": cols, "gathered": None}
     return aft(df, spec, terms, "ggamma", lnsigma=lnsigma, kappa=kappa, weight=weight, max_iter=max_iter,
-               start=w, name=name or "ggamma")
+               start=w, name=name or "ggamma", prepared=prepared)
 
 
 def materialize_cols(df, spec, cols, weight):

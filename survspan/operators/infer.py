@@ -15,6 +15,7 @@ from collections.abc import Mapping, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
@@ -45,7 +46,15 @@ def fit_row(f: FitResult) -> tuple:
 
 def fits_table(spark: SparkSession, fits: Sequence[FitResult]) -> DataFrame:
     """A handful of fitted models as a fits table (small driver-side result rows)."""
-    return spark.createDataFrame([fit_row(f) for f in fits], FITS_SCHEMA)
+    return fits_frame(spark, [fit_row(f) for f in fits])
+
+
+def fits_frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
+    """Rows of FITS_SCHEMA, sent as one Arrow table: a list of rows would be read back by Python tasks in every job."""
+    kinds = {"string": pa.string(), "array<string>": pa.list_(pa.string()), "array<double>": pa.list_(pa.float64()), "double": pa.float64(),
+             "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
+    schema = pa.schema([(f.name, kinds[f.dataType.simpleString()]) for f in FITS_SCHEMA])
+    return spark.createDataFrame(pa.Table.from_pylist([dict(zip(schema.names, row, strict=True)) for row in rows], schema), FITS_SCHEMA)
 
 
 @F.pandas_udf(DoubleType())

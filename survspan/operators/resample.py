@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from ..plans.likelihood import CONS, FitResult, newton_lockstep, newton_reps
 from ..plans.risksets import replicate_sets, risk_stats
 from . import aft, cox
-from .infer import FITS_SCHEMA, Z975, p_normal
+from .infer import Z975, fits_frame, p_normal
 from .survival import SurvSpec
 
 SEED = 19210428  # fixed value of the reference: bootstrap seed
@@ -37,7 +37,7 @@ def bootstrap_aft(df: DataFrame, spec: SurvSpec, key_cols: Sequence[str], start:
     design = aft.model_frame(df.withColumn("_rk", F.xxhash64(*key_cols)), spec, cols + ["_rk"])
     design = design.withColumn("_rk", F.col("_rk").cast("long"))
     res = newton_reps(design, aft.family_model(dist), eqs, start.params, list(range(1, reps + 1)), seed,
-                      max_iter=max_iter)
+                      max_iter=max_iter, prepared=start.extra.get("prepared", False))
     return _replicates(df.sparkSession, start, res, reps, "density")
 
 
@@ -78,7 +78,7 @@ def _replicates(spark: SparkSession, start: FitResult, res: dict, reps: int, sca
                      [float(x) for x in np.asarray(vcov).ravel()] if ok and vcov is not None else None,
                      float(ll) if ok and ll is not None else None, None, int(start.k), int(start.n),
                      float(start.events), ok, scale))
-    out = spark.createDataFrame(rows, FITS_SCHEMA)
+    out = fits_frame(spark, rows)
     return out.withColumn("rep", F.split("model", "#").getItem(1).cast("int"))
 
 

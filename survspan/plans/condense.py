@@ -6,7 +6,9 @@ interpolated from 12 Chebyshev nodes of the cell: the sum over the points of wei
 mass x l(node), where a replicate's mass is its weights times the Lagrange polynomials, whatever the coefficients. The error of
 the interpolation is that of rounding. All rows and all draws go into the masses, in one pass over the data.
 
-Cells are sorted runs of a range partitioning: no cell is one task. A run of few points keeps its points, and so does a
+A fit to the rows themselves needs one mass per node (gather_once).
+
+Of replicates, cells are sorted runs of a range partitioning: no cell is one task. A run of few points keeps its points, and so does a
 design whose covariate vectors hardly repeat: their weights are drawn in every round, as before.
 """
 
@@ -27,7 +29,8 @@ CELL = 0.25            # width of a cell of ln t
 NODES = 12             # Chebyshev nodes in a cell
 LEAST_POINTS = 24      # a run of no more points keeps them
 POINTS_PER_PART = 1 << 17
-TILE = 2048            # points whose weights are drawn together
+TILE = 256             # points whose weights are drawn together: they stay in the cache
+MASS = "_mass"         # of a gathered design
 
 _ANGLES = (2 * np.arange(NODES) + 1) * np.pi / (2 * NODES)
 _X = -np.cos(_ANGLES)                                     # nodes in (-1, 1)
@@ -45,6 +48,46 @@ def lagrange(x: np.ndarray) -> np.ndarray:
     return out
 
 
+def gather_once(design: DataFrame, cols: Sequence[str], weight: str | None = None) -> DataFrame:
+    """design (t0, t, d, cols) -> rows (t0, t, d, cols, MASS) whose sums, weighted by MASS, are the design's: every point of a row goes
+    to the nodes of its cell. A task sums its cells batch by batch, and one small aggregate adds the tasks. Rows with times that are
+    not finite stay as they are, with their weight as mass."""
+    from ..session import ship_code
+
+    cols = list(dict.fromkeys(cols))
+    ship_code(design.sparkSession)
+    masses = [f"_m{j}" for j in range(NODES)]
+    unit = F.col(weight).cast("double") if weight else F.lit(1.0)
+    rows = design.select("t0", "t", "d", *cols, unit.alias(MASS))
+
+    def inside(c: str):
+        return (F.log(c) > -1e6) & (F.log(c) < 1e6)
+    plain = F.coalesce(inside("t") & ((F.col("t0") == 0) | inside("t0")), F.lit(False))
+
+    def part(batches):
+        for pdf in batches:
+            if not len(pdf):
+                continue
+            w, late = pdf[MASS].to_numpy(float), pdf["t0"].to_numpy(float) > 0
+            lt = np.log(np.concatenate([pdf["t"].to_numpy(float), pdf["t0"].to_numpy(float)[late]]))
+            w = np.concatenate([w, -w[late]])
+            keys = pd.concat([pdf[[*cols, "d"]], pdf.loc[late, cols].assign(d=0.0)], ignore_index=True)
+            keys["_cell"] = np.floor(lt / CELL)
+            group = keys.groupby([*cols, "d", "_cell"], sort=False, dropna=False)
+            code = group.ngroup().to_numpy()
+            part_of = lagrange(2 * (lt / CELL - keys["_cell"].to_numpy() - 0.5)) * w[:, None]
+            out = keys.iloc[np.unique(code, return_index=True)[1]].reset_index(drop=True)
+            yield out.assign(**{m: np.bincount(code, part_of[:, j], len(out)) for j, m in enumerate(masses)})
+
+    fields = ", ".join(f"`{c}` double" for c in [*cols, "d", "_cell", *masses])
+    cells = rows.where(plain).mapInPandas(part, fields).groupBy(*cols, "d", "_cell").agg(*[F.sum(m).alias(m) for m in masses])
+    nodes = F.explode(F.array(*[F.struct(F.exp(F.lit(CELL) * (F.col("_cell") + float(0.5 + x / 2))).alias("t"), F.col(m).alias(MASS))
+                                for x, m in zip(_X, masses)]))
+    gathered = cells.select(F.lit(0.0).alias("t0"), "d", *cols, nodes.alias("_node")).select("t0", "_node.t", "d", *cols, f"_node.{MASS}")
+    few = max(1, design.sparkSession.sparkContext.defaultParallelism // 4)  # a round is short: fewer tasks than cores
+    return materialize(gathered.unionByName(rows.where(~plain)).coalesce(few))
+
+
 def condense(design: DataFrame, cols: Sequence[str], reps: Sequence[int], seed: int, key: str = "_rk") -> DataFrame:
     """design (t0, t, d, cols, key) -> rows (t0 = 0, t, d, cols, key, _sign, _mass) for evaluate_reps: nodes with one mass per
     replicate, and points (null _mass) whose weights are drawn from their key times _sign."""
@@ -59,7 +102,8 @@ def condense(design: DataFrame, cols: Sequence[str], reps: Sequence[int], seed:
     lt = F.log("t")
     points = points.withColumn("_cell", F.when((lt > -1e6) & (lt < 1e6), F.floor(lt / CELL).cast("double")))
     n = points.count()
-    parts = max(1, -(-n // POINTS_PER_PART), min(spark.sparkContext.defaultParallelism, n // 4096))
+    cores = spark.sparkContext.defaultParallelism
+    parts = max(1, min(cores, n // 4096), -(-n // (POINTS_PER_PART * cores)) * cores if n > POINTS_PER_PART else 1)  # whole waves of tasks
     order = [*cols, "d", "_cell"]
     runs = points.repartitionByRange(parts, *order, key).sortWithinPartitions(*order)
 

@@ -229,11 +229,25 @@ def newton(evalf: Callable, theta0: np.ndarray, max_iter: int = 50, tol: float =
 
 
 def fit_distributed(design: DataFrame, model: RowModel, equations, theta0, weight: str | None = None,
-                    max_iter: int = 50, checkpoint: bool = True, tol: float = 1e-10):
-    """Newton fit over ``design``; returns ((theta, ll, g, H, vcov, converged, iterations), design_used)."""
+                    max_iter: int = 50, checkpoint: bool = True, tol: float = 1e-10, gathered: DataFrame | None = None):
+    """Newton fit over ``design``; returns ((theta, ll, g, H, vcov, converged, iterations), design_used).
+
+    With the design's ``gathered`` rows (condense.gather_once), Newton's rounds read these, and the rows confirm the
+    maximum: what is returned comes from the rows, which go on from there where they do not agree."""
     if checkpoint:
         design = materialize(design, spread=True)
-    return newton(lambda th: evaluate(design, model, equations, th, weight), theta0, max_iter=max_iter, tol=tol), design
+
+    def over_rows(start, rounds):
+        return newton(lambda th: evaluate(design, model, equations, th, weight), start, max_iter=rounds, tol=tol)
+
+    if gathered is not None:
+        from .condense import MASS
+        near, *_, found, it = newton(lambda th: evaluate(gathered, model, equations, th, MASS), theta0, max_iter=max_iter, tol=tol)
+        if found:
+            *fit, converged, more = over_rows(near, max_iter - it + 1)
+            if converged:
+                return (*fit, converged, it - 1 + more), design
+    return over_rows(theta0, max_iter), design
 
 
 def fit_local(pdf: pd.DataFrame, model: RowModel, equations, theta0, weight: str | None = None, max_iter: int = 50):
@@ -344,10 +358,11 @@ def drawn_weights(pdf: pd.DataFrame, masses: np.ndarray | None, reps: np.ndarray
 
 def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, seed: int, key_col: str = "_rk",
                   drawn: Sequence[int] | None = None):
-    """One Spark job: (loglik, grad, hess) for every replicate in ``thetas`` (rep -> theta). ``drawn``: the replicates
-    that a condensed design has masses of."""
-    reps = np.array(sorted(thetas), dtype=np.int64)
-    th = np.array([thetas[r] for r in reps], dtype=float)
+    """One Spark job: (loglik, grad, hess) for every entry of ``thetas`` (rep -> theta, or (rep, candidate) -> theta).
+    ``drawn``: the replicates that a condensed design has masses of."""
+    keys = sorted(thetas)
+    reps = np.array([k[0] if isinstance(k, tuple) else k for k in keys], dtype=np.int64)
+    th = np.array([thetas[k] for k in keys], dtype=float)
     p = th.shape[1]
     columns = np.searchsorted(np.array(sorted(drawn)), reps) if drawn is not None else reps
 
@@ -369,7 +384,7 @@ def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, s
                     acc[sl, 1 + p:] += H.reshape(H.shape[0], -1)
                 seen = True
         if seen:
-            rr = np.repeat(reps, acc.shape[1])
+            rr = np.repeat(np.arange(len(reps)), acc.shape[1])
             kk = np.tile(np.arange(acc.shape[1]), len(reps))
             yield pd.DataFrame({"rep": rr.astype(np.int64), "k": kk.astype(np.int32), "v": acc.ravel()})
 
@@ -377,9 +392,9 @@ def evaluate_reps(design: DataFrame, model: RowModel, equations, thetas: dict, s
     ship_code(design.sparkSession)
     rows = design.mapInPandas(part, schema="rep long, k int, v double") \
         .groupBy("rep", "k").agg(F.sum("v").alias("v")).collect()
-    out = {int(r): [0.0, np.zeros(p), np.zeros((p, p))] for r in reps}
+    out = {k: [0.0, np.zeros(p), np.zeros((p, p))] for k in keys}
     for r in rows:
-        rep, k = int(r["rep"]), int(r["k"])
+        rep, k = keys[r["rep"]], int(r["k"])
         v = np.nan if r["v"] is None else float(r["v"])  # Arrow turns NaN into null
         if k == 0:
             out[rep][0] = v
@@ -405,15 +420,19 @@ def _damped_step(g: np.ndarray, H: np.ndarray):
 
 
 def newton_reps(design: DataFrame, model: RowModel, equations, theta0: np.ndarray, reps: list, seed: int,
-                max_iter: int = 50, tol: float = 1e-10, key_col: str = "_rk"):
+                max_iter: int = 50, tol: float = 1e-10, key_col: str = "_rk", prepared: bool = False):
     """All replicates' Newton iterations in lockstep: one Spark pass per round over the condensed design (AFT rows). A
-    small design is read as it is: there draws are few enough for rounding to decide whether a replicate converges."""
+    small design is read as it is: there draws are few enough for rounding to decide whether a replicate converges.
+    ``prepared``: the design is read from a checkpoint already, and condensing it writes no other."""
     from .condense import condense
-    rows, drawn = materialize(design, spread=True), None
-    if rows.count() > SMALL_DESIGN:
+    rows, drawn = design if prepared else materialize(design, spread=True), None
+    large = rows.count() > SMALL_DESIGN
+    if prepared and not large:
+        rows = materialize(rows, spread=True)
+    if large:
         rows, drawn = condense(rows, [t for _e, ts in equations for t in ts if t != CONS], reps, seed, key_col), reps
     return newton_lockstep(lambda active: evaluate_reps(rows, model, equations, active, seed, key_col, drawn), theta0, reps,
-                           max_iter, tol)
+                           max_iter, tol, ahead=drawn is not None)
 
 
 def start_state(theta0: np.ndarray) -> dict:
@@ -452,19 +471,34 @@ def advance(s: dict, ll: float, g: np.ndarray, H: np.ndarray, max_iter: int, tol
         s["step"], s["t"], s["cand"] = step, 1.0, s["theta"] + step
 
 
-def newton_lockstep(evalr: Callable, theta0: np.ndarray, reps: list, max_iter: int = 50, tol: float = 1e-10):
+def _halvings(s: dict) -> list:
+    """The candidates that a replicate whose step is being halved would try one after the other, the present one first."""
+    out, t = [s["cand"]], s["t"]
+    while t < 1 and t / 2 >= 2 ** -10:
+        t /= 2
+        out.append(s["theta"] + t * s["step"])
+    return out
+
+
+def newton_lockstep(evalr: Callable, theta0: np.ndarray, reps: list, max_iter: int = 50, tol: float = 1e-10, ahead: bool = False):
     """Newton's method for many replicates of one model; evalr({rep: theta}) -> {rep: (loglik, gradient, Hessian)}
-    is called once a round with the replicates still active."""
+    is called once a round with the replicates still active. ``ahead``: a replicate whose step is being halved has all further
+    halvings evaluated in one round, evalr({(rep, candidate): theta}); they are judged in their order, as in rounds of their own."""
     st = {r: start_state(theta0) for r in reps}
-    rounds = 0
+    tried = dict.fromkeys(reps, 0)
     while True:
-        active = {r: s["cand"] for r, s in st.items() if not s["done"]}
-        if not active or rounds >= 2 * max_iter:
+        active = {r: _halvings(s) if ahead else [s["cand"]] for r, s in st.items() if not s["done"] and tried[r] < 2 * max_iter}
+        if not active:
             break
-        rounds += 1
-        res = evalr(active)
-        for r in active:
-            advance(st[r], *res[r], max_iter, tol)
+        res = evalr({(r, i) if ahead else r: th for r, ths in active.items() for i, th in enumerate(ths)})
+        for r, ths in active.items():
+            s = st[r]
+            for i in range(len(ths)):
+                before = s["t"]
+                advance(s, *res[(r, i) if ahead else r], max_iter, tol)
+                tried[r] += 1
+                if s["done"] or s["t"] >= before or tried[r] >= 2 * max_iter:  # taken, ended, or no candidate left
+                    break
     out = {}
     for r, s in st.items():
         try:
