@@ -132,9 +132,21 @@ def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "w
     design = start.extra["design"] if reuse else (model_frame if prepared else materialize_cols)(df, spec, cols, weight)
     eqs = _equations(dist, terms, lnsigma, kappa)
     wcol = F.col(weight) if weight else F.lit(1.0)
-    stats = design.agg(F.sum(wcol * (F.col("t") - F.col("t0"))).alias("T"), F.sum(wcol * F.col("d")).alias("D"),
-                       F.sum(wcol).alias("N"), F.sum(wcol * F.col("d") * F.log("t")).alias("SLT"), F.count(F.lit(1)).alias("rows"),
-                       F.approx_count_distinct(F.struct(*cols) if cols else F.lit(1)).alias("patterns")).collect()[0]
+
+    def totals():
+        return design.agg(F.sum(wcol * (F.col("t") - F.col("t0"))).alias("T"), F.sum(wcol * F.col("d")).alias("D"),
+                          F.sum(wcol).alias("N"), F.sum(wcol * F.col("d") * F.log("t")).alias("SLT"), F.count(F.lit(1)).alias("rows"),
+                          F.approx_count_distinct(F.struct(*cols) if cols else F.lit(1)).alias("patterns")).collect()[0]
+
+    stats = totals()
+    model = family_model(dist)
+    smooth = model.derivs is not None  # differences of sums over nodes would lose digits
+    gathered = start.extra.get("gathered") if reuse and smooth and set(cols) == set(start.extra["design_cols"]) else None
+    if gathered is None and smooth and stats["rows"] > max(SMALL_DESIGN, stats["patterns"] * PATTERN_ROWS):
+        gathered = gather_once(design, cols, weight)
+    if gathered is None and prepared and not reuse:
+        design = materialize(design, spread=True)
+        stats = totals()  # summed in the order of the rounds
     T, D, N, SLT = (float(stats[k] or 0.0) for k in ("T", "D", "N", "SLT"))
     names = [(eq, t) for eq, ts in eqs for t in ts]
     theta0 = np.zeros(len(names))
@@ -145,13 +157,6 @@ def aft(df: DataFrame, spec: SurvSpec, terms: Sequence[str] = (), dist: str = "w
         for i, nm in enumerate(names):
             if nm in start.names:
                 theta0[i] = start.params[start.names.index(nm)]
-    model = family_model(dist)
-    smooth = model.derivs is not None  # differences of sums over nodes would lose digits
-    gathered = start.extra.get("gathered") if reuse and smooth and set(cols) == set(start.extra["design_cols"]) else None
-    if gathered is None and smooth and stats["rows"] > max(SMALL_DESIGN, stats["patterns"] * PATTERN_ROWS):
-        gathered = gather_once(design, cols, weight)
-    if gathered is None and prepared and not reuse:
-        design = materialize(design, spread=True)
     (theta, ll, g, H, vcov, conv, it), used = fit_distributed(design, model, eqs, theta0, weight, max_iter=max_iter, checkpoint=False,
                                                               tol=tol, gathered=gathered)
     return FitResult(name or dist, eqs, theta, vcov, float(ll), int(N), D, conv, it,
