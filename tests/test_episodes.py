@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from survspan.operators import cox
 from survspan.operators.survival import SurvSpec
+from survspan.plans.scan import materialize
 
 SPEC = SurvSpec("s", "e", "ev")
 NAN = float("nan")
@@ -48,3 +49,42 @@ def test_episodes_are_not_shuffled(spark):
     above = plan[:plan.index("inline(")]
     assert not re.search("Exchange|Window|Sort", above)
     assert rows(got) == rows(cox.split_episodes(d, SPEC, [float(x) for x in range(500)], keep=["id"]))
+
+
+def _records_shuffled(df):
+    """Rows that the exchanges of df wrote in its own run."""
+    df.collect()
+    plans, total = [df._jdf.queryExecution().executedPlan()], 0
+    while plans:
+        p = plans.pop()
+        kind = p.getClass().getSimpleName()
+        if kind == "AdaptiveSparkPlanExec":
+            plans.append(p.executedPlan())
+        elif kind.endswith("QueryStageExec"):
+            plans.append(p.plan())
+        else:
+            total += p.metrics().apply("shuffleRecordsWritten").value() if kind == "ShuffleExchangeExec" else 0
+            plans += [p.children().apply(i) for i in range(p.children().size())]
+    return total
+
+
+def test_shuffled_intervals_do_not_grow_with_cuts(spark):
+    """Intervals over 40 of 50 chunks go to a bin or two, not to every chunk's task."""
+    d = spark.range(1000).selectExpr("id", "cast(id % 10 as double) s", "cast(id % 10 + 80 as double) e", "cast(id % 2 as int) ev")
+    c = spark.range(100).selectExpr("cast(id as double) c")
+    got = cox.split_episodes_join(d, SPEC, c, keep=["id"], n_bins=50)
+    assert 1000 <= _records_shuffled(got) < 10_000
+    assert rows(got) == rows(cox.split_episodes(d, SPEC, [float(x) for x in range(100)], keep=["id"]))
+
+
+@pytest.mark.parametrize("prepared", [False, True])
+@pytest.mark.parametrize("chunks_per_bin,group_rows", [(1, 1 << 17), (3, 2), (64, 5)])
+def test_bins_of_any_width(spark, monkeypatch, chunks_per_bin, group_rows, prepared):
+    """Few long intervals among many short ones, some twice; bins of one chunk, of several and of all, small groups."""
+    monkeypatch.setattr(cox, "CHUNKS_PER_BIN", chunks_per_bin)
+    monkeypatch.setattr(cox, "GROUP_ROWS", group_rows)
+    d = spark.range(120).selectExpr("cast(id % 100 as int) id", "cast(id % 100 as double) / 4 s",
+                                    "cast(id % 100 as double) / 4 + if(id % 100 % 9 = 0, 60, 1.5) e", "cast(id % 2 as int) ev")
+    c = spark.range(200).selectExpr("cast(id as double) / 3 c")
+    got = cox.split_episodes_join(materialize(d) if prepared else d, SPEC, c, keep=["id"], n_bins=20, prepared=prepared)
+    assert rows(got) == rows(cox.split_episodes(d, SPEC, [x / 3 for x in range(200)], keep=["id"]))
